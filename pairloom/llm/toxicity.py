@@ -21,17 +21,18 @@ class ToxicityParams:
     """max_rows, max_bytes: the training sample holds at most max_rows labelled texts of at most
     max_bytes bytes each, those with the smallest hash of their id, whatever the corpus size.
     buckets, dim: embedding table. grams: lengths of the byte n-grams. window: words averaged at once;
-    a text scores as its worst window, so that length doesn't dilute it. warm: full-batch steps on all
-    windows with their text's label; then ``rounds`` times ``steps`` on each text's worst window as it
+    a text scores as its worst window, so that length doesn't dilute it. warm: full-batch steps on about
+    warm_windows windows with their text's label; then ``rounds`` times ``steps`` on each text's worst window as it
     stands. rate: of AdaGrad."""
 
-    max_rows: int = 8000
+    max_rows: int = 10000
     max_bytes: int = 32768
     buckets: int = 1 << 18
     dim: int = 16
     grams: tuple[int, ...] = (3, 4, 5)
     window: int = 16
     warm: int = 10
+    warm_windows: int = 8000
     rounds: int = 30
     steps: int = 10
     rate: float = 0.5
@@ -87,7 +88,7 @@ def _bags(piece: tk.Slice, params: ToxicityParams) -> _Bags:
     doc_window = np.concatenate([[0], np.cumsum(count)])
     within = np.arange(doc_window[-1]) - np.repeat(doc_window[:-1], count)
     window_first = np.append(np.repeat(found.first[:-1], count) + within * params.window, len(word))
-    return _Bags(ids, first, word, window_first, doc_window)
+    return _Bags(ids, first.astype(np.int32), word.astype(np.int32), window_first, doc_window)
 
 
 def _window_logits(bags: _Bags, bucket_score: np.ndarray) -> np.ndarray:
@@ -100,10 +101,10 @@ def _gather(bags: list[_Bags], chosen: list[np.ndarray]) -> tuple[np.ndarray, np
     ids, subs, word, size, shift = [], [], [], [], 0
     for b, pick in zip(bags, chosen, strict=True):
         count = (b.window_first[1:] - b.window_first[:-1])[pick]
-        token = np.repeat(b.window_first[pick], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        token = np.repeat(b.window_first[pick] - np.cumsum(count) + count, count) + np.arange(count.sum())
         used, place = np.unique(b.word[token], return_inverse=True)
         n = (b.first[1:] - b.first[:-1])[used]
-        ids.append(b.ids[np.repeat(b.first[used], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+        ids.append(b.ids[np.repeat(b.first[used] - np.cumsum(n) + n, n) + np.arange(n.sum())])
         subs.append(n)
         word.append(place + shift)
         size.append(count)
@@ -143,23 +144,26 @@ def train(texts: pa.Array, toxic: np.ndarray, params: ToxicityParams = ToxicityP
     """Fit embeddings and softmax jointly by full-batch AdaGrad. Without texts, or with one class
     only, the model is the smoothed rate of toxic texts."""
     rng = np.random.default_rng(params.seed)
-    embedding = (rng.standard_normal((params.buckets, params.dim)) / params.dim).astype(np.float32)
-    softmax = (rng.standard_normal((2, params.dim)) / params.dim).astype(np.float32)
+    embedding = rng.standard_normal((params.buckets, params.dim), np.float32) / np.float32(params.dim)
+    softmax = rng.standard_normal((2, params.dim), np.float32) / np.float32(params.dim)
     rate = (toxic.sum() + 0.5) / (len(toxic) + 1.0)
     bias = np.array([0.0, np.log(rate / (1 - rate))])
     model = ToxicityModel(embedding, softmax, bias, params)
     if len(np.unique(toxic)) < 2:
         model.embedding[:] = 0
         return model
-    bags = [_bags(piece, params) for piece in tk.slices(texts)]
+    bags = [_bags(piece, params) for piece in tk.slices(texts, 1 << 18)]
     at = np.cumsum([0, *(len(b.doc_window) - 1 for b in bags)])
     label = [np.repeat(toxic[i : i + len(b.doc_window) - 1], np.diff(b.doc_window)) for b, i in zip(bags, at, strict=False)]
+    windows = max(1, sum(len(b.window_first) - 1 for b in bags))
     seen_e, seen_s, seen_b = np.full(params.buckets, 1e-6), np.full(params.dim, 1e-6), 1e-6
     for turn in range(params.rounds + 1):
         score, margin, chosen = model.bucket_score, model.margin, []
         for b in bags:
             pick = np.arange(len(b.window_first) - 1)
-            if turn:
+            if not turn:
+                pick = pick[rng.random(len(pick)) < params.warm_windows / windows]
+            else:
                 z = _window_logits(b, score) + margin
                 pick = pick[z >= np.repeat(_worst(z, b.doc_window, -np.inf), np.diff(b.doc_window))]
             chosen.append(pick)
@@ -192,22 +196,37 @@ def held_out(doc_id: Column, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == remainder
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams) -> tuple[pa.Array, np.ndarray]:
-    """At most ``max_rows`` labelled texts. Of a repeated label row the worst counts; null ids and
-    labels are left out; a repeated doc_id gives each of its texts."""
+def training_sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams) -> DataFrame:
+    """At most ``max_rows`` labelled texts, in one partition. Of a repeated label row the worst
+    counts; null ids and labels are left out; a repeated doc_id gives each of its texts."""
     marks = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_rows)
     )
-    found = (
+    return (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .where(F.octet_length("text") <= params.max_bytes)
         .join(F.broadcast(marks), "doc_id")  # at most max_rows rows of two numbers
         .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(params.max_rows)
-        .select("text", F.col("toxic").cast("int").alias("toxic"))
-        .toArrow()
+        .select("text", (F.col("toxic") > 0).cast("double").alias("toxic"))
     )
-    return found.column("text").combine_chunks(), (found.column("toxic").to_numpy() > 0).astype(np.float64)
+
+
+def fit(sample: DataFrame, params: ToxicityParams) -> ToxicityModel:
+    """Train in one executor task, which is retried elsewhere if its executor is lost; the model
+    (fixed size) comes back to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("toxic", pa.float64())]))
+        model = train(got.column("text").combine_chunks(), got.column("toxic").to_numpy(), params)
+        blobs = [x.astype(np.float32).tobytes() for x in (model.embedding, model.softmax, model.bias)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], ["embedding", "softmax", "bias"])
+
+    got = sample.coalesce(1).mapInArrow(run, "embedding binary, softmax binary, bias binary").first()
+    if got is None:
+        return train(pa.array([], pa.string()), np.empty(0), params)
+    parts = [np.frombuffer(x, np.float32) for x in got]
+    return ToxicityModel(parts[0].reshape(-1, params.dim), parts[1].reshape(2, -1), parts[2], params)
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
@@ -234,6 +253,6 @@ def judge_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams =
     """Learn from labelled rows outside the held-out fold, then score every document: doc_id,
     held_out, score, predicted. Only the text is an input of a score; other columns are ignored."""
     ids = docs.select("doc_id", "text")
-    model = train(*training_sample(ids.where(~held_out(F.col("doc_id"), 0)), labels, params), params)
+    model = fit(training_sample(ids.where(~held_out(F.col("doc_id"), 0)), labels, params), params)
     out = score_texts(ids, model, ["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id"), 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
