@@ -217,8 +217,10 @@ def fit(sample: DataFrame, params: ToxicityParams) -> ToxicityModel:
     (fixed size) comes back to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("toxic", pa.float64())]))
-        model = train(got.column("text").combine_chunks(), got.column("toxic").to_numpy(), params)
+        got = list(batches)
+        texts = pa.concat_arrays([b.column("text").cast(pa.large_string()) for b in got] or [pa.array([], pa.large_string())])
+        toxic = np.concatenate([b.column("toxic").to_numpy(zero_copy_only=False) for b in got] or [np.empty(0)])
+        model = train(texts, toxic, params)
         blobs = [x.astype(np.float32).tobytes() for x in (model.embedding, model.softmax, model.bias)]
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], ["embedding", "softmax", "bias"])
 
