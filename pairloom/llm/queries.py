@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, quality, toxicity, url_filter
+from . import lm, quality, sentencepiece_codec, toxicity, url_filter
 from .storage import table
 
 URL_RULES = (
@@ -18,6 +18,15 @@ URL_RULES = (
 )
 
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the ids of every document (``ids_hash`` of the whole array), with both checks."""
+    encoded = sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents"), TOKENIZER, ["doc_id"])
+    return encoded.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "round_trip", "parity")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +48,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op7_lm_score": op7_lm_score,
     "op8_url_reputation": op8_url_reputation,
