@@ -14,6 +14,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ MARK_BYTES = MARK.encode()
 # piece types and model types of the SentencePiece protobuf (fixed values)
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+JOINED = 1 << 15
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -113,7 +115,7 @@ class SentencePieceSpec:
             raise ValueError("only unigram and BPE models with a leading space marker are supported")
         return spec
 
-    @property
+    @cached_property
     def splittable(self) -> bool:
         """Whether encoding each space-led segment alone is exact."""
         crossing = re.compile(f"[^{MARK}]{MARK}")
@@ -132,8 +134,19 @@ class Codec:
         self.whole = self._build(self.spec.dummy_prefix)
         self.segment = self._build(False)
         self.cache = SegmentCache()
+        decoded = [self._piece_bytes(p, kind) for p, _, kind in self.spec.pieces]
+        self.piece_size = np.array([len(x) for x in decoded], np.int64)
+        self.piece_at = np.cumsum(self.piece_size) - self.piece_size
+        self.piece_bytes = np.frombuffer(b"".join(decoded), np.uint8)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=model)
 
+    @staticmethod
+    def _piece_bytes(piece: str, kind: int) -> bytes:
+        """The text that a piece stands for; none for control and unknown pieces."""
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        return b"" if kind in (UNKNOWN, CONTROL) else piece.replace(MARK, " ").encode()
+
     def _build(self, dummy_prefix: bool):
         from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
@@ -177,15 +190,41 @@ class Codec:
         out = self.whole.decode_batch(ids, skip_special_tokens=False)
         return [x[1:] if self.spec.dummy_prefix and x.startswith(" ") else x for x in out]
 
-    def encode_segments(self, segments: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
-        """Ids of space-led segments, and for each whether it decodes to itself and whether the
-        SentencePiece library gives the same ids."""
+    def encode_segments(self, raw: bytes, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the space-led segments raw[first[i]:first[i+1]], end to end, their count in each
+        segment, whether it decodes to itself and whether the SentencePiece library gives the same.
+
+        Segments are joined to texts of about JOINED bytes, which both libraries encode in one call; ids
+        are dealt back to segments by the byte lengths of their pieces."""
+        cuts = np.unique(np.concatenate([np.searchsorted(first, np.arange(0, len(raw), JOINED)), [len(first) - 1]]))
+        texts = [raw[first[a] : first[b]].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        ids = np.array([x for e in self.segment.encode_batch_fast(texts, add_special_tokens=False) for x in e.ids], np.int32)
+        ends = np.cumsum(self.piece_size[ids])
+        upto = np.searchsorted(ends, first, side="right")
+        if (self.piece_size[ids] == 0).any() or len(ends) == 0 or ends[-1] != len(raw) or (ends[upto[1:] - 1] != first[1:]).any():
+            return self._encode_each(raw, first)
+        same = np.array([x for one in self.reference.encode([t[1:] for t in texts], num_threads=1) for x in one], np.int32)
+        size = self.piece_size[ids]
+        back = self.piece_bytes[np.repeat(self.piece_at[ids] - ends + size, size) + np.arange(len(raw))]
+        wrong = np.concatenate([[0], np.cumsum(back != np.frombuffer(raw, np.uint8))])
+        trip = wrong[first[1:]] == wrong[first[:-1]]
+        if len(same) == len(ids):
+            odd = np.concatenate([[0], np.cumsum(same != ids)])
+            parity = odd[upto[1:]] == odd[upto[:-1]]
+        else:
+            parity = self._encode_each(raw, first)[3]
+        return ids, np.diff(upto), trip, parity
+
+    def _encode_each(self, raw: bytes, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As encode_segments, one segment at a time: for unknown pieces, which have no length."""
+        segments = [raw[a:b].decode("utf-8", "replace") for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         ids = [x.ids for x in self.segment.encode_batch_fast(segments, add_special_tokens=False)]
         back = self.segment.decode_batch(ids, skip_special_tokens=False)
-        same = self.reference.encode([s[1:] for s in segments], num_threads=1)
         # a lone space is an empty text to the library, which has no ids
-        parity = [a == b or (s == " ") for a, b, s in zip(ids, same, segments, strict=True)]
-        return ids, np.array([a == b for a, b in zip(back, segments, strict=True)], bool), np.array(parity, bool)
+        same = [a if s == " " else b for a, b, s in zip(ids, self.reference.encode([s[1:] for s in segments], num_threads=1), segments, strict=True)]
+        flat = np.array([x for one in ids for x in one], np.int32)
+        pairs = lambda xs, ys: np.array([x == y for x, y in zip(xs, ys, strict=True)], bool)
+        return flat, np.fromiter(map(len, ids), np.int64, len(ids)), pairs(back, segments), pairs(ids, same)
 
 
 _codecs: dict[tuple[str, int], Codec] = {}
@@ -202,7 +241,7 @@ def codec(model: bytes, threads: int = 2) -> Codec:
 class SegmentCache:
     """Ids and checks of segments already met by this worker, by hash; emptied when it is full."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 800_000):
         self.limit = limit
         self.clear()
 
@@ -213,14 +252,13 @@ class SegmentCache:
         self.trip = np.empty(0, bool)
         self.parity = np.empty(0, bool)
 
-    def add(self, hashes: list[int], ids: list[list[int]], trip: np.ndarray, parity: np.ndarray) -> None:
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+    def add(self, hashes: list[int], ids: np.ndarray, size: np.ndarray, trip: np.ndarray, parity: np.ndarray) -> None:
         n = len(self.size)
-        self.flat = np.concatenate([self.flat, np.fromiter((x for one in ids for x in one), np.int32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, ids])
         self.size = np.concatenate([self.size, size])
         self.trip = np.concatenate([self.trip, trip])
         self.parity = np.concatenate([self.parity, parity])
-        self.place.update(zip(hashes, range(n, n + len(ids)), strict=True))
+        self.place.update(zip(hashes, range(n, n + len(size)), strict=True))
 
 
 def _encode_split(piece: tk.Slice, c: Codec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -240,9 +278,10 @@ def _encode_split(piece: tk.Slice, c: Codec) -> tuple[np.ndarray, np.ndarray, np
         c.cache.clear()
     new = [i for i, h in enumerate(keys) if h not in c.cache.place]
     if new:
-        raw = data.tobytes()
-        segments = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[head[new]].tolist(), end[head[new]].tolist(), strict=True)]
-        c.cache.add([keys[i] for i in new], *c.encode_segments(segments))
+        at, size = start[head[new]], (end - start)[head[new]]
+        border = np.concatenate([[0], np.cumsum(size)])
+        raw = data[np.repeat(at - border[:-1], size) + np.arange(border[-1])].tobytes()
+        c.cache.add([keys[i] for i in new], *c.encode_segments(raw, border))
     at = np.cumsum(c.cache.size) - c.cache.size
     where = np.fromiter((c.cache.place[h] for h in keys), np.int64, len(keys))[back] if keys else np.empty(0, np.int64)
     count = c.cache.size[where]
