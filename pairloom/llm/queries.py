@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, quality, sentencepiece_codec, toxicity, url_filter
+from . import lm, quality, sentence_spans, sentencepiece_codec, toxicity, url_filter
 from .storage import table
 
 URL_RULES = (
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.dedup_sentences(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
+    "op5_sentence_spans": op5_sentence_spans,
     "op7_lm_score": op7_lm_score,
     "op8_url_reputation": op8_url_reputation,
     "op9_quality_rules": op9_quality_rules,
