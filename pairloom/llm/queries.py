@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, quality, sentence_spans, sentencepiece_codec, toxicity, url_filter
+from . import decontaminate, lm, quality, sentence_spans, sentencepiece_codec, surrogates, toxicity, url_filter
 from .storage import table
 
 URL_RULES = (
@@ -21,6 +21,10 @@ URL_RULES = (
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the ids of every document (``ids_hash`` of the whole array), with both checks."""
     encoded = sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents"), TOKENIZER, ["doc_id"])
@@ -31,6 +35,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.dedup_sentences(table(spark, sf_dir, "documents"))
 
@@ -52,8 +60,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_surrogates": op1_surrogates,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
+    "op4_decontaminate": op4_decontaminate,
     "op5_sentence_spans": op5_sentence_spans,
     "op7_lm_score": op7_lm_score,
     "op8_url_reputation": op8_url_reputation,
