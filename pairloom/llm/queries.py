@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm, partenum, quality, sentence_spans, sentencepiece_codec, surrogates, toxicity, url_filter
+from . import decontaminate, lm, partenum, quality, sentence_spans, sentencepiece_codec, suffix_index, surrogates, toxicity, url_filter
 from .storage import table
 
 URL_RULES = (
@@ -43,6 +43,10 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.dedup_sentences(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.dedup_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op5_sentence_spans": op5_sentence_spans,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_lm_score": op7_lm_score,
     "op8_url_reputation": op8_url_reputation,
     "op9_quality_rules": op9_quality_rules,
