@@ -141,7 +141,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, params: TemplatePar
     matched = scratch.keep(matched, "matched")
     hits = matched.groupBy("doc_id", "content").agg(F.collect_list(F.struct("item", "shift", "n_matched", "n_windows")).alias("hits"))
     again = (
-        keyed.join(hits, [keyed.doc_id.eqNullSafe(hits.doc_id), keyed.content.eqNullSafe(hits.content)])
+        keyed.join(hits.hint("merge"), [keyed.doc_id.eqNullSafe(hits.doc_id), keyed.content.eqNullSafe(hits.content)])
         .select(keyed.doc_id, raw_tokens(F.col("text")).alias("doc_raw"), "hits")
         .withColumn("doc_template", templates(F.col("doc_raw")))
         .withColumn("hit", F.explode("hits"))
@@ -174,4 +174,4 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, params: TemplatePar
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, unchanged and with all columns."""
     bad = find_contaminated(docs, benchmark, params).select("doc_id").distinct().withColumnRenamed("doc_id", "bad_id")
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.bad_id), "left_anti")
+    return docs.join(bad.hint("merge"), docs.doc_id.eqNullSafe(bad.bad_id), "left_anti")

@@ -332,7 +332,7 @@ def verify(pairs: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
         for batch in batches:
             yield from run(batch.slice(at, 500) for at in range(0, batch.num_rows, 500))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ga", "gb").mapInArrow(sliced, "a bigint, b bigint, linked boolean")
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "ga", "gb").mapInArrow(sliced, "a bigint, b bigint, linked boolean")
 
 
 def search(queries: list[tuple[int, np.ndarray]], texts: DataFrame, p: JoinParams) -> DataFrame:
@@ -427,7 +427,7 @@ def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
     # copies have their representative's links
     pairs = scratch.keep(_to_representatives(pairs, copies), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    grams = scratch.keep(sets_of(texts.join(wanted, "id", "left_semi"), p), "sets")
+    grams = scratch.keep(sets_of(texts.join(wanted.hint("merge"), "id", "left_semi"), p), "sets")
     checked = scratch.keep(verify(pairs, grams, p).groupBy("a", "b").agg(F.max("linked").alias("linked")), "checked")
     links = [copies, checked.where("linked").select("a", "b")]
     stars = found.where(F.col("kind") != ENTRY).select("kind", "a", "b")

@@ -195,16 +195,16 @@ def contexts(texts: DataFrame, wanted: DataFrame, p: SuffixParams) -> DataFrame:
                 )
 
     rows = wanted.groupBy("id", "content").agg(F.collect_list(F.struct("key", "span", "n", "wide", "first", "last")).alias("rows"))
-    return texts.join(rows, ["id", "content"]).select("text", "rows").mapInArrow(run, "key bigint, span bigint, n bigint, wide boolean, bytes binary")
+    return texts.join(rows.hint("merge"), ["id", "content"]).select("text", "rows").mapInArrow(run, "key bigint, span bigint, n bigint, wide boolean, bytes binary")
 
 
 def matches(texts: DataFrame, found: DataFrame, repeated: DataFrame, p: SuffixParams, scratch: Scratch) -> DataFrame:
     """(id, content, first, last): runs of windows of ``texts`` whose bytes also begin elsewhere."""
-    cand = scratch.keep(found.join(repeated, "key", "left_semi"), "matched")
+    cand = scratch.keep(found.join(repeated.hint("merge"), "key", "left_semi"), "matched")
     variants = cand.groupBy("key", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "content", "first", "last")).alias("at"))
     variants = scratch.keep(variants, "variants")
     width = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n_spans")).where("n_spans > 1")
-    mixed = variants.join(width, "key").select("key", "span", "n", (F.col("n_spans") > p.wide).alias("wide"), "at.*")
+    mixed = variants.join(width.hint("merge"), "key").select("key", "span", "n", (F.col("n_spans") > p.wide).alias("wide"), "at.*")
     texts_of = scratch.keep(contexts(texts, mixed, p), "contexts")
     buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = (
@@ -224,8 +224,8 @@ def matches(texts: DataFrame, found: DataFrame, repeated: DataFrame, p: SuffixPa
     shared = each.groupBy("key", "window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "window")
     wide = each.where("n = 1").join(shared, ["key", "window"], "left_semi").select("key", "span", "a", F.col("a").alias("b"))
     partial = scratch.keep(narrow.unionByName(wide), "partial")
-    whole = cand.join(variants.where("n > 1").select("key", "span"), ["key", "span"], "left_semi").select("id", "content", "first", "last")
-    some = cand.join(partial, ["key", "span"]).select("id", "content", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"))
+    whole = cand.join(variants.where("n > 1").select("key", "span").hint("merge"), ["key", "span"], "left_semi").select("id", "content", "first", "last")
+    some = cand.join(partial.hint("merge"), ["key", "span"]).select("id", "content", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"))
     return whole.unionByName(some)
 
 
@@ -293,7 +293,7 @@ def dedup_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataF
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = docs.select("doc_id", "text", *key).join(marks, ["id", "content"], "left").select("doc_id", "text", "first", "last")
+    joined = docs.select("doc_id", "text", *key).join(marks.hint("merge"), ["id", "content"], "left").select("doc_id", "text", "first", "last")
     return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 

@@ -255,12 +255,12 @@ def replace_private(docs: DataFrame, params: SurrogateParams = SurrogateParams()
     surrogates = assign_surrogates(values, params, scratch)
     rendered = values.join(surrogates, ["kind", "canon"]).select("value", _render(F.col("value"), F.col("kind"), F.col("surrogate")).alias("new"))
     per_doc = (
-        found.join(rendered, "value", "left")
+        found.join(rendered.hint("merge"), "value", "left")
         .groupBy(F.col("doc_id").alias("key_id"), F.col("content").alias("key_content"))
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("new", "value").alias("new")))), lambda x: x["new"]).alias("new"))
     )
     touched = docs.where(hinted).withColumn("__content", F.xxhash64("text")).join(
-        per_doc, F.col("doc_id").eqNullSafe(F.col("key_id")) & F.col("__content").eqNullSafe(F.col("key_content")), "left"
+        per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("key_id")) & F.col("__content").eqNullSafe(F.col("key_content")), "left"
     )
     between = F.split("text", ENTITY, -1)
     rebuilt = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get("new", i), F.lit("")))), "")
