@@ -1,6 +1,381 @@
-"""Registered queries of the library's own operators and their SQL counterparts."""
+"""Registered queries of the library's own operators and their SQL counterparts.
+
+All read the driver's ``embeddings`` table: idx = vec_id, series = 'series_' || label, and synthetic
+paths '/img/<label>/<vec_id>.png'.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import index_dtype, l2_norm, plural_phrase, suffix, to_half, unit
+from .operators import encode as enc
+from .operators import labels, neighbors, packed, rankings, retrieval, similarity
+from .plans.pairwise import members_from_column
+from .sources import scan
+
+K = 10
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("idx"), "embedding", "label")
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return members_from_column(items(spark, sf_dir))
+
+
+def _r(column: str | F.Column, name: str, digits: int = 6) -> F.Column:
+    return F.round(F.col(column) if isinstance(column, str) else column, digits).alias(name)
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/img/"), F.col("label").cast("string"), F.lit("/"), F.lpad(F.col("idx").cast("string"), 6, "0"), F.lit(".png"))
+    return items(spark, sf_dir).select("idx", path.alias("path"), "label")
+
+
+def _upper(spark: SparkSession, sf_dir: str, dtype: str = "double") -> DataFrame:
+    return similarity.pairs_blocked(items(spark, sf_dir), dtype)
+
+
+def _top(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    return similarity.topk_blocked(items(spark, sf_dir), k)
+
+
+def _largest(spark: SparkSession, sf_dir: str) -> int:
+    return labels.largest_series(members(spark, sf_dir)).first().largest
+
+
+def _curve_rankings(spark: SparkSession, sf_dir: str, candidates: DataFrame | None = None) -> DataFrame:
+    """Only the first max_k ranks count in a curve, so each query keeps that many neighbours."""
+    top = similarity.topk_blocked(items(spark, sf_dir), _largest(spark, sf_dir), candidates=candidates)
+    return top.select(F.col("i").alias("q"), "rk", "j")
+
+
+def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.series_curve(_curve_rankings(spark, sf_dir), members(spark, sf_dir))
+
+
+def l2_norms(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("idx").alias("vec_id"), _r(l2_norm(F.col("embedding")), "norm"))
+
+
+def normalized_vectors(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("idx").alias("vec_id"), F.posexplode(unit(F.col("embedding"))).alias("d", "x")).select("vec_id", "d", _r("x", "x"))
+
+
+def cosine_pairs_upper(spark, sf_dir):
+    pairs = similarity.pairs_by_expression(items(spark, sf_dir))
+    return pairs.select("i", "j", _r(1 - F.col("dist"), "sim"))
+
+
+def distance_pairs_upper(spark, sf_dir):
+    return _upper(spark, sf_dir).select("i", "j", _r("dist", "dist"))
+
+
+def packed_distances(spark, sf_dir):
+    source = items(spark, sf_dir)
+    return packed.pack(_upper(spark, sf_dir), source.count()).select("pos", _r("dist", "dist"))
+
+
+def packed_infer_n(spark, sf_dir):
+    n = items(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    lengths = n.select(F.explode(F.array((F.col("n") * (F.col("n") - 1) / 2).cast("bigint"), F.lit(0).cast("bigint"), F.lit(1).cast("bigint"), F.lit(5).cast("bigint"), F.lit(499500).cast("bigint"))).alias("length"))
+    return lengths.select("length", packed.infer_n_column(F.col("length")).alias("n"))
+
+
+def _wanted(spark, sf_dir):
+    """Every pair of an item and its successor, and each of those reversed."""
+    n = items(spark, sf_dir).count()
+    ids = items(spark, sf_dir).where(F.col("idx") < n - 1).select("idx")
+    there = ids.select(F.col("idx").alias("i"), (F.col("idx") + 1).alias("j"))
+    return there.unionByName(there.select(F.col("j").alias("i"), F.col("i").alias("j"))), n
+
+
+def packed_point_lookup(spark, sf_dir):
+    wanted, n = _wanted(spark, sf_dir)
+    return packed.lookup(packed.pack(_upper(spark, sf_dir), n), wanted, n).select("i", "j", _r("dist", "dist"))
+
+
+def packed_decode_pairs(spark, sf_dir):
+    n = items(spark, sf_dir).count()
+    positions = spark.range(n * (n - 1) // 2).select(F.col("id").alias("pos"), F.lit(0.0).alias("dist"))
+    return packed.unpack(positions, n).select("i", "j", packed.pair_position(F.col("i"), F.col("j"), n).alias("pos"))
+
+
+def distance_float16(spark, sf_dir):
+    """Rounded to 5 digits before the half rounding, so that last-bit differences of engines vanish."""
+    return _upper(spark, sf_dir).select("i", "j", to_half(F.round("dist", 5)).cast("double").alias("dist16"))
+
+
+def index_width(spark, sf_dir):
+    return items(spark, sf_dir).agg(F.count(F.lit(1)).alias("n")).select("n", index_dtype(F.col("n")).alias("index_dtype"))
+
+
+def topk_neighbors(spark, sf_dir):
+    directed = similarity.pairs_by_expression(items(spark, sf_dir), directed=True)
+    return neighbors.rank(directed, K).select("i", "rk", "j", _r("dist", "dist"))
+
+
+def topk_neighbors_blocked(spark, sf_dir):
+    return _top(spark, sf_dir).select("i", "rk", "j", _r("dist", "dist"))
+
+
+def topk_width_check(spark, sf_dir):
+    return neighbors.width_by_item(_top(spark, sf_dir))
+
+
+def neighbors_of(spark, sf_dir):
+    return neighbors.neighbors_of(_top(spark, sf_dir), 7).select("rk", "j", _r("dist", "dist"))
+
+
+def distance_if_present(spark, sf_dir):
+    return neighbors.distance_if_present(_top(spark, sf_dir), _wanted(spark, sf_dir)[0]).select("i", "j", _r("dist", "dist"))
+
+
+def full_rankings_labeled(spark, sf_dir):
+    source = items(spark, sf_dir)
+    queries = source.where("label = 3").select("idx")
+    return rankings.from_pairs(similarity.pairs_by_expression(source, directed=True, queries=queries))
+
+
+def rankings_labeled_only(spark, sf_dir):
+    source = items(spark, sf_dir)
+    labelled = source.where("label < 5").select("idx")
+    top = similarity.topk_blocked(source, K, candidates=labelled, queries=labelled)
+    return top.select(F.col("i").alias("q"), "rk", "j")
+
+
+def rankings_from_packed(spark, sf_dir):
+    source = items(spark, sf_dir)
+    n = source.count()
+    stored = packed.pack(_upper(spark, sf_dir), n)
+    return rankings.from_pairs(packed.both_ways(packed.unpack(stored, n)), queries=source.where("label = 3"))
+
+
+def rankings_from_topk(spark, sf_dir):
+    source = items(spark, sf_dir)
+    labelled = source.where("label < 5").select("idx")
+    return rankings.from_topk(_top(spark, sf_dir, 50), candidates=labelled, queries=labelled)
+
+
+def series_members(spark, sf_dir):
+    return members(spark, sf_dir).select("series", "idx")
+
+
+def series_sizes(spark, sf_dir):
+    return labels.series_sizes(members(spark, sf_dir))
+
+
+def largest_series(spark, sf_dir):
+    return labels.largest_series(members(spark, sf_dir))
+
+
+def labeled_union(spark, sf_dir):
+    m = members(spark, sf_dir)
+    return labels.labelled_union(m.unionByName(m.where("idx % 2 = 0")))
+
+
+def series_dedup(spark, sf_dir):
+    m = members(spark, sf_dir)
+    return labels.distinct_members(m.unionByName(m.where("idx % 3 = 0"))).select("series", "idx")
+
+
+def series_positives(spark, sf_dir):
+    return labels.positives(members(spark, sf_dir)).groupBy("series", "q").agg(F.count(F.lit(1)).alias("n_positives"))
+
+
+def _overlapping(spark, sf_dir):
+    m = members(spark, sf_dir)
+    other = items(spark, sf_dir).select(F.concat(F.lit("mod_"), (F.col("idx") % 7).cast("string")).alias("series"), (100 + F.col("idx") % 7).cast("int").alias("series_ord"), F.col("idx").cast("int").alias("pos"), "idx")
+    return m.unionByName(other)
+
+
+def overlapping_series_map(spark, sf_dir):
+    m = _overlapping(spark, sf_dir)
+    top = similarity.topk_blocked(items(spark, sf_dir), 20).select(F.col("i").alias("q"), "rk", "j")
+    return retrieval.series_curve(top, m, 20).select("series", "k", _r("map", "map"))
+
+
+def precision_at_hits(spark, sf_dir):
+    hits = retrieval.precision_at_hits(_curve_rankings(spark, sf_dir), members(spark, sf_dir))
+    return hits.select("series", "q", "rk", "hits", _r("prec", "prec"))
+
+
+def average_precision_at_k(spark, sf_dir):
+    ap = retrieval.average_precision(_curve_rankings(spark, sf_dir), members(spark, sf_dir))
+    return ap.select("series", "q", "k", _r("ap", "ap"))
+
+
+def series_map_curve(spark, sf_dir):
+    return _curve(spark, sf_dir).select("series", "k", _r("map", "map"))
+
+
+def series_map_from_topk(spark, sf_dir):
+    """The curve on stored neighbours that end at rank 20: cut-offs beyond it gain nothing."""
+    top = _top(spark, sf_dir, 20)
+    m = members(spark, sf_dir)
+    return retrieval.series_curve(rankings.from_topk(top, queries=m), m).select("series", "k", _r("map", "map"))
+
+
+def macro_mean_map(spark, sf_dir):
+    return retrieval.macro_mean(_curve(spark, sf_dir)).select("k", _r("map", "map"))
+
+
+def map_report_wide(spark, sf_dir):
+    return retrieval.wide_report(_curve(spark, sf_dir), 10)
+
+
+def label_path_mapping(spark, sf_dir):
+    paths = _paths(spark, sf_dir)
+    marked = paths.select(F.concat(F.lit("series_"), F.col("label").cast("string")).alias("series"), F.col("label").cast("int").alias("series_ord"), F.col("idx").cast("int").alias("pos"), "path")
+    # every path twice among the items: the last idx counts
+    doubled = paths.select("idx", "path").unionByName(paths.select((F.col("idx") + 1_000_000).alias("idx"), "path"))
+    return labels.map_paths(marked, doubled).select("series", "pos", "idx")
+
+
+def missing_labels(spark, sf_dir):
+    paths = _paths(spark, sf_dir)
+    marked = paths.select(F.concat(F.lit("series_"), F.col("label").cast("string")).alias("series"), F.lit(0).alias("series_ord"), F.lit(0).alias("pos"), "path")
+    return labels.missing_paths(marked, paths.where("idx % 5 <> 0")).select("series", "path")
+
+
+def anonymized_series_indices(spark, sf_dir):
+    out = labels.indices_by_series(members(spark, sf_dir))
+    return out.select("series", F.concat_ws(",", F.transform("indices", lambda x: x.cast("string"))).alias("indices"))
+
+
+def _names(spark, sf_dir):
+    ends = F.element_at(F.array(*map(F.lit, [".png", ".JPG", ".txt", ".tar.TIFF", "", ".jpeg", "."])), (F.col("idx") % 7 + 1).cast("int"))
+    return items(spark, sf_dir).select(F.concat(F.lit("/data/dir."), (F.col("idx") % 3).cast("string"), F.lit("/f"), F.col("idx").cast("string"), ends).alias("path"))
+
+
+def extension_filter(spark, sf_dir):
+    return scan.filter_extensions(_names(spark, sf_dir), scan.DEFAULT_EXTENSIONS).select("path", suffix(F.col("path")).alias("suffix"))
+
+
+def path_component_order(spark, sf_dir):
+    tails = F.element_at(F.array(*map(F.lit, ["/a.png", "-b/a.png", ".png"])), (F.col("idx") % 3 + 1).cast("int"))
+    paths = items(spark, sf_dir).select(F.concat(F.lit("/r/x"), (F.col("idx") % 50).cast("string"), F.lit("/"), F.col("idx").cast("string"), tails).alias("path"))
+    return scan.with_index(paths)
+
+
+def batch_assignment(spark, sf_dir):
+    return items(spark, sf_dir).groupBy(F.floor(F.col("idx") / 32).cast("bigint").alias("batch_no")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def plural_phrases(spark, sf_dir):
+    counts = items(spark, sf_dir).groupBy((F.col("idx") % 400).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("bucket", plural_phrase(F.col("n"), "image").alias("phrase"))
+
+
+def encode_stub(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    contents = docs.select(F.col("doc_id").alias("idx"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return enc.encode(contents, enc.HashEncoder, 64)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        l2_norms, normalized_vectors, cosine_pairs_upper, distance_pairs_upper, packed_distances, packed_infer_n, packed_point_lookup,
+        packed_decode_pairs, distance_float16, index_width, topk_neighbors, topk_neighbors_blocked, topk_width_check, neighbors_of,
+        distance_if_present, full_rankings_labeled, rankings_labeled_only, rankings_from_packed, rankings_from_topk, series_members,
+        series_sizes, largest_series, labeled_union, series_dedup, series_positives, overlapping_series_map, precision_at_hits,
+        average_precision_at_k, series_map_curve, series_map_from_topk, macro_mean_map, map_report_wide, label_path_mapping, missing_labels,
+        anonymized_series_indices, extension_filter, path_component_order, batch_assignment, plural_phrases, encode_stub,
+    )
+}
+
+# ---------------------------------------------------------------- SQL
+
+_UNITS = """
+WITH e AS (SELECT vec_id AS idx, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT idx, label, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS u FROM e),
+d AS (SELECT a.idx AS i, b.idx AS j, 1 - list_dot_product(a.u, b.u) AS dist, a.label AS li, b.label AS lj FROM u a JOIN u b ON a.idx <> b.idx)
+"""
+_RANKED = _UNITS + ", r AS (SELECT i, row_number() OVER (PARTITION BY i ORDER BY dist, j)::INT AS rk, j, dist, li, lj FROM d)\n"
+_SERIES = "'series_' || label::VARCHAR"
+# hits of the relevance relation rel(series, q, rk), sizes s(series, m), cut-offs ks(k)
+_AP = """
+, h AS (SELECT series, q, rk, row_number() OVER (PARTITION BY series, q ORDER BY rk) AS hits FROM rel)
+, ap AS (SELECT h.series, h.q, ks.k, sum(hits / rk) / least(ks.k, min(s.m) - 1) AS ap
+         FROM h JOIN s ON s.series = h.series JOIN ks ON h.rk <= ks.k GROUP BY h.series, h.q, ks.k)
+, curve AS (SELECT s.series, ks.k, coalesce(sum(ap.ap), 0) / min(s.m) AS map
+            FROM s CROSS JOIN ks LEFT JOIN ap ON ap.series = s.series AND ap.k = ks.k GROUP BY s.series, ks.k)
+"""
+_LABEL_CURVE = _RANKED + f"""
+, s AS (SELECT {_SERIES} AS series, count(*) AS m FROM embeddings GROUP BY 1)
+, ks AS (SELECT unnest(range(1, (SELECT max(m) FROM s) + 1))::INT AS k)
+, rel AS (SELECT 'series_' || li::VARCHAR AS series, i AS q, rk FROM r WHERE li = lj AND rk <= (SELECT max(m) FROM s))
+""" + _AP
+_HALF = "CASE WHEN x = 0 THEN x ELSE round_even(x / p, 0) * p END"
+_N = "(SELECT count(*) FROM embeddings)"
+
+ORACLES: dict[str, str] = {
+    "l2_norms": "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings",
+    "normalized_vectors": _UNITS + "SELECT idx AS vec_id, (unnest(range(1, len(u) + 1)) - 1)::INT AS d, round(unnest(u), 6) AS x FROM u",
+    "cosine_pairs_upper": _UNITS + "SELECT i, j, round(1 - dist, 6) AS sim FROM d WHERE i < j",
+    "distance_pairs_upper": _UNITS + "SELECT i, j, round(dist, 6) AS dist FROM d WHERE i < j",
+    "packed_distances": _UNITS + f"SELECT (i * ({_N} - 1) - i * (i - 1) // 2 + j - i - 1)::BIGINT AS pos, round(dist, 6) AS dist FROM d WHERE i < j",
+    "packed_infer_n": f"""
+WITH l AS (SELECT unnest([{_N} * ({_N} - 1) // 2, 0, 1, 5, 499500])::BIGINT AS length),
+g AS (SELECT length, floor((1 + sqrt(1 + 8 * length)) / 2)::BIGINT AS n FROM l)
+SELECT length, CASE WHEN length > 0 AND n * (n - 1) // 2 = length THEN n END AS n FROM g""",
+    "packed_point_lookup": _UNITS + "SELECT i, j, round(dist, 6) AS dist FROM d WHERE abs(i - j) = 1",
+    "packed_decode_pairs": f"""
+SELECT a.vec_id AS i, b.vec_id AS j, row_number() OVER (ORDER BY a.vec_id, b.vec_id) - 1 AS pos
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id""",
+    "distance_float16": _UNITS + f""", f AS (SELECT i, j, round(dist, 5)::FLOAT::DOUBLE AS x FROM d WHERE i < j),
+g AS (SELECT i, j, x, pow(2.0, greatest(CASE WHEN x = 0 THEN -14 ELSE floor(log2(abs(x))) END, -14) - 10) AS p FROM f)
+SELECT i, j, {_HALF} AS dist16 FROM g""",
+    "index_width": "SELECT count(*) AS n, CASE WHEN count(*) <= 65536 THEN 'uint16' ELSE 'uint32' END AS index_dtype FROM embeddings",
+    "topk_neighbors": _RANKED + f"SELECT i, rk, j, round(dist, 6) AS dist FROM r WHERE rk <= {K}",
+    "topk_neighbors_blocked": _RANKED + f"SELECT i, rk, j, round(dist, 6) AS dist FROM r WHERE rk <= {K}",
+    "topk_width_check": f"SELECT vec_id AS i, least({K}, {_N} - 1)::BIGINT AS n_neighbors FROM embeddings",
+    "neighbors_of": _RANKED + f"SELECT rk, j, round(dist, 6) AS dist FROM r WHERE i = 7 AND rk <= {K}",
+    "distance_if_present": _RANKED + f"SELECT i, j, CASE WHEN rk <= {K} THEN round(dist, 6) END AS dist FROM r WHERE abs(i - j) = 1",
+    "full_rankings_labeled": _RANKED + "SELECT i AS q, rk, j FROM r WHERE li = 3",
+    "rankings_labeled_only": _UNITS + f"""
+SELECT q, rk, j FROM (SELECT i AS q, row_number() OVER (PARTITION BY i ORDER BY dist, j)::INT AS rk, j FROM d WHERE li < 5 AND lj < 5) WHERE rk <= {K}""",
+    "rankings_from_packed": _RANKED + "SELECT i AS q, rk, j FROM r WHERE li = 3",
+    "rankings_from_topk": _RANKED + "SELECT i AS q, row_number() OVER (PARTITION BY i ORDER BY rk)::INT AS rk, j FROM r WHERE rk <= 50 AND li < 5 AND lj < 5",
+    "series_members": f"SELECT {_SERIES} AS series, vec_id AS idx FROM embeddings",
+    "series_sizes": f"SELECT {_SERIES} AS series, count(*) AS size FROM embeddings GROUP BY 1",
+    "largest_series": "SELECT max(m) AS largest FROM (SELECT count(*) AS m FROM embeddings GROUP BY label)",
+    "labeled_union": "SELECT DISTINCT vec_id AS idx FROM embeddings",
+    "series_dedup": f"SELECT DISTINCT {_SERIES} AS series, vec_id AS idx FROM embeddings",
+    "series_positives": f"SELECT 'series_' || a.label::VARCHAR AS series, a.vec_id AS q, count(*) AS n_positives FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1, 2",
+    "overlapping_series_map": _RANKED + f"""
+, mem AS (SELECT {_SERIES} AS series, vec_id AS idx FROM embeddings UNION ALL SELECT 'mod_' || (vec_id % 7)::VARCHAR, vec_id FROM embeddings)
+, s AS (SELECT series, count(*) AS m FROM mem GROUP BY 1)
+, ks AS (SELECT unnest(range(1, 21))::INT AS k)
+, rel AS (SELECT a.series, r.i AS q, r.rk FROM r JOIN mem a ON a.idx = r.i JOIN mem b ON b.idx = r.j AND a.series = b.series WHERE r.rk <= 20)
+""" + _AP + "SELECT series, k, round(map, 6) AS map FROM curve",
+    "precision_at_hits": _LABEL_CURVE + "SELECT series, q, rk, hits::INT AS hits, round(hits / rk, 6) AS prec FROM h",
+    "average_precision_at_k": _LABEL_CURVE + "SELECT series, q, k, round(ap, 6) AS ap FROM ap",
+    "series_map_curve": _LABEL_CURVE + "SELECT series, k, round(map, 6) AS map FROM curve",
+    "series_map_from_topk": _RANKED + f"""
+, s AS (SELECT {_SERIES} AS series, count(*) AS m FROM embeddings GROUP BY 1)
+, ks AS (SELECT unnest(range(1, (SELECT max(m) FROM s) + 1))::INT AS k)
+, rel AS (SELECT 'series_' || li::VARCHAR AS series, i AS q, rk FROM r WHERE li = lj AND rk <= 20)
+""" + _AP + "SELECT series, k, round(map, 6) AS map FROM curve",
+    "macro_mean_map": _LABEL_CURVE + "SELECT k, round(avg(map), 6) AS map FROM curve GROUP BY k",
+    "map_report_wide": _LABEL_CURVE + """, rows AS (SELECT series, k, map FROM curve UNION ALL SELECT 'mean', k, avg(map) FROM curve GROUP BY k)
+SELECT series, """ + ", ".join(f"max(CASE WHEN k = {k} THEN format('{{:.6f}}', map) END) AS \"map@{k}\"" for k in range(1, 11)) + " FROM rows GROUP BY series",
+    "label_path_mapping": f"SELECT {_SERIES} AS series, vec_id::INT AS pos, vec_id + 1000000 AS idx FROM embeddings",
+    "missing_labels": f"SELECT {_SERIES} AS series, '/img/' || label::VARCHAR || '/' || lpad(vec_id::VARCHAR, 6, '0') || '.png' AS path FROM embeddings WHERE vec_id % 5 = 0",
+    "anonymized_series_indices": f"SELECT {_SERIES} AS series, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS indices FROM embeddings GROUP BY 1",
+    "extension_filter": """
+WITH p AS (SELECT '/data/dir.' || (vec_id % 3)::VARCHAR || '/f' || vec_id::VARCHAR || (['.png', '.JPG', '.txt', '.tar.TIFF', '', '.jpeg', '.'])[vec_id % 7 + 1] AS path FROM embeddings),
+s AS (SELECT path, lower(regexp_extract(string_split(path, '/')[-1], '^.+(\\.[^.]+)$', 1)) AS suffix FROM p)
+SELECT path, suffix FROM s WHERE suffix IN ('.jpg', '.jpeg', '.png', '.bmp', '.webp', '.tif', '.tiff')""",
+    "path_component_order": """
+WITH p AS (SELECT '/r/x' || (vec_id % 50)::VARCHAR || '/' || vec_id::VARCHAR || (['/a.png', '-b/a.png', '.png'])[vec_id % 3 + 1] AS path FROM embeddings)
+SELECT row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS idx, path FROM p""",
+    "batch_assignment": "SELECT vec_id // 32 AS batch_no, count(*) AS n FROM embeddings GROUP BY 1",
+    "plural_phrases": "SELECT vec_id % 400 AS bucket, count(*)::VARCHAR || CASE WHEN count(*) = 1 THEN ' image' ELSE ' images' END AS phrase FROM embeddings GROUP BY 1",
+}
