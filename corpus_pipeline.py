@@ -1,27 +1,67 @@
-"""Corpus cleaning: quality rules, near-duplicates, decontamination, private data, tokens."""
+"""Corpus cleaning in five stages: quality rules, near-duplicates, decontamination, private data,
+tokens. Each stage reads what its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairloom.llm import quality
+from pairloom.llm import decontaminate, partenum, quality, sentencepiece_codec, surrogates
+from pairloom.llm.queries import TOKENIZER
+from pairloom.llm.storage import Scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
     return quality.keep_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays; so does every document
+    without words, which has no links. Rows that repeat an id stay together."""
+    groups = partenum.join_documents(docs)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Private data gets surrogates; n_chars follows the new text."""
+    out = surrogates.replace_private(docs).drop("n_entities")
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns) if "n_chars" in docs.columns else out
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text, beside its columns, with both checks."""
+    return sentencepiece_codec.encode_texts(docs, TOKENIZER, docs.columns)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", decontamination),
+    ("PII", pii),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pairloom.llm.storage import Scratch, table
-
-    docs = table(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
-    for i, (name, stage) in enumerate(STAGES):
+    """All stages over ``documents``; every one but the last is written to the shared folder, and the
+    table of the stage before it is removed."""
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
+    for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        docs = out if i == len(STAGES) - 1 else scratch.keep(out, name.replace(" ", "-"))
+        if i == len(STAGES) - 1:
+            return out
+        path = scratch.write(out, f"stage{i + 1}")
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            scratch.drop(before)
+        before = path
     return docs
