@@ -163,18 +163,19 @@ class Codec:
             vocab = {p: i for i, (p, _, _) in enumerate(spec.pieces)}
             merges = []
             for piece, score, kind in spec.pieces:
-                if kind in (NORMAL, USER_DEFINED):
+                if kind == NORMAL:  # user-defined pieces are cut out of the text before anything is merged
                     for cut in range(1, len(piece)):
                         left, right = vocab.get(piece[:cut]), vocab.get(piece[cut:])
                         if left is not None and right is not None:
-                            merges.append((-score, left, right))
+                            # of equal scores the leftmost pair goes first: what has grown there is the longer
+                            merges.append((-score, -cut, left, right))
             merges.sort()
             text = [p for p, _, _ in spec.pieces]
-            model = models.BPE(vocab, [(text[a], text[b]) for _, a, b in merges], unk_token=text[spec.unk_id], fuse_unk=True, byte_fallback=spec.byte_fallback)
+            model = models.BPE(vocab, [(text[a], text[b]) for _, _, a, b in merges], unk_token=text[spec.unk_id], fuse_unk=True, byte_fallback=spec.byte_fallback)
         out = Tokenizer(model)
         out.normalizer = normalizers.Sequence(steps)
         out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
-        user = [AddedToken(p, normalized=False) for p, _, kind in spec.pieces if kind == USER_DEFINED]
+        user = [AddedToken(p, normalized=True, special=False) for p, _, kind in spec.pieces if kind == USER_DEFINED]
         if user:
             out.add_tokens(user)
         out.encode_special_tokens = True
@@ -182,7 +183,12 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts; an empty text has none."""
-        found = [x.ids for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        spec = self.spec
+        if spec.charsmap or spec.squeeze_spaces:
+            found = [x.ids for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        else:
+            lead = " " if spec.dummy_prefix else ""
+            found = [x.ids for x in self.segment.encode_batch_fast([lead + t for t in texts], add_special_tokens=False)]
         return [ids if text else [] for ids, text in zip(found, texts, strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
