@@ -80,4 +80,77 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    # every window as hexadecimal text; repeated ones joined to islands; the rest hashed
+    "op6_suffix_dedup": """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS p,
+             unnest(list_transform(range(0, greatest(len(h) // 2 - 199, 0)), lambda i: md5(substr(h, (2 * i + 1)::BIGINT, 400)))) AS k FROM b),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+d AS (SELECT doc_id, p FROM w WHERE k IN (SELECT k FROM twice)),
+g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM d),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+r AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS z FROM i GROUP BY doc_id, run),
+edges AS (SELECT doc_id, run, a, z FROM r UNION ALL SELECT doc_id, 9e15::BIGINT, len(h) // 2, len(h) // 2 FROM b),
+kept AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY run), 0) AS begin FROM edges),
+parts AS (SELECT kept.doc_id, string_agg(substr(h, 2 * begin + 1, 2 * (a - begin)), '' ORDER BY begin) AS rest FROM kept JOIN b USING (doc_id) GROUP BY kept.doc_id)
+SELECT b.doc_id, len(h) // 2 AS n_bytes, coalesce(s.n, 0)::BIGINT AS n_removed, coalesce(s.c, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM b JOIN parts USING (doc_id) LEFT JOIN (SELECT doc_id, sum(z - a) AS n, count(*) AS c FROM r GROUP BY doc_id) s USING (doc_id)""",
+    "op8_url_reputation": f"""
+WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+l AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+o AS (SELECT host, bad FROM u JOIN l USING (page_id)),
+h AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix, count(*) AS n, sum(bad) AS b FROM o GROUP BY 1, 2, 3),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(b) AS b FROM h GROUP BY 1, 2),
+s AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM d GROUP BY 1),
+t AS (SELECT sum(n) AS n, sum(b) AS b FROM s),
+sm AS (SELECT suffix, (s.b + 10.0::DOUBLE * (t.b + 1) / (t.n + 2)) / (s.n + 10.0::DOUBLE) AS m FROM s, t),
+dm AS (SELECT domain, (d.b + 10.0::DOUBLE * sm.m) / (d.n + 10.0::DOUBLE) AS m FROM d JOIN sm USING (suffix)),
+hm AS (SELECT host, h.n + 10.0::DOUBLE AS size, (h.b + 10.0::DOUBLE * dm.m) / (h.n + 10.0::DOUBLE) AS m FROM h JOIN dm USING (domain)),
+k AS (SELECT host, round(m - 1.645::DOUBLE * sqrt(m * (1 - m) / (size + 1)), 9) AS lower FROM hm),
+j AS (SELECT page_id, u.host, path, lower, CASE
+    WHEN (u.host = 'example.com' OR ends_with(u.host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (u.host = 'example.net' OR ends_with(u.host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (u.host = 'org' OR ends_with(u.host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (u.host = 'net' OR ends_with(u.host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM u LEFT JOIN k USING (host))
+SELECT page_id, host, path, rule, lower, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM j""",
+    # documents are distinct by their smallest line as text, where the operator takes the smallest line hash
+    "op9_quality_rules": f"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, host, text, regexp_extract_all(text, '{_WORD}') AS words FROM t),
+a AS (SELECT doc_id, host, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols FROM w),
+l AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM t),
+s AS (SELECT doc_id, host, line, regexp_extract_all({_LOWER.format("line")}, '{_WORD}') AS lw FROM l WHERE regexp_matches(line, '{_WORD}')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM s GROUP BY 1),
+win AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, unnest(list_transform(range(1, len(words) - 6), lambda i: array_to_string(words[i:i + 7], ' '))) AS g FROM w WHERE len(words) >= 8),
+two AS (SELECT doc_id, g FROM win GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT win.doc_id, unnest(range(i, i + 8)) AS pos FROM win JOIN two USING (doc_id, g)) GROUP BY 1),
+base AS (SELECT a.*, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM a LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+ln AS (SELECT s.doc_id, s.host, array_to_string(lw, ' ') AS line, len(lw) AS k FROM s JOIN f USING (doc_id) WHERE NOT base_failed),
+mk AS (SELECT doc_id, min(line) AS mark FROM ln GROUP BY 1),
+hs AS (SELECT host, count(DISTINCT mark) AS n FROM ln JOIN mk USING (doc_id) GROUP BY 1),
+fr AS (SELECT host, line, count(DISTINCT mark) AS n FROM ln JOIN mk USING (doc_id) GROUP BY 1, 2),
+gone AS (SELECT ln.doc_id, sum(k)::BIGINT AS removed FROM ln JOIN fr USING (host, line) JOIN hs USING (host) WHERE fr.n > 100 AND fr.n > 0.02 * hs.n GROUP BY 1)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(removed, 0) AS removed_words,
+       NOT base_failed AND NOT (coalesce(removed, 0) > 0 AND (n_words - removed < 20 OR n_words - removed < 0.3 * n_words)) AS kept
+FROM f LEFT JOIN gone USING (doc_id)""",
+    "op10_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS words FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+                                WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a AS id, b AS r FROM sym UNION SELECT reach.id, sym.b FROM reach JOIN sym ON sym.a = reach.r),
+low AS (SELECT id, min(r) AS m FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(low.m, w.doc_id), w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.id = w.doc_id""",
+}
