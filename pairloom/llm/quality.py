@@ -184,4 +184,4 @@ def keep_documents(docs: DataFrame, rules: QualityRules = QualityRules()) -> Dat
     """The rows of ``docs`` that ``judge_documents`` keeps, unchanged and with all columns. doc_id
     must be unique in ``docs`` (a null doc_id is never kept)."""
     kept = judge_documents(docs, rules).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
