@@ -24,7 +24,7 @@ UNITS = (
 ).split()
 
 # an optional sentence start (marks up to the word) and a number or a word
-TOKEN = r"(?:(?:^|[.!?:\n])[^\p{L}\d]*)?(?:\d+(?:[.,]\d+)*|[\p{L}\p{M}]+)"
+TOKEN = r"(?:(?:^|[.!?:\n])[^a-zA-Z\p{L}\d]*+)?+(?:[a-zA-Z\p{L}\p{M}]++|\d++(?:[.,]\d++)*+)"
 LEADING = r"^[^\p{L}\d]+"
 
 
@@ -50,20 +50,20 @@ def raw_tokens(text: Column) -> Column:
 def templates(tokens: Column) -> Column:
     """Placeholder or lower-cased word for each raw token. A name is a capitalised word that doesn't
     start a sentence; a unit is a unit word right after a number."""
-    numbers, units = F.array(*map(F.lit, NUMBER_WORDS)), F.array(*map(F.lit, UNITS))
-
     def one(t: Column, i: Column) -> Column:
         first = F.substring(t, 1, 1)
         low = F.lower(t)
         starts = F.lower(first) == F.upper(first)  # a mark: the sentence starts here
         before = F.regexp_replace(F.get(tokens, i - 1), LEADING, "")
-        after_number = (F.substring(before, 1, 1).between("0", "9")) | F.array_contains(numbers, F.lower(before))
+        after_number = (F.substring(before, 1, 1).between("0", "9")) | F.lower(before).isin(NUMBER_WORDS)
         plain = F.regexp_replace(low, LEADING, "")
         return (
-            F.when(first.between("0", "9"), NUMBER)
-            .when(starts, F.when(F.substring(plain, 1, 1).between("0", "9") | F.array_contains(numbers, plain), NUMBER).otherwise(plain))
-            .when(F.array_contains(numbers, low), NUMBER)
-            .when(F.array_contains(units, low), F.when(after_number, UNIT).otherwise(low))
+            # most tokens: a word that begins with a-z and is no number or unit word
+            F.when(F.ascii(t).between(97, 122) & ~low.isin(NUMBER_WORDS + UNITS), low)
+            .when(first.between("0", "9"), NUMBER)
+            .when(starts, F.when(F.substring(plain, 1, 1).between("0", "9") | plain.isin(NUMBER_WORDS), NUMBER).otherwise(plain))
+            .when(low.isin(NUMBER_WORDS), NUMBER)
+            .when(low.isin(UNITS), F.when(after_number, UNIT).otherwise(low))
             .when(first != F.substring(low, 1, 1), F.when(i == 0, low).otherwise(NAME))
             .otherwise(t)
         )
@@ -123,7 +123,9 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, params: TemplatePar
     small = windows.select("h", "item", F.col("at").alias("item_at"))
     small = F.broadcast(small) if n_windows <= params.broadcast_rows else small
     keyed = docs.select("doc_id", F.xxhash64("text").alias("content"), "text")
-    base = keyed.where("text IS NOT NULL").select("doc_id", "content", templates(raw_tokens(F.col("text"))).alias("template"))
+    # raw tokens and templates are columns of their own: inside a lambda they would be made again for every element
+    base = keyed.where("text IS NOT NULL").select("doc_id", "content", raw_tokens(F.col("text")).alias("raw"))
+    base = base.select("doc_id", "content", templates(F.col("raw")).alias("template"))
     template = F.col("template")
     hashes = F.concat(*(window_hashes(template, n) for n in lengths)) if lengths else F.array().cast("array<bigint>")
     # places of each length's windows follow one another; place is the window's start
@@ -144,10 +146,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, params: TemplatePar
         keyed.join(hits.hint("merge"), [keyed.doc_id.eqNullSafe(hits.doc_id), keyed.content.eqNullSafe(hits.content)])
         .select(keyed.doc_id, raw_tokens(F.col("text")).alias("doc_raw"), "hits")
         .withColumn("doc_template", templates(F.col("doc_raw")))
-        .withColumn("hit", F.explode("hits"))
-        .select("doc_id", "doc_raw", "doc_template", "hit.*")
-        .join(items.drop("n_windows", "length"), "item")
     )
+    again = scratch.keep(again, "held").withColumn("hit", F.explode("hits")).select("doc_id", "doc_raw", "doc_template", "hit.*").join(items.drop("n_windows", "length"), "item")
     slots = F.filter(
         F.transform(
             F.sequence(F.lit(0), F.size("template") - 1),
