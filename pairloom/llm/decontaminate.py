@@ -11,17 +11,17 @@ from .storage import Scratch
 
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 
-# fixed values: number words, and units that follow a number
+# fixed values: number words; units that are units wherever they stand, and ones only after a number
 NUMBER_WORDS = (
     "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
     "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million"
 ).split()
 UNITS = (
-    "mm cm m km in inch inches ft feet foot yd yards mi mile miles mg g kg gram grams kilogram kilograms lb lbs "
-    "pound pounds oz ounce ounces ml l liter liters litre litres s sec second seconds min minute minutes h hr hour "
-    "hours day days week weeks month months year years dollar dollars cent cents euro euros percent degrees mph kph "
-    "meter meters metre metres kilometer kilometers"
+    "mm cm km inches yards mile miles mg kg grams kilogram kilograms lbs pounds ounce ounces ml liter liters litre "
+    "litres seconds minutes hour hours days weeks months years dollar dollars cents euro euros percent degrees mph kph "
+    "meters metres kilometer kilometers"
 ).split()
+UNITS_AFTER_NUMBER = "m in inch ft feet foot yd mi g gram lb pound oz l s sec second min minute h hr day week month year cent meter metre".split()
 
 # an optional sentence start (marks up to the word) and a number or a word
 TOKEN = r"(?:(?:^|[.!?:\n])[^a-zA-Z\p{L}\d]*+)?+(?:[a-zA-Z\p{L}\p{M}]++|\d++(?:[.,]\d++)*+)"
@@ -49,7 +49,7 @@ def raw_tokens(text: Column) -> Column:
 
 def templates(tokens: Column) -> Column:
     """Placeholder or lower-cased word for each raw token. A name is a capitalised word that doesn't
-    start a sentence; a unit is a unit word right after a number."""
+    start a sentence; an ambiguous unit word is a unit right after a number only."""
     def one(t: Column, i: Column) -> Column:
         first = F.substring(t, 1, 1)
         low = F.lower(t)
@@ -59,11 +59,12 @@ def templates(tokens: Column) -> Column:
         plain = F.regexp_replace(low, LEADING, "")
         return (
             # most tokens: a word that begins with a-z and is no number or unit word
-            F.when(F.ascii(t).between(97, 122) & ~low.isin(NUMBER_WORDS + UNITS), low)
+            F.when(F.ascii(t).between(97, 122) & ~low.isin(NUMBER_WORDS + UNITS + UNITS_AFTER_NUMBER), low)
             .when(first.between("0", "9"), NUMBER)
-            .when(starts, F.when(F.substring(plain, 1, 1).between("0", "9") | plain.isin(NUMBER_WORDS), NUMBER).otherwise(plain))
+            .when(starts, F.when(F.substring(plain, 1, 1).between("0", "9") | plain.isin(NUMBER_WORDS), NUMBER).when(plain.isin(UNITS), UNIT).otherwise(plain))
             .when(low.isin(NUMBER_WORDS), NUMBER)
-            .when(low.isin(UNITS), F.when(after_number, UNIT).otherwise(low))
+            .when(low.isin(UNITS), UNIT)
+            .when(low.isin(UNITS_AFTER_NUMBER), F.when(after_number, UNIT).otherwise(low))
             .when(first != F.substring(low, 1, 1), F.when(i == 0, low).otherwise(NAME))
             .otherwise(t)
         )

@@ -122,7 +122,7 @@ def toxic_corpus(n, seed):
 
 
 def test_unseen_misspellings_are_found():
-    p = toxicity.ToxicityParams(buckets=1 << 15, rounds=12)
+    p = toxicity.ToxicityParams()
     texts, y = toxic_corpus(600, 1)
     model = toxicity.train(pa.array(texts), y, p)
     probe, truth = toxic_corpus(300, 2)
