@@ -169,15 +169,15 @@ _ROW_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int
 _ROW_NAMES = [x.split()[0] for x in ROW.split(", ")]
 
 
-def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
+def _rows(kind: int, count: int, /, **columns) -> pa.RecordBatch:
     out = []
     for name, type_ in zip(_ROW_NAMES, _ROW_TYPES, strict=True):
         if name == "kind":
-            out.append(pa.array(np.full(n, kind, np.int32)))
+            out.append(pa.array(np.full(count, kind, np.int32)))
         elif name in columns:
             out.append(pa.array(columns[name], type_))
         else:
-            out.append(pa.nulls(n, type_))
+            out.append(pa.nulls(count, type_))
     return pa.RecordBatch.from_arrays(out, _ROW_NAMES)
 
 
@@ -288,10 +288,14 @@ def candidates(texts: DataFrame, p: JoinParams, scratch: Scratch) -> DataFrame:
     def match(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches(_match_bucket(table, p))
 
-    signed = scratch.keep(texts.mapInArrow(sign, ROW), "signatures")
+    path = scratch.write(texts.mapInArrow(sign, ROW), "signatures")
+    signed = scratch.spark.read.schema(ROW).parquet(path)
     matched = signed.where(F.col("kind") == BLOB).groupBy("bucket").applyInArrow(match, ROW)
     small = ["kind", "a", "b", "band", "t", "n"]
-    return scratch.keep(signed.where(F.col("kind") != BLOB).select(*small).unionByName(matched.select(*small)), "candidates")
+    found = scratch.keep(signed.where(F.col("kind") != BLOB).select(*small).unionByName(matched.select(*small)), "candidates")
+    scratch.drop(path)
+    scratch.settle()
+    return found
 
 
 # ---------------------------------------------------------------- verification
@@ -310,6 +314,42 @@ def sets_of(texts: DataFrame, p: JoinParams) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, grams array<bigint>")
 
 
+def bitmaps(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """For each set a bitmap of 2 to 4 bits an element: the lowest bits of the hashes that it holds."""
+    n = np.diff(first)
+    bits = np.maximum(64, 2 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    doc = np.repeat(np.arange(len(n)), n)
+    flags = np.zeros(begin[-1], np.uint8)
+    flags[begin[doc] + (grams & (bits[doc] - 1).astype(U64)).astype(np.int64)] = 1
+    packed = np.packbits(flags).tobytes()
+    return [packed[x // 8 : y // 8] if k else None for x, y, k in zip(begin[:-1].tolist(), begin[1:].tolist(), n.tolist(), strict=True)]
+
+
+def _may_link(na: int, nb: int, a: bytes, b: bytes, percent: int) -> bool:
+    """False only if the sets can't link: a bit that one has alone is an element that it has alone."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))  # powers of two: the longer one folds
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    only_a, only_b = (int(np.bitwise_count(z).sum()) for z in (x & ~y, y & ~x))
+    both = min(na - only_a, nb - only_b)
+    return 100 * both >= percent * (na + nb - both)
+
+
+def possible(pairs: DataFrame, maps: DataFrame, p: JoinParams) -> DataFrame:
+    """``pairs`` (a, b) without those whose bitmaps (id, n, bits) show that they can't link."""
+    left = maps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = maps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True)
+            keep = pa.array([_may_link(*row, p.percent) for row in rows], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
     """``pairs`` (a, b) with ``linked``: whether their sets link exactly."""
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
@@ -414,10 +454,11 @@ def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
                 n = np.diff(first)
                 one = tk.sums_by(tk.signed(grams), first)
                 two = tk.sums_by(tk.signed(tk.mix(grams)), first)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(piece.first, piece.n), pa.array(n), pa.array(one), pa.array(two)], ["doc_id", "n", "one", "two"])
+                ids = batch.column("doc_id").slice(piece.first, piece.n)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(one), pa.array(two), pa.array(bitmaps(grams, first), pa.binary())], ["doc_id", "n", "one", "two", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sizes = scratch.keep(docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, n bigint, one bigint, two bigint"), "sizes")
+    sizes = scratch.keep(docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, n bigint, one bigint, two bigint, bits binary"), "sizes")
     sets = sizes.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id"), "n", "one", "two")
     classes = sets.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("n", "one", "two", "rep")
     copies = scratch.keep(sets.join(classes, ["n", "one", "two"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "copies")
@@ -426,16 +467,28 @@ def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
     pairs = found.where(F.col("kind") != ENTRY).select("a", "b").distinct()
     # copies have their representative's links
     pairs = scratch.keep(_to_representatives(pairs, copies), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    maps = sizes.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id"), "n", "bits")
+    likely = scratch.keep(possible(pairs, maps, p).distinct(), "likely")
+    wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     grams = scratch.keep(sets_of(texts.join(wanted.hint("merge"), "id", "left_semi"), p), "sets")
-    checked = scratch.keep(verify(pairs, grams, p).groupBy("a", "b").agg(F.max("linked").alias("linked")), "checked")
-    links = [copies, checked.where("linked").select("a", "b")]
+    scratch.settle()
+    # first one pair for each document; then only pairs whose ends aren't in one component by then
+    nearest = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    one = scratch.keep(verify(nearest, grams, p).where("linked").select("a", "b").distinct(), "nearest")
+    label = components(copies.unionByName(one), scratch)
+    apart = scratch.keep(_apart(likely, label), "apart")
+    scratch.settle()
+    two = scratch.keep(verify(apart, grams, p).where("linked").select("a", "b").distinct(), "links")
+    links = [copies, one, two]
+    label = scratch.keep(components(copies.unionByName(one).unionByName(two), scratch), "labels")
+    # a pair is settled when its ends are in one component
+    checked = _apart(pairs, label).withColumn("linked", F.lit(False))
     stars = found.where(F.col("kind") != ENTRY).select("kind", "a", "b")
     stars = _to_representatives(stars, copies).withColumn("band", F.lit(None).cast("int"))
     entries = found.where(F.col("kind") == ENTRY).join(is_copy.withColumnRenamed("id", "a"), "a", "left_anti")
     every = stars.select("kind", "a", "b", "band", F.lit(None).cast("int").alias("t"), F.lit(None).cast("int").alias("n")).unionByName(entries.select("kind", "a", "b", "band", "t", "n"))
     rest = scratch.keep(unresolved(every, checked), "unresolved")
-    links += _search_all(rest, grams, texts, p, scratch)
+    links += _search_all(rest, texts, p, scratch)
     every_link = links[0]
     for more in links[1:]:
         every_link = every_link.unionByName(more)
@@ -447,6 +500,14 @@ def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
     )
 
 
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends have different components; an id without a label is its own."""
+    for end in ("a", "b"):
+        of = label.select(F.col("id").alias(end), F.col("component_id").alias(f"c{end}"))
+        pairs = pairs.join(of, end, "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def _to_representatives(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     """``pairs`` with each end that is a copy replaced by its representative; pairs of one drop out."""
     other = [c for c in pairs.columns if c not in ("a", "b")]
@@ -460,13 +521,14 @@ def _to_representatives(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _search_all(rest: DataFrame, grams: DataFrame, texts: DataFrame, p: JoinParams, scratch: Scratch) -> list[DataFrame]:
+def _search_all(rest: DataFrame, texts: DataFrame, p: JoinParams, scratch: Scratch) -> list[DataFrame]:
     """Links of the documents in ``rest``, searched in blocks of at most ``query_shingles`` shingles (or
     one document). The driver holds one block at a time."""
     n = rest.count()
     if not n:
         return []
-    sized = scratch.keep(rest.join(grams, "id").select("id", "grams").dropDuplicates(["id"]).withColumn("n", F.size("grams").cast("bigint")), "queries")
+    grams = sets_of(texts.join(rest.hint("merge"), "id", "left_semi"), p)
+    sized = scratch.keep(grams.select("id", "grams").dropDuplicates(["id"]).withColumn("n", F.size("grams").cast("bigint")), "queries")
     total = sized.agg(F.sum("n")).first()[0] or 0
     blocks = -(-total // max(1, p.query_shingles // 2))
     out = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,11 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return self.spark.read.schema(df.schema).parquet(self.write(df, name))
 
+    def settle(self) -> None:
+        """Let go of shuffle files that no later step reads: their plans are garbage by now."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *paths: str) -> None:
         for path in paths:
             remove(self.spark, path)

@@ -11,7 +11,6 @@ repeated are extended to both sides, window by window, to the exact matches.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -271,10 +270,10 @@ def dedup_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataF
         repeated = hits if repeated is None else repeated.unionByName(hits)
     repeated = scratch.keep(repeated.distinct(), "keys")
     scratch.drop(*family.levels.values())
-    _clean(spark)
+    scratch.settle()
     runs = matches(texts, found.drop("batch", "place"), repeated, p, scratch)
     marks = scratch.keep(runs.groupBy("id", "content").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "marks")
-    _clean(spark)
+    scratch.settle()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,9 +294,3 @@ def dedup_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataF
 
     joined = docs.select("doc_id", "text", *key).join(marks.hint("merge"), ["id", "content"], "left").select("doc_id", "text", "first", "last")
     return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-
-
-def _clean(spark) -> None:
-    """Let go of shuffle files that no later step reads."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
