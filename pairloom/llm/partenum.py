@@ -375,50 +375,46 @@ def verify(pairs: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "ga", "gb").mapInArrow(sliced, "a bigint, b bigint, linked boolean")
 
 
-def search(queries: list[tuple[int, np.ndarray]], texts: DataFrame, p: JoinParams) -> DataFrame:
-    """Links (a, b) of the given sets against all ``texts``: each text's shingles are looked up in
-    the queries' shingles, and shared ones counted."""
+def search(queries: list[tuple[int, np.ndarray]], sets: DataFrame, p: JoinParams) -> DataFrame:
+    """Links (a, b) of the given sets against all ``sets`` (id, grams): each one's shingles are looked up
+    in the queries' shingles, and shared ones counted."""
     ids = np.array([q for q, _ in queries], np.int64)
     size = np.array([len(g) for _, g in queries], np.int64)
     value = np.concatenate([g for _, g in queries])
     owner = np.repeat(np.arange(len(ids)), size)
     order = np.argsort(value)
-    shared = texts.sparkSession.sparkContext.broadcast((ids, size, value[order], owner[order]))  # bounded by query_shingles
+    shared = sets.sparkSession.sparkContext.broadcast((ids, size, value[order], owner[order]))  # bounded by query_shingles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, size, value, owner = shared.value
         for batch in batches:
-            mine = batch.column("id").to_numpy()
-            for piece in tk.slices(batch.column("text")):
-                grams, first = shingle_sets(piece, p.shingle)
-                g = tk.signed(grams)
-                lo, hi = np.searchsorted(value, g, "left"), np.searchsorted(value, g, "right")
-                a, b = [], []
-                for i in np.flatnonzero(np.diff(first)):
-                    x, y = lo[first[i] : first[i + 1]], hi[first[i] : first[i + 1]]
-                    hit = y > x
-                    if 100 * hit.sum() < p.percent * len(x):
-                        continue  # too few shingles are in any query
-                    count = y[hit] - x[hit]
-                    at = np.repeat(x[hit] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                    both = np.bincount(owner[at], minlength=len(ids))
-                    found = np.flatnonzero(100 * both >= p.percent * (size + len(x) - both))
-                    a.append(ids[found])
-                    b.append(np.full(len(found), mine[piece.first + i]))
-                if a:
-                    a, b = np.concatenate(a), np.concatenate(b)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return texts.mapInArrow(run, "a bigint, b bigint").where("a <> b")
-
-
-def unresolved(found: DataFrame, checked: DataFrame) -> DataFrame:
-    """Ids whose links the candidates may miss.
+            mine, lists = batch.column("id").to_numpy(), batch.column("grams")
+            first, g = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+            lo, hi = np.searchsorted(value, g, "left"), np.searchsorted(value, g, "right")
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i in range(len(mine)):
+                x, y = lo[first[i] : first[i + 1]], hi[first[i] : first[i + 1]]
+                hit = y > x
+                if 100 * hit.sum() < p.percent * len(x):
+                    continue  # too few shingles are in any query
+                count = y[hit] - x[hit]
+                at = np.repeat(x[hit] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                both = np.bincount(owner[at], minlength=len(ids))
+                found = np.flatnonzero(100 * both >= p.percent * (size + len(x) - both))
+                a.append(ids[found])
+                b.append(np.full(len(found), mine[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return sets.mapInArrow(run, "a bigint, b bigint").where("a <> b")
+
+
+def unresolved(found: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids whose links the candidates may miss, and the ids that such links can lead to.
 
     Linked sets that share a signature which isn't hot are a PAIR. Sets that share only hot ones have
     at least t of them (both), and are in one component already if each links to its group's first
     document, directly or by its block's first. Left over are sets with t or more hot signatures and a
-    failed link on that way."""
+    failed link on that way. Both ends of a missed link have t or more hot signatures."""
     full = found.where(F.col("kind") == ENTRY).groupBy("a", "band").agg(F.sum("n").alias("n"), F.first("t").alias("t")).where("n >= t").select(F.col("a").alias("id")).distinct()
     failed = checked.where("NOT linked").select(F.col("a").alias("low"), F.col("b").alias("high"))
     star = found.where(F.col("kind").isin(STAR, LOCAL)).select("kind", "a", "b").distinct()
@@ -426,7 +422,7 @@ def unresolved(found: DataFrame, checked: DataFrame) -> DataFrame:
     direct = star.select(F.col("b").alias("id")).distinct()
     heads = star.where(F.col("kind") == STAR).select(F.col("b").alias("a")).distinct()
     under = found.where(F.col("kind") == LOCAL).join(heads, "a", "left_semi").select(F.col("b").alias("id"))
-    return direct.unionByName(under).distinct().join(full, "id", "left_semi")
+    return direct.unionByName(under).distinct().join(full, "id", "left_semi"), full
 
 
 def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
@@ -441,7 +437,8 @@ def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
     Identical sets are linked to their smallest id before anything else. Signatures are gathered in
     numpy; a signature that many texts of a task share leaves it as one entry with star pairs, so a
     group with a third of all documents is one entry for each block at a bucket. Candidates are
-    verified on whole sets; documents that stars can't settle are searched against all rows in blocks.
+    verified on whole sets; documents that stars can't settle are searched in blocks against all rows that
+    can have such links.
     """
     p = params
     scratch = Scratch(docs.sparkSession, "jaccard")
@@ -487,12 +484,13 @@ def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
     stars = _to_representatives(stars, copies).withColumn("band", F.lit(None).cast("int"))
     entries = found.where(F.col("kind") == ENTRY).join(is_copy.withColumnRenamed("id", "a"), "a", "left_anti")
     every = stars.select("kind", "a", "b", "band", F.lit(None).cast("int").alias("t"), F.lit(None).cast("int").alias("n")).unionByName(entries.select("kind", "a", "b", "band", "t", "n"))
-    rest = scratch.keep(unresolved(every, checked), "unresolved")
-    links += _search_all(rest, texts, p, scratch)
-    every_link = links[0]
-    for more in links[1:]:
-        every_link = every_link.unionByName(more)
-    label = components(every_link, scratch)
+    rest, full = (scratch.keep(x, "unresolved") for x in unresolved(every, checked))
+    links += _search_all(rest, full, texts, p, scratch)
+    if len(links) > 3:
+        every_link = links[0]
+        for more in links[1:]:
+            every_link = every_link.unionByName(more)
+        label = components(every_link, scratch)
     return (
         sizes.withColumn("id", F.col("doc_id").cast("bigint"))
         .join(label, "id", "left")
@@ -521,14 +519,13 @@ def _to_representatives(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _search_all(rest: DataFrame, texts: DataFrame, p: JoinParams, scratch: Scratch) -> list[DataFrame]:
-    """Links of the documents in ``rest``, searched in blocks of at most ``query_shingles`` shingles (or
-    one document). The driver holds one block at a time."""
-    n = rest.count()
-    if not n:
+def _search_all(rest: DataFrame, full: DataFrame, texts: DataFrame, p: JoinParams, scratch: Scratch) -> list[DataFrame]:
+    """Links of the documents in ``rest`` to those in ``full``, which holds them, searched in blocks of about
+    ``query_shingles`` shingles. The driver holds one block at a time."""
+    if rest.isEmpty():
         return []
-    grams = sets_of(texts.join(rest.hint("merge"), "id", "left_semi"), p)
-    sized = scratch.keep(grams.select("id", "grams").dropDuplicates(["id"]).withColumn("n", F.size("grams").cast("bigint")), "queries")
+    sets = scratch.keep(sets_of(texts.join(full.hint("merge"), "id", "left_semi"), p), "full")
+    sized = scratch.keep(sets.join(rest, "id", "left_semi").dropDuplicates(["id"]).withColumn("n", F.size("grams").cast("bigint")), "queries")
     total = sized.agg(F.sum("n")).first()[0] or 0
     blocks = -(-total // max(1, p.query_shingles // 2))
     out = []
@@ -536,5 +533,5 @@ def _search_all(rest: DataFrame, texts: DataFrame, p: JoinParams, scratch: Scrat
         mine = sized.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow()
         queries = list(zip(mine.column("id").to_pylist(), (np.asarray(x.values) for x in mine.column("grams")), strict=True))
         if queries:
-            out.append(scratch.keep(search(queries, texts, p), "searched"))
+            out.append(scratch.keep(search(queries, sets, p), "searched"))
     return out
