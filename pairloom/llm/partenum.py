@@ -375,20 +375,22 @@ def verify(pairs: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "ga", "gb").mapInArrow(sliced, "a bigint, b bigint, linked boolean")
 
 
-def search(queries: list[tuple[int, np.ndarray]], sets: DataFrame, p: JoinParams) -> DataFrame:
-    """Links (a, b) of the given sets against all ``sets`` (id, grams): each one's shingles are looked up
-    in the queries' shingles, and shared ones counted."""
-    ids = np.array([q for q, _ in queries], np.int64)
-    size = np.array([len(g) for _, g in queries], np.int64)
-    value = np.concatenate([g for _, g in queries])
+def search(queries: list[tuple[int, int, np.ndarray]], sets: DataFrame, p: JoinParams) -> DataFrame:
+    """Links (a, b) of the given (id, component, shingles) against all ``sets`` (id, component, grams): each
+    one's shingles are looked up in the queries' shingles, and shared ones counted. Of a set's links to
+    one component one is given, and none to its own, so copies don't give all their pairs."""
+    ids = np.array([q for q, _, _ in queries], np.int64)
+    group = np.array([c for _, c, _ in queries], np.int64)
+    size = np.array([len(g) for _, _, g in queries], np.int64)
+    value = np.concatenate([g for _, _, g in queries])
     owner = np.repeat(np.arange(len(ids)), size)
     order = np.argsort(value)
-    shared = sets.sparkSession.sparkContext.broadcast((ids, size, value[order], owner[order]))  # bounded by query_shingles
+    shared = sets.sparkSession.sparkContext.broadcast((ids, group, size, value[order], owner[order]))  # bounded by query_shingles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, size, value, owner = shared.value
+        ids, group, size, value, owner = shared.value
         for batch in batches:
-            mine, lists = batch.column("id").to_numpy(), batch.column("grams")
+            mine, own, lists = batch.column("id").to_numpy(), batch.column("component").to_numpy(), batch.column("grams")
             first, g = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
             lo, hi = np.searchsorted(value, g, "left"), np.searchsorted(value, g, "right")
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -400,7 +402,8 @@ def search(queries: list[tuple[int, np.ndarray]], sets: DataFrame, p: JoinParams
                 count = y[hit] - x[hit]
                 at = np.repeat(x[hit] - np.cumsum(count) + count, count) + np.arange(count.sum())
                 both = np.bincount(owner[at], minlength=len(ids))
-                found = np.flatnonzero(100 * both >= p.percent * (size + len(x) - both))
+                found = np.flatnonzero((100 * both >= p.percent * (size + len(x) - both)) & (group != own[i]))
+                found = found[np.unique(group[found], return_index=True)[1]]
                 a.append(ids[found])
                 b.append(np.full(len(found), mine[i]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -485,7 +488,7 @@ def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
     entries = found.where(F.col("kind") == ENTRY).join(is_copy.withColumnRenamed("id", "a"), "a", "left_anti")
     every = stars.select("kind", "a", "b", "band", F.lit(None).cast("int").alias("t"), F.lit(None).cast("int").alias("n")).unionByName(entries.select("kind", "a", "b", "band", "t", "n"))
     rest, full = (scratch.keep(x, "unresolved") for x in unresolved(every, checked))
-    links += _search_all(rest, full, texts, p, scratch)
+    links += _search_all(rest, full, label, texts, p, scratch)
     if len(links) > 3:
         every_link = links[0]
         for more in links[1:]:
@@ -519,19 +522,20 @@ def _to_representatives(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _search_all(rest: DataFrame, full: DataFrame, texts: DataFrame, p: JoinParams, scratch: Scratch) -> list[DataFrame]:
+def _search_all(rest: DataFrame, full: DataFrame, label: DataFrame, texts: DataFrame, p: JoinParams, scratch: Scratch) -> list[DataFrame]:
     """Links of the documents in ``rest`` to those in ``full``, which holds them, searched in blocks of about
     ``query_shingles`` shingles. The driver holds one block at a time."""
     if rest.isEmpty():
         return []
-    sets = scratch.keep(sets_of(texts.join(full.hint("merge"), "id", "left_semi"), p), "full")
+    sets = sets_of(texts.join(full.hint("merge"), "id", "left_semi"), p).join(label, "id", "left")
+    sets = scratch.keep(sets.select("id", "grams", F.coalesce("component_id", "id").alias("component")), "full")
     sized = scratch.keep(sets.join(rest, "id", "left_semi").dropDuplicates(["id"]).withColumn("n", F.size("grams").cast("bigint")), "queries")
     total = sized.agg(F.sum("n")).first()[0] or 0
     blocks = -(-total // max(1, p.query_shingles // 2))
     out = []
     for i in range(blocks):
         mine = sized.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow()
-        queries = list(zip(mine.column("id").to_pylist(), (np.asarray(x.values) for x in mine.column("grams")), strict=True))
+        queries = list(zip(mine.column("id").to_pylist(), mine.column("component").to_pylist(), (np.asarray(x.values) for x in mine.column("grams")), strict=True))
         if queries:
             out.append(scratch.keep(search(queries, sets, p), "searched"))
     return out
