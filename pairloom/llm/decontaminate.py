@@ -32,7 +32,8 @@ LEADING = r"^[^\p{L}\d]+"
 class TemplateParams:
     """window: tokens of a template window (an item with fewer tokens is one window of its length).
     min_tokens: shorter items can't be told from chance and are left out. min_literal: windows with
-    fewer plain words are left out. min_cover: share of an item's windows that a document must hold
+    fewer plain words are left out; an item without other windows is matched by its lower-cased tokens,
+    verbatim. min_cover: share of an item's windows that a document must hold
     on one alignment. broadcast_rows: benchmark windows up to this number are broadcast; more are
     joined by a shuffle."""
 
@@ -72,34 +73,59 @@ def templates(tokens: Column) -> Column:
     return F.transform(tokens, one)
 
 
-def window_hashes(template: Column, length: int) -> Column:
-    """Hash of every window of ``length`` tokens; none where there are fewer tokens."""
-    last = F.size(template) - length
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(template, i + 1, F.lit(length))))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+def values(tokens: Column) -> Column:
+    """Lower-cased raw tokens without the marks before them."""
+    return F.transform(tokens, lambda t: F.lower(F.regexp_replace(t, LEADING, "")))
+
+
+def is_poor(window: Column, length: int | Column, params: TemplateParams) -> Column:
+    """Whether a template window has too few plain words to be told from chance."""
+    return F.size(F.filter(window, lambda t: ~t.isin(NUMBER, NAME, UNIT))) < F.least(F.lit(params.min_literal), F.lit(length))
+
+
+def exact_hash(window: Column) -> Column:
+    return F.xxhash64(F.lit("verbatim"), window)
+
+
+def document_windows(kinds: list[tuple[int, bool]], params: TemplateParams) -> Column:
+    """Windows (at, h) of a document's ``template`` for each (length, exact) of the benchmark's. Exact
+    ones are hashed only where the template has too few plain words, as the items' are."""
+    template, raw = F.col("template"), F.col("raw")
+
+    def of_kind(n: int, exact: bool) -> Column:
+        last = F.size(template) - n
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        cut = lambda tokens, i: F.slice(tokens, i + 1, F.lit(n))
+        if not exact:
+            return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(cut(template, i)).alias("h")))
+        poor = F.filter(places, lambda i: is_poor(cut(template, i), n, params))
+        return F.transform(poor, lambda i: F.struct(i.alias("at"), exact_hash(values(cut(raw, i))).alias("h")))
+
+    return F.concat(F.array().cast("array<struct<at:int,h:bigint>>"), *(of_kind(*kind) for kind in kinds))
 
 
 def benchmark_windows(benchmark: DataFrame, params: TemplateParams) -> tuple[DataFrame, DataFrame]:
-    """Items (item, raw, template, n_windows) and their windows (h, length, item, at). Null and empty
-    texts have none; rows that repeat an item_id are items of their own."""
+    """Items (item, raw, template, length, exact, n_windows) and their windows (h, length, exact, item,
+    at). ``exact``: no template window has enough plain words, so all windows are hashed by their values.
+    Null and empty texts have none; rows that repeat an item_id are items of their own."""
     items = (
         benchmark.select("item_id", "text")
         .withColumn("raw", raw_tokens(F.col("text")))
         .withColumn("template", templates(F.col("raw")))
         .where(F.size("template") >= params.min_tokens)
-        .select(F.struct("item_id", F.xxhash64("text").alias("content")).alias("item"), F.transform("raw", lambda t: F.lower(F.regexp_replace(t, LEADING, ""))).alias("raw"), "template")
+        .select(F.struct("item_id", F.xxhash64("text").alias("content")).alias("item"), values(F.col("raw")).alias("raw"), "template")
         .dropDuplicates(["item"])
         .withColumn("length", F.least(F.size("template"), F.lit(params.window)))
     )
-    literal = lambda w: F.size(F.filter(w, lambda t: ~t.isin(NUMBER, NAME, UNIT)))
     windows = (
         items.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("template") - F.col("length"))))
         .withColumn("w", F.slice("template", F.col("at") + 1, F.col("length")))
-        .where(literal(F.col("w")) >= F.least(F.lit(params.min_literal), F.col("length")))
-        .select(F.xxhash64("w").alias("h"), "length", "item", "at")
+        .withColumn("poor", is_poor(F.col("w"), F.col("length"), params))
     )
-    totals = windows.groupBy("item").agg(F.countDistinct("at").alias("n_windows"))
+    totals = windows.groupBy("item").agg(F.min("poor").alias("exact"), F.count(F.lit(1)).alias("n_all"), F.count_if(~F.col("poor")).alias("n_rich"))
+    totals = totals.select("item", "exact", F.when(F.col("exact"), F.col("n_all")).otherwise(F.col("n_rich")).alias("n_windows"))
+    h = F.when(F.col("exact"), exact_hash(F.slice("raw", F.col("at") + 1, F.col("length")))).otherwise(F.xxhash64("w"))
+    windows = windows.join(totals, "item").where(F.col("exact") | ~F.col("poor")).select(h.alias("h"), "length", "exact", "item", "at")
     return items.join(totals, "item"), windows
 
 
@@ -109,7 +135,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, params: TemplatePar
     ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are ignored. Windows of the
     canonical templates are hash-joined; a document holds an item when, on one alignment, it has at
     least ``min_cover`` of the item's windows and the slots are consistent: over the aligned
-    placeholders, item values and document values map one to one. Windows are exploded in the scan's
+    placeholders, item values and document values map one to one. Items with too few plain words for a
+    template are matched verbatim. Windows are exploded in the scan's
     stage and meet the benchmark's windows there by a broadcast whose row count is checked, so only
     matches are shuffled; a larger benchmark is joined by a shuffle.
 
@@ -120,21 +147,14 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, params: TemplatePar
     items, windows = benchmark_windows(benchmark, params)
     items, windows = scratch.keep(items, "items"), scratch.keep(windows, "windows")
     n_windows = windows.count()
-    lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # at most params.window
+    kinds = sorted((r.length, r.exact) for r in windows.select("length", "exact").distinct().collect())  # at most two for each length up to params.window
     small = windows.select("h", "item", F.col("at").alias("item_at"))
     small = F.broadcast(small) if n_windows <= params.broadcast_rows else small
     keyed = docs.select("doc_id", F.xxhash64("text").alias("content"), "text")
     # raw tokens and templates are columns of their own: inside a lambda they would be made again for every element
     base = keyed.where("text IS NOT NULL").select("doc_id", "content", raw_tokens(F.col("text")).alias("raw"))
-    base = base.select("doc_id", "content", templates(F.col("raw")).alias("template"))
-    template = F.col("template")
-    hashes = F.concat(*(window_hashes(template, n) for n in lengths)) if lengths else F.array().cast("array<bigint>")
-    # places of each length's windows follow one another; place is the window's start
-    places = F.concat(*(F.when(F.size(template) >= n, F.sequence(F.lit(0), F.size(template) - n)).otherwise(F.array().cast("array<int>")) for n in lengths)) if len(lengths) > 1 else None
-    if places is None:
-        found = base.select("doc_id", "content", F.posexplode(hashes).alias("at", "h"))
-    else:
-        found = base.select("doc_id", "content", F.explode(F.arrays_zip(places.alias("at"), hashes.alias("h"))).alias("x")).select("doc_id", "content", "x.at", "x.h")
+    base = base.select("doc_id", "content", "raw", templates(F.col("raw")).alias("template"))
+    found = base.select("doc_id", "content", F.explode(document_windows(kinds, params)).alias("x")).select("doc_id", "content", "x.at", "x.h")
     matched = (
         found.join(small, "h")
         .groupBy("doc_id", "content", "item", (F.col("at") - F.col("item_at")).alias("shift"))
@@ -165,8 +185,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, params: TemplatePar
     pairs = distinct("kind", "value", "doc_value")
     return (
         again.withColumn("slots", slots)
-        .where((pairs == distinct("kind", "value")) & (pairs == distinct("kind", "doc_value")))
-        .withColumn("verbatim", F.forall("slots", lambda x: x["value"] == x["doc_value"]))
+        .where(F.col("exact") | (pairs == distinct("kind", "value")) & (pairs == distinct("kind", "doc_value")))
+        .withColumn("verbatim", F.when(F.col("exact"), F.col("n_matched") == F.col("n_windows")).otherwise(F.forall("slots", lambda x: x["value"] == x["doc_value"])))
         .groupBy("doc_id", F.col("item.item_id").alias("item_id"))
         .agg(F.max("n_matched").alias("n_matched"), F.max(F.round(F.col("n_matched") / F.col("n_windows"), 6)).alias("cover"), F.max("verbatim").alias("verbatim"))
     )

@@ -246,6 +246,14 @@ def test_templates(make_docs, bench, text, found):
     assert got == found
 
 
+@pytest.mark.parametrize("item", ["12 13 14 15 16 17 18 19 20 21", "What is 12 + 15 * 3 - 7?", "Convert 12 miles to kilometers", "Alice, Bob, Carla and Dan met Erik"])
+def test_items_with_few_plain_words_are_found_verbatim(spark, make_docs, item):
+    bench = spark.createDataFrame([(1, item), (2, ITEM)], "item_id bigint, text string")
+    docs = make_docs([item, f"Some words before: 7 {item} 8 and after.", re.sub(r"\d+|Carla", lambda m: "Zoe" if m[0] == "Carla" else f"{m[0]}7", item), ITEM])
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.find_contaminated(docs, bench).collect()}
+    assert got == {(0, 1): True, (1, 1): True, (3, 2): True}
+
+
 def test_all_benchmark_passages_of_the_sample_are_found(spark):
     base = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/benchmark.parquet")
