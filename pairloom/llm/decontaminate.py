@@ -22,6 +22,12 @@ UNITS = (
     "meters metres kilometer kilometers"
 ).split()
 UNITS_AFTER_NUMBER = "m in inch ft feet foot yd mi g gram lb pound oz l s sec second min minute h hr day week month year cent meter metre".split()
+# capitalised first words of a sentence that are no names
+OPENERS = (
+    "a an the this that these those there here it he she they we you i my your his her its our their one if when while after before "
+    "because since as at by for from in of on to with and or but so then thus how what which who whom whose why where is are was were "
+    "do does did can could will would should has have had let suppose given find each every all some no not"
+).split()
 
 # an optional sentence start (marks up to the word) and a number or a word
 TOKEN = r"(?:(?:^|[.!?:\n])[^a-zA-Z\p{L}\d]*+)?+(?:[a-zA-Z\p{L}\p{M}]++|\d++(?:[.,]\d++)*+)"
@@ -34,13 +40,14 @@ class TemplateParams:
     min_tokens: shorter items can't be told from chance and are left out. min_literal: windows with
     fewer plain words are left out; an item without other windows is matched by its lower-cased tokens,
     verbatim. min_cover: share of an item's windows that a document must hold
-    on one alignment. broadcast_rows: benchmark windows up to this number are broadcast; more are
+    on one alignment or on ones up to ``drift`` tokens apart. broadcast_rows: benchmark windows up to this number are broadcast; more are
     joined by a shuffle."""
 
     window: int = 8
     min_tokens: int = 5
     min_literal: int = 4
     min_cover: float = 0.5
+    drift: int = 4
     broadcast_rows: int = 2_000_000
 
 
@@ -49,24 +56,26 @@ def raw_tokens(text: Column) -> Column:
 
 
 def templates(tokens: Column) -> Column:
-    """Placeholder or lower-cased word for each raw token. A name is a capitalised word that doesn't
-    start a sentence; an ambiguous unit word is a unit right after a number only."""
+    """Placeholder or lower-cased word for each raw token. A name is a capitalised word, at the start of
+    a sentence unless it is one of ``OPENERS``; an ambiguous unit word is a unit right after a number only."""
     def one(t: Column, i: Column) -> Column:
         first = F.substring(t, 1, 1)
         low = F.lower(t)
         starts = F.lower(first) == F.upper(first)  # a mark: the sentence starts here
         before = F.regexp_replace(F.get(tokens, i - 1), LEADING, "")
         after_number = (F.substring(before, 1, 1).between("0", "9")) | F.lower(before).isin(NUMBER_WORDS)
-        plain = F.regexp_replace(low, LEADING, "")
+        bare = F.regexp_replace(t, LEADING, "")
+        plain = F.lower(bare)
+        opening = F.when((F.substring(bare, 1, 1) == F.substring(plain, 1, 1)) | plain.isin(OPENERS), plain).otherwise(NAME)
         return (
             # most tokens: a word that begins with a-z and is no number or unit word
             F.when(F.ascii(t).between(97, 122) & ~low.isin(NUMBER_WORDS + UNITS + UNITS_AFTER_NUMBER), low)
             .when(first.between("0", "9"), NUMBER)
-            .when(starts, F.when(F.substring(plain, 1, 1).between("0", "9") | plain.isin(NUMBER_WORDS), NUMBER).when(plain.isin(UNITS), UNIT).otherwise(plain))
+            .when(starts, F.when(F.substring(plain, 1, 1).between("0", "9") | plain.isin(NUMBER_WORDS), NUMBER).when(plain.isin(UNITS), UNIT).otherwise(opening))
             .when(low.isin(NUMBER_WORDS), NUMBER)
             .when(low.isin(UNITS), UNIT)
             .when(low.isin(UNITS_AFTER_NUMBER), F.when(after_number, UNIT).otherwise(low))
-            .when(first != F.substring(low, 1, 1), F.when(i == 0, low).otherwise(NAME))
+            .when(first != F.substring(low, 1, 1), F.when(i == 0, opening).otherwise(NAME))
             .otherwise(t)
         )
 
@@ -78,6 +87,26 @@ def values(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.lower(F.regexp_replace(t, LEADING, "")))
 
 
+def run_starts(template: Column, tokens: Column) -> Column:
+    """Places of tokens without those that go on a run of placeholders of one kind: 'Tom' and 'Mary Ann',
+    '25' and 'twenty five' fill one slot. A sentence start begins anew. Columns, as in ``templates``."""
+    def goes_on(i: Column) -> Column:
+        kind = F.get(template, i)
+        return kind.isin(NUMBER, NAME, UNIT) & (kind == F.get(template, i - 1)) & ~F.get(tokens, i).rlike(r"^[.!?:\n]")
+
+    return F.filter(F.when(F.size(template) > 0, F.sequence(F.lit(0), F.size(template) - 1)).otherwise(F.array().cast("array<int>")), lambda i: ~F.coalesce(goes_on(i), F.lit(False)))
+
+
+def run_values(starts: Column, tokens: Column) -> Column:
+    """The values at ``starts``, those of a run joined by blanks."""
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(tokens)))
+    return F.zip_with(starts, ends, lambda a, b: F.array_join(values(F.slice(tokens, a + 1, b - a)), " "))
+
+
+def at_places(tokens: Column, places: Column) -> Column:
+    return F.transform(places, lambda i: F.get(tokens, i))
+
+
 def is_poor(window: Column, length: int | Column, params: TemplateParams) -> Column:
     """Whether a template window has too few plain words to be told from chance."""
     return F.size(F.filter(window, lambda t: ~t.isin(NUMBER, NAME, UNIT))) < F.least(F.lit(params.min_literal), F.lit(length))
@@ -88,18 +117,18 @@ def exact_hash(window: Column) -> Column:
 
 
 def document_windows(kinds: list[tuple[int, bool]], params: TemplateParams) -> Column:
-    """Windows (at, h) of a document's ``template`` for each (length, exact) of the benchmark's. Exact
-    ones are hashed only where the template has too few plain words, as the items' are."""
-    template, raw = F.col("template"), F.col("raw")
-
+    """Windows (at, h) of a document for each (length, exact) of the benchmark's, over its ``short``
+    template or, for exact ones, over its tokens. Exact ones are hashed only where the template has too
+    few plain words, as the items' are."""
     def of_kind(n: int, exact: bool) -> Column:
-        last = F.size(template) - n
+        tokens = F.col("template" if exact else "short")
+        last = F.size(tokens) - n
         places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         cut = lambda tokens, i: F.slice(tokens, i + 1, F.lit(n))
         if not exact:
-            return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(cut(template, i)).alias("h")))
-        poor = F.filter(places, lambda i: is_poor(cut(template, i), n, params))
-        return F.transform(poor, lambda i: F.struct(i.alias("at"), exact_hash(values(cut(raw, i))).alias("h")))
+            return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(cut(tokens, i)).alias("h")))
+        poor = F.filter(places, lambda i: is_poor(cut(tokens, i), n, params))
+        return F.transform(poor, lambda i: F.struct(i.alias("at"), exact_hash(values(cut(F.col("raw"), i))).alias("h")))
 
     return F.concat(F.array().cast("array<struct<at:int,h:bigint>>"), *(of_kind(*kind) for kind in kinds))
 
@@ -107,34 +136,47 @@ def document_windows(kinds: list[tuple[int, bool]], params: TemplateParams) -> C
 def benchmark_windows(benchmark: DataFrame, params: TemplateParams) -> tuple[DataFrame, DataFrame]:
     """Items (item, raw, template, length, exact, n_windows) and their windows (h, length, exact, item,
     at). ``exact``: no template window has enough plain words, so all windows are hashed by their values.
-    Null and empty texts have none; rows that repeat an item_id are items of their own."""
+    A word that opens a sentence may be a name or not, and a copy may begin a sentence at any window: such
+    windows have a hash for each reading. Null and empty texts have none; rows that repeat an item_id are
+    items of their own."""
     items = (
         benchmark.select("item_id", "text")
-        .withColumn("raw", raw_tokens(F.col("text")))
-        .withColumn("template", templates(F.col("raw")))
-        .where(F.size("template") >= params.min_tokens)
-        .select(F.struct("item_id", F.xxhash64("text").alias("content")).alias("item"), values(F.col("raw")).alias("raw"), "template")
+        .withColumn("tokens", raw_tokens(F.col("text")))
+        .withColumn("full", templates(F.col("tokens")))
+        .where(F.size("full") >= params.min_tokens)
+        .select(F.struct("item_id", F.xxhash64("text").alias("content")).alias("item"), "tokens", "full", run_starts(F.col("full"), F.col("tokens")).alias("starts"))
         .dropDuplicates(["item"])
-        .withColumn("length", F.least(F.size("template"), F.lit(params.window)))
+        .select("item", "tokens", "starts", values(F.col("tokens")).alias("plain"), at_places(F.col("full"), F.col("starts")).alias("short"), run_values(F.col("starts"), F.col("tokens")).alias("filled"))
+    )
+    opens = lambda i: (F.get("starts", i) == 0) | F.get("tokens", F.get("starts", i)).rlike(r"^[.!?:\n]")
+    literal = F.transform("short", lambda t, i: F.when((t == NAME) & opens(i) & ~F.contains(F.get("filled", i), F.lit(" ")), F.get("filled", i)).otherwise(t))
+    items = items.withColumn("literal", literal).withColumn("length", F.least(F.size("short"), F.lit(params.window)))
+    every = lambda tokens, length: F.explode(F.sequence(F.lit(0), F.size(tokens) - F.col(length)))
+    cut = lambda tokens: F.slice(tokens, F.col("at") + 1, F.col("length"))
+    rich = (
+        items.withColumn("at", every("short", "length"))
+        .select("item", "at", "length", cut("short").alias("w"), cut("literal").alias("v"))
+        .where(~is_poor(F.col("v"), F.col("length"), params))
     )
-    windows = (
-        items.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("template") - F.col("length"))))
-        .withColumn("w", F.slice("template", F.col("at") + 1, F.col("length")))
-        .withColumn("poor", is_poor(F.col("w"), F.col("length"), params))
+    items = items.join(rich.groupBy("item").agg(F.count(F.lit(1)).alias("n_rich")), "item", "left").withColumn("exact", F.col("n_rich").isNull())
+    items = items.withColumn("length", F.when(F.col("exact"), F.least(F.size("plain"), F.lit(params.window))).otherwise(F.col("length")))
+    first = F.get("w", 0)
+    begun = F.when(~first.isin(NUMBER, NAME, UNIT), F.xxhash64(F.concat(F.array(F.lit(NAME)), F.slice("w", F.lit(2), F.size("w")))))
+    hashes = F.array_compact(F.array_distinct(F.array(F.xxhash64("w"), F.xxhash64("v"), begun)))
+    windows = rich.select(F.explode(hashes).alias("h"), "length", F.lit(False).alias("exact"), "item", "at").unionByName(
+        items.where("exact").withColumn("at", every("plain", "length")).select(exact_hash(cut("plain")).alias("h"), "length", "exact", "item", "at")
     )
-    totals = windows.groupBy("item").agg(F.min("poor").alias("exact"), F.count(F.lit(1)).alias("n_all"), F.count_if(~F.col("poor")).alias("n_rich"))
-    totals = totals.select("item", "exact", F.when(F.col("exact"), F.col("n_all")).otherwise(F.col("n_rich")).alias("n_windows"))
-    h = F.when(F.col("exact"), exact_hash(F.slice("raw", F.col("at") + 1, F.col("length")))).otherwise(F.xxhash64("w"))
-    windows = windows.join(totals, "item").where(F.col("exact") | ~F.col("poor")).select(h.alias("h"), "length", "exact", "item", "at")
-    return items.join(totals, "item"), windows
+    pick = lambda a, b: F.when(F.col("exact"), F.col(a)).otherwise(F.col(b))
+    n_windows = F.when(F.col("exact"), F.size("plain") - F.col("length") + 1).otherwise(F.col("n_rich"))
+    return items.select("item", pick("plain", "filled").alias("raw"), pick("plain", "short").alias("template"), "length", "exact", n_windows.alias("n_windows")), windows
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
     """Benchmark items that documents hold, verbatim or with other numbers, names or units.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are ignored. Windows of the
-    canonical templates are hash-joined; a document holds an item when, on one alignment, it has at
-    least ``min_cover`` of the item's windows and the slots are consistent: over the aligned
+    canonical templates are hash-joined; a document holds an item when, on neighbouring alignments, it
+    has at least ``min_cover`` of the item's windows and the slots are consistent: over the aligned
     placeholders, item values and document values map one to one. Items with too few plain words for a
     template are matched verbatim. Windows are exploded in the scan's
     stage and meet the benchmark's windows there by a broadcast whose row count is checked, so only
@@ -154,39 +196,59 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, params: TemplatePar
     # raw tokens and templates are columns of their own: inside a lambda they would be made again for every element
     base = keyed.where("text IS NOT NULL").select("doc_id", "content", raw_tokens(F.col("text")).alias("raw"))
     base = base.select("doc_id", "content", "raw", templates(F.col("raw")).alias("template"))
+    base = base.select("*", run_starts(F.col("template"), F.col("raw")).alias("starts")).select("*", at_places(F.col("template"), F.col("starts")).alias("short"))
     found = base.select("doc_id", "content", F.explode(document_windows(kinds, params)).alias("x")).select("doc_id", "content", "x.at", "x.h")
     matched = (
         found.join(small, "h")
         .groupBy("doc_id", "content", "item", (F.col("at") - F.col("item_at")).alias("shift"))
-        .agg(F.countDistinct("item_at").alias("n_matched"))
+        .agg(F.collect_set("item_at").alias("ats"))
     )
-    matched = matched.join(items.select("item", "n_windows"), "item").where(F.col("n_matched") >= params.min_cover * F.col("n_windows"))
+    # alignments at most ``drift`` apart meet in one of two groups at least
+    group = lambda k: F.struct(F.lit(k), F.floor((F.col("shift") + k * params.drift) / (2 * params.drift)))
+    matched = (
+        matched.withColumn("group", F.explode(F.array(group(0), group(1))))
+        .groupBy("doc_id", "content", "item", "group")
+        .agg(F.sort_array(F.collect_list(F.struct((-F.size("ats")).alias("order"), "shift", "ats"))).alias("shifts"))
+    )
+    n_matched = lambda shifts: F.size(F.array_distinct(F.flatten(F.transform(shifts, lambda x: x["ats"]))))
+    matched = matched.join(items.select("item", "n_windows"), "item").where(n_matched("shifts") >= params.min_cover * F.col("n_windows"))
     matched = scratch.keep(matched, "matched")
-    hits = matched.groupBy("doc_id", "content").agg(F.collect_list(F.struct("item", "shift", "n_matched", "n_windows")).alias("hits"))
+    hits = matched.groupBy("doc_id", "content").agg(F.collect_set(F.struct("item", "shifts", "n_windows")).alias("hits"))
     again = (
         keyed.join(hits.hint("merge"), [keyed.doc_id.eqNullSafe(hits.doc_id), keyed.content.eqNullSafe(hits.content)])
         .select(keyed.doc_id, raw_tokens(F.col("text")).alias("doc_raw"), "hits")
         .withColumn("doc_template", templates(F.col("doc_raw")))
+        .withColumn("doc_starts", run_starts(F.col("doc_template"), F.col("doc_raw")))
+        .select("doc_id", "hits", at_places(F.col("doc_template"), F.col("doc_starts")).alias("doc_template"), run_values(F.col("doc_starts"), F.col("doc_raw")).alias("doc_filled"))
     )
-    again = scratch.keep(again, "held").withColumn("hit", F.explode("hits")).select("doc_id", "doc_raw", "doc_template", "hit.*").join(items.drop("n_windows", "length"), "item")
-    slots = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.size("template") - 1),
-            lambda p: F.struct(
-                F.get("template", p).alias("kind"),
-                F.get("doc_template", p + F.col("shift")).alias("doc_kind"),
-                F.get("raw", p).alias("value"),
-                F.lower(F.regexp_replace(F.get("doc_raw", p + F.col("shift")), LEADING, "")).alias("doc_value"),
-            ),
-        ),
-        lambda x: x["kind"].isin(NUMBER, NAME, UNIT) & (x["kind"] == x["doc_kind"]),
-    )
+    again = scratch.keep(again, "held").withColumn("hit", F.explode("hits")).select("doc_id", "doc_filled", "doc_template", "hit.*").join(items.drop("n_windows"), "item")
+    # each alignment that has enough windows alone, and all of the group
+    alone = F.transform(F.filter("shifts", lambda x: F.size(x["ats"]) >= params.min_cover * F.col("n_windows")), lambda x: F.array(x))
+    again = again.withColumn("shifts", F.explode(F.array_distinct(F.concat(F.array("shifts"), alone)))).withColumn("n_matched", n_matched("shifts"))
+
+    def slot(p: Column) -> Column:
+        """Item and document at the item's token ``p``, aligned by the best alignment with a window over it."""
+        over = F.get(F.filter("shifts", lambda x: F.exists(x["ats"], lambda a: (a <= p) & (p < a + F.col("length")))), 0)
+        at = p + F.coalesce(over["shift"], F.get("shifts", 0)["shift"])
+        value, found = F.get("raw", p), F.get("doc_filled", at)
+        # at the item's ends, a run may go on in the document around it
+        begins, ends = (p == 0) & F.endswith(found, F.concat(F.lit(" "), value)), (p == F.size("template") - 1) & F.startswith(found, F.concat(value, F.lit(" ")))
+        return F.struct(
+            F.get("template", p).alias("kind"), F.get("doc_template", at).alias("doc_kind"), value.alias("value"),
+            F.when(begins | ends, value).otherwise(found).alias("doc_value"), over.isNotNull().alias("covered"),
+        )
+
+    again = again.withColumn("pairs", F.when(~F.col("exact"), F.transform(F.sequence(F.lit(0), F.size("template") - 1), slot)))
+    # a word that is a name on one side only is that word on both
+    strange = F.exists("pairs", lambda x: x["covered"] & (x["kind"] != x["doc_kind"]) & (x["value"] != x["doc_value"]))
+    slots = F.filter("pairs", lambda x: x["kind"].isin(NUMBER, NAME, UNIT) & (x["kind"] == x["doc_kind"]))
     distinct = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(*(x[n].alias(n) for n in names)))))
     pairs = distinct("kind", "value", "doc_value")
+    whole = F.exists("shifts", lambda x: F.size(x["ats"]) == F.col("n_windows"))
     return (
         again.withColumn("slots", slots)
-        .where(F.col("exact") | (pairs == distinct("kind", "value")) & (pairs == distinct("kind", "doc_value")))
-        .withColumn("verbatim", F.when(F.col("exact"), F.col("n_matched") == F.col("n_windows")).otherwise(F.forall("slots", lambda x: x["value"] == x["doc_value"])))
+        .where(F.col("exact") | ~strange & (pairs == distinct("kind", "value")) & (pairs == distinct("kind", "doc_value")))
+        .withColumn("verbatim", F.when(F.col("exact"), whole).otherwise(F.forall("slots", lambda x: x["value"] == x["doc_value"])))
         .groupBy("doc_id", F.col("item.item_id").alias("item_id"))
         .agg(F.max("n_matched").alias("n_matched"), F.max(F.round(F.col("n_matched") / F.col("n_windows"), 6)).alias("cover"), F.max("verbatim").alias("verbatim"))
     )

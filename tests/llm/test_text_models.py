@@ -254,6 +254,20 @@ def test_items_with_few_plain_words_are_found_verbatim(spark, make_docs, item):
     assert got == {(0, 1): True, (1, 1): True, (3, 2): True}
 
 
+def test_items_with_other_names_at_sentence_starts_or_of_other_length_are_found(spark, make_docs):
+    walk = "Alice walks 12 miles in 3 hours. Bob walks 25 miles in 4 hours. Tom asks who of Alice and Bob walks faster on the old road."
+    docs = [
+        walk.replace("Alice", "Carla").replace("Bob", "Dan"),
+        walk.replace("Tom", "Mary Ann").replace("25", "twenty five"),
+        walk.replace("of Alice", "of both Alice"),
+        walk.replace("Alice", "Carla", 1),
+        "so rivers flow down from green hills",
+    ]
+    bench = spark.createDataFrame([(1, walk), (2, "Rivers flow down from green hills")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(make_docs(docs), bench).collect()}
+    assert got == {(0, 1), (1, 1), (2, 1), (4, 2)}
+
+
 def test_all_benchmark_passages_of_the_sample_are_found(spark):
     base = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/benchmark.parquet")
