@@ -24,7 +24,7 @@ class QualityRules:
     """min_words, max_repeat_percent: a text fails with fewer words, or when more than this share of
     its words lies in windows of ``window`` words that the text holds at least twice.
     line_docs, line_share: a normalised line is boilerplate of its host when it is in more than
-    line_docs distinct documents and in more than line_share of the host's distinct documents.
+    line_docs distinct documents and in more than line_share of the host's distinct documents with words.
     keep_words, keep_share: a document is depleted when fewer words, or a smaller share of its
     words, are left without boilerplate lines."""
 
@@ -124,64 +124,61 @@ def with_stats(docs: DataFrame, keep: list[str], window: int) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, f"{fields}, {STATS}, lines {LINES}")
 
 
-def judge_documents(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Statistics and verdict of every document.
-
-    ``docs``: doc_id, text, source (the host; null is a host of its own); other columns are ignored.
-    Rows are judged one by one, so a repeated doc_id gives one result row for each.
-
-    A text without words (null, empty, blanks) has zeros and fails. ``base_failed``: fewer than
-    ``min_words`` words, or too many words in repeated windows. For the line rule, each normalised
-    line is counted once for each distinct document of its host. Documents are distinct by their
-    smallest line hash: exact copies, and nearly all copies with a few edited lines, share it and
-    count as one, so that a large group of copies of a clean text doesn't make its lines boilerplate.
-    Counts are summed on the map side at both levels, so a line that a third of a host's documents
-    hold is a few rows for each task; its join back is a plain equi-join that AQE can split.
-
-    Returns doc_id, the statistics, base_failed, removed_words, kept.
-    """
-    base = with_stats(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "source"), ["row", "doc_id", "source"], rules.window)
+def _judged(docs: DataFrame, rules: QualityRules) -> DataFrame:
+    """The result of ``judge_documents`` with ``host`` and ``content``, a hash of the whole text."""
+    content = F.coalesce(F.xxhash64("text"), F.lit(0)).alias("content")
+    base = with_stats(
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host"), content),
+        ["row", "doc_id", "host", "content"], rules.window,
+    )
     base = Scratch(docs.sparkSession, "quality").keep(base, "stats")  # read four times below
-    lines = F.col("lines")
     base = base.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
-    mark = F.array_min(F.transform(lines, lambda x: x["line"]))
-    host = F.coalesce("source", F.lit("\0"))
-    spread = (
-        base.where(~F.col("base_failed"))
-        .select(host.alias("host"), mark.alias("mark"), F.explode(F.array_distinct(F.transform(lines, lambda x: x["line"]))).alias("line"))
-        .groupBy("host", "line", "mark")
-        .agg(F.lit(1).alias("one"))
-    )
-    sizes = (
-        base.where(~F.col("base_failed")).select(host.alias("host"), mark.alias("mark")).groupBy("host", "mark").agg(F.lit(1).alias("one"))
-        .groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    )
+    each = base.select("row", "host", "content", F.explode("lines").alias("x")).select("row", "host", "content", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
+    sizes = base.where(F.size("lines") > 0).select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     frequent = (
-        spread.groupBy("host", "line").agg(F.count(F.lit(1)).alias("line_docs")).where(F.col("line_docs") > rules.line_docs)
+        each.select("host", "line", "content").distinct()
+        .groupBy("host", "line").agg(F.count(F.lit(1)).alias("line_docs")).where(F.col("line_docs") > rules.line_docs)
         .join(sizes, "host")
         .where(F.col("line_docs") > rules.line_share * F.col("host_docs"))
         .select("host", "line")
     )
-    removed = (
-        base.where(~F.col("base_failed"))
-        .select("row", host.alias("host"), F.explode("lines").alias("x"))
-        .select("row", "host", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
-        .join(frequent, ["host", "line"], "left_semi")
-        .groupBy("row")
-        .agg(F.sum("words").alias("removed_words"))
-    )
+    removed = each.join(frequent, ["host", "line"], "left_semi").groupBy("row").agg(F.sum("words").alias("removed_words"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < rules.keep_words) | (left < rules.keep_share * F.col("n_words")))
     return (
         base.drop("lines")
         .join(removed, "row", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", (~F.col("base_failed") & ~depleted).alias("kept"))
+        .withColumn("kept", ~F.col("base_failed") & ~depleted)
+        .drop("row")
     )
 
 
+def judge_documents(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """Statistics and verdict of every document.
+
+    ``docs``: doc_id, text, source (the host; null is a host of its own); other columns are ignored.
+    Rows are judged one by one, so a repeated doc_id gives one result row for each.
+
+    A text without words (null, empty, blanks) has zeros and fails. ``base_failed``: fewer than
+    ``min_words`` words, or too many words in repeated windows. For the line rule, each normalised
+    line is counted once for each distinct document of its host; documents are distinct by a hash of
+    their whole text, so exact copies count once and near copies each. All documents with words are
+    counted, failed ones too. A line that is just at a limit stays. Boilerplate lines are removed from every document of the
+    host, all their repeats; ``removed_words`` are their words.
+    Counts are summed on the map side at both levels, so a line that a third of a host's documents
+    hold is a few rows for each task; its join back is a plain equi-join that AQE can split. Long
+    texts are taken whole, one at a time where they exceed a slice. An empty table gives no rows.
+
+    Returns doc_id, the statistics, base_failed, removed_words, kept.
+    """
+    return _judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+
+
 def keep_documents(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of ``docs`` that ``judge_documents`` keeps, unchanged and with all columns. doc_id
-    must be unique in ``docs`` (a null doc_id is never kept)."""
-    kept = judge_documents(docs, rules).where("kept").select("doc_id")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that ``judge_documents`` keeps, unchanged and with all columns, in any number
+    of repeats and with null ids too: rows of one doc_id, text and source have one verdict."""
+    kept = _judged(docs, rules).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("host").alias("kept_host"), F.col("content").alias("kept_content")).distinct()
+    of = docs.withColumn("kept_of", F.struct(F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("content")))
+    same = of["doc_id"].eqNullSafe(kept["kept_id"]) & (of["kept_of"]["host"] == kept["kept_host"]) & (of["kept_of"]["content"] == kept["kept_content"])
+    return of.join(kept.hint("merge"), same, "left_semi").select(*docs.columns)

@@ -81,6 +81,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
+# strength of a beta prior by moments, between 1 and 1000
+_FIT = (
+    "CASE WHEN sum((n - 1) * n * p * (1 - p)) > 0 THEN 1 / greatest(least((sum((bad - n * p) ** 2) - sum(n * p * (1 - p))) / sum((n - 1) * n * p * (1 - p)), "
+    "1 / 2.0::DOUBLE), 1 / 1001.0::DOUBLE) - 1 ELSE 10.0::DOUBLE END AS m"
+)
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
@@ -104,13 +109,17 @@ WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 u AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 l AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
 o AS (SELECT host, bad FROM u JOIN l USING (page_id)),
-h AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix, count(*) AS n, sum(bad) AS b FROM o GROUP BY 1, 2, 3),
-d AS (SELECT suffix, domain, sum(n) AS n, sum(b) AS b FROM h GROUP BY 1, 2),
-s AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM d GROUP BY 1),
-t AS (SELECT sum(n) AS n, sum(b) AS b FROM s),
-sm AS (SELECT suffix, (s.b + 10.0::DOUBLE * (t.b + 1) / (t.n + 2)) / (s.n + 10.0::DOUBLE) AS m FROM s, t),
-dm AS (SELECT domain, (d.b + 10.0::DOUBLE * sm.m) / (d.n + 10.0::DOUBLE) AS m FROM d JOIN sm USING (suffix)),
-hm AS (SELECT host, h.n + 10.0::DOUBLE AS size, (h.b + 10.0::DOUBLE * dm.m) / (h.n + 10.0::DOUBLE) AS m FROM h JOIN dm USING (domain)),
+l3 AS (SELECT host, string_split(regexp_replace(host, ':.*', ''), '.') AS part, count(*) AS n, sum(bad)::DOUBLE AS bad FROM o GROUP BY 1, 2),
+l4 AS (SELECT *, CASE WHEN len(part) > 1 AND length(part[-1]) = 2 AND part[-2] IN ({", ".join(f"'{x}'" for x in url_filter.SECOND_LEVEL)}) THEN 2 ELSE 1 END AS deep FROM l3),
+h AS (SELECT host, n, bad, array_to_string(part[-deep - 1:], '.') AS domain, array_to_string(part[-deep:], '.') AS suffix FROM l4),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY 1),
+sp AS (SELECT s.*, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM s) AS p FROM s),
+sm AS (SELECT suffix, (bad + m * p) / (n + m) AS mean FROM sp, (SELECT {_FIT} FROM sp)),
+dp AS (SELECT d.*, sm.mean AS p FROM d JOIN sm USING (suffix)),
+dm AS (SELECT domain, (bad + m * p) / (n + m) AS mean FROM dp, (SELECT {_FIT} FROM dp)),
+hp AS (SELECT h.*, dm.mean AS p FROM h JOIN dm USING (domain)),
+hm AS (SELECT host, n + m AS size, (bad + m * p) / (n + m) AS m FROM hp, (SELECT {_FIT} FROM hp)),
 k AS (SELECT host, round(m - 1.645::DOUBLE * sqrt(m * (1 - m) / (size + 1)), 9) AS lower FROM hm),
 j AS (SELECT page_id, u.host, path, lower, CASE
     WHEN (u.host = 'example.com' OR ends_with(u.host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
@@ -119,7 +128,6 @@ j AS (SELECT page_id, u.host, path, lower, CASE
     WHEN (u.host = 'net' OR ends_with(u.host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM u LEFT JOIN k USING (host))
 SELECT page_id, host, path, rule, lower, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
     WHEN lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM j""",
-    # documents are distinct by their smallest line as text, where the operator takes the smallest line hash
     "op9_quality_rules": f"""
 WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, host, text, regexp_extract_all(text, '{_WORD}') AS words FROM t),
@@ -133,10 +141,9 @@ two AS (SELECT doc_id, g FROM win GROUP BY 1, 2 HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT win.doc_id, unnest(range(i, i + 8)) AS pos FROM win JOIN two USING (doc_id, g)) GROUP BY 1),
 base AS (SELECT a.*, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM a LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
-ln AS (SELECT s.doc_id, s.host, array_to_string(lw, ' ') AS line, len(lw) AS k FROM s JOIN f USING (doc_id) WHERE NOT base_failed),
-mk AS (SELECT doc_id, min(line) AS mark FROM ln GROUP BY 1),
-hs AS (SELECT host, count(DISTINCT mark) AS n FROM ln JOIN mk USING (doc_id) GROUP BY 1),
-fr AS (SELECT host, line, count(DISTINCT mark) AS n FROM ln JOIN mk USING (doc_id) GROUP BY 1, 2),
+ln AS (SELECT s.doc_id, s.host, t.text, array_to_string(lw, ' ') AS line, len(lw) AS k FROM s JOIN t USING (doc_id)),
+hs AS (SELECT host, count(DISTINCT text) AS n FROM ln GROUP BY 1),
+fr AS (SELECT host, line, count(DISTINCT text) AS n FROM ln GROUP BY 1, 2),
 gone AS (SELECT ln.doc_id, sum(k)::BIGINT AS removed FROM ln JOIN fr USING (host, line) JOIN hs USING (host) WHERE fr.n > 100 AND fr.n > 0.02 * hs.n GROUP BY 1)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(removed, 0) AS removed_words,
        NOT base_failed AND NOT (coalesce(removed, 0) > 0 AND (n_words - removed < 20 OR n_words - removed < 0.3 * n_words)) AS kept

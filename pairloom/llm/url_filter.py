@@ -29,15 +29,24 @@ class Rule:
 
 @dataclass(frozen=True)
 class Prior:
-    """strength: pseudo-outcomes that each level lends to the one below it.
+    """Limits and defaults of the prior strengths, which are fitted to the outcomes level by level.
+
+    weakest, strongest: bounds of a fitted strength (pseudo-outcomes that a level lends to the one below
+    it). unknown: the strength where no unit has two outcomes, so that nothing can be fitted.
     z: width of the posterior bound in standard deviations. block_above: a host is blocked when
     the lower bound of its bad rate is above this."""
 
-    strength: float = 10.0
+    weakest: float = 1.0
+    strongest: float = 1000.0
+    unknown: float = 10.0
     z: float = 1.645
     block_above: float = 0.5
 
 
+# fixed values: second-level labels under which two-letter country domains register names
+SECOND_LEVEL = "ac co com edu gov go mil ne net nom or org sch".split()
+
+
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
     rest = F.coalesce(F.when(F.instr(url, "://") > 0, F.expr("substr(url, instr(url, '://') + 3)")), F.lit(""))
@@ -50,9 +59,20 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def public_suffix(host: Column) -> Column:
+    """The last label of a host, or the last two where names are registered a level lower (``co.uk``); a
+    port doesn't count."""
+    name = F.regexp_replace(host, ":.*", "")
+    last = F.substring_index(name, ".", -1)
+    second = F.substring_index(F.substring_index(name, ".", -2), ".", 1)
+    deep = (F.length(last) == 2) & second.isin(SECOND_LEVEL) & F.contains(name, F.lit("."))
+    return F.when(deep, F.substring_index(name, ".", -2)).otherwise(last)
+
+
 def registered_domain(host: Column) -> Column:
-    """The last two labels of the host."""
-    return F.substring_index(host, ".", -2)
+    """The public suffix and the label before it, if there is one."""
+    name = F.regexp_replace(host, ":.*", "")
+    return F.when(F.contains(public_suffix(host), F.lit(".")), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -65,40 +85,49 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
+def shrink(units: DataFrame, prior: Prior) -> DataFrame:
+    """``units`` (n, bad_n, expected; one row for each suffix, domain or host) with ``strength``, the fitted
+    strength of the beta prior around ``expected``, and ``mean``, the posterior mean.
+
+    The strength is fitted by moments: with means p and correlation r = 1 / (strength + 1) between two
+    outcomes of a unit, the squares of bad_n - n*p add up to sum n*p*(1-p) * (1 + (n-1)*r) on average."""
+    n, p = F.col("n"), F.col("expected")
+    v = n * p * (1 - p)
+    moments = units.agg(F.sum((F.col("bad_n") - n * p) ** 2).alias("found"), F.sum(v).alias("least"), F.sum((n - 1) * v).alias("pairs"))
+    r = F.when(F.col("pairs") > 0, (F.col("found") - F.col("least")) / F.col("pairs"))
+    bounded = F.greatest(F.least(r, F.lit(1 / (prior.weakest + 1))), F.lit(1 / (prior.strongest + 1)))
+    strength = F.coalesce(F.when(r.isNotNull(), 1 / bounded - 1), F.lit(prior.unknown)).alias("strength")
+    return units.join(F.broadcast(moments.select(strength))).withColumn("mean", (F.col("bad_n") + F.col("strength") * p) / (n + F.col("strength")))  # one row
+
+
 def host_reputation(outcomes: DataFrame, prior: Prior = Prior()) -> DataFrame:
     """Posterior of the bad rate for each host that has labelled outcomes.
 
-    ``outcomes``: (host, bad 0/1), one row for each labelled page. The corpus rate is the prior of a
-    suffix, a suffix's posterior mean that of its registered domains, a domain's that of its hosts;
-    every level is a beta-binomial with ``prior.strength`` pseudo-outcomes. Counts are summed first
-    to hosts (map-side combined, so a host with a third of the pages costs a row for each task) and
-    then upwards over the host table.
+    ``outcomes``: (host, bad 0/1), one row for each labelled page; rows with a null are left out, repeated
+    rows count each. The corpus rate is the prior mean of a suffix, a suffix's posterior mean that of its
+    registered domains, a domain's that of its hosts; every level is a beta-binomial whose strength is fitted to the
+    units of that level. Counts are summed first to hosts (map-side combined, so a host with a third
+    of the pages costs a row for each task) and then upwards over the host table. An empty table gives no
+    rows.
 
     Returns (host, n, bad_n, mean, lower): ``lower`` = mean - z * sd of the host's beta posterior.
     """
-    m = prior.strength
     hosts = (
-        outcomes.groupBy("host")
+        outcomes.where("host IS NOT NULL AND bad IS NOT NULL").groupBy("host")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("bad").cast("bigint").alias("bad_n"))
         .withColumn("domain", registered_domain(F.col("host")))
-        .withColumn("suffix", F.substring_index("host", ".", -1))
-    )
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("bad_n").alias("db"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
-    total = suffixes.agg(F.sum("sn").alias("tn"), F.sum("sb").alias("tb"))
-    suffixes = suffixes.join(F.broadcast(total)).select(  # one row
-        "suffix", ((F.col("sb") + m * (F.col("tb") + 1.0) / (F.col("tn") + 2.0)) / (F.col("sn") + m)).alias("suffix_mean")
-    )
-    domains = domains.join(suffixes, "suffix").select(
-        "domain", ((F.col("db") + m * F.col("suffix_mean")) / (F.col("dn") + m)).alias("domain_mean")
-    )
-    a = F.col("bad_n") + m * F.col("domain_mean")
-    size = F.col("n") + m
-    return (
-        hosts.join(domains, "domain")
-        .withColumn("mean", a / size)
-        .select("host", "n", "bad_n", "mean", (F.col("mean") - prior.z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (size + 1))).alias("lower"))
+        .withColumn("suffix", public_suffix(F.col("host")))
     )
+    add = lambda frame, *keys: frame.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad_n").alias("bad_n"))
+    below = lambda frame, key: frame.select(key, F.col("mean").alias("expected"))
+    domains = add(hosts, "suffix", "domain")
+    suffixes = add(domains, "suffix")
+    total = suffixes.agg(((F.sum("bad_n") + 1.0) / (F.sum("n") + 2.0)).alias("expected"))
+    suffixes = shrink(suffixes.join(F.broadcast(total)), prior)  # one row
+    domains = shrink(domains.join(below(suffixes, "suffix"), "suffix"), prior)
+    hosts = shrink(hosts.join(below(domains, "domain"), "domain"), prior)
+    mean, size = F.col("mean"), F.col("n") + F.col("strength")
+    return hosts.select("host", "n", "bad_n", "mean", (mean - prior.z * F.sqrt(mean * (1 - mean) / (size + 1))).alias("lower"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], prior: Prior = Prior()) -> DataFrame:
@@ -111,7 +140,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], pri
     ``block`` where the posterior lower bound of the host's bad rate is above ``prior.block_above``,
     else ``allow``. A null url or one without ``://`` has empty host and path and is judged by the
     outcomes of that empty host. A host without outcomes is allowed (``lower`` null). Repeated page
-    rows stay repeated; an empty table gives no rows.
+    rows stay repeated; long urls are taken whole; an empty table gives no rows. A bound that equals the limit
+    does not block.
     """
     parsed = pages.select("page_id", "url").select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     marks = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -33,6 +34,25 @@ def test_statistics_against_brute_force(sample, make_docs):
             assert r.base_failed == (n < 20 or 100 * repeat > 30 * n)
 
 
+def brute_lines(rows, rules):
+    """{doc_id: (removed words, kept)} by the documented line rule, for (doc_id, text, host) rows."""
+    low = lambda text: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    lines = lambda text: [tuple(WORD.findall(low(x))) for x in (text or "").split("\n") if WORD.search(x)]
+    texts, of_line = {}, {}
+    for _, text, host in rows:
+        for line in lines(text):
+            texts.setdefault(host, set()).add(text)
+            of_line.setdefault((host, line), set()).add(text)
+    out = {}
+    for i, text, host in rows:
+        n, _, _, _, repeat = stats(text)
+        frequent = lambda x: rules.line_docs < len(of_line[host, x]) > rules.line_share * len(texts[host])  # noqa: B023, E731
+        removed = sum(len(x) for x in lines(text) if frequent(x))
+        failed = n < rules.min_words or 100 * repeat > rules.max_repeat_percent * n
+        out[i] = removed, not failed and not (removed and (n - removed < rules.keep_words or n - removed < rules.keep_share * n))
+    return out
+
+
 def test_frequent_lines_are_removed_and_depleted_documents_rejected(make_docs):
     own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
     stock = " ".join(f"stock{j}" for j in range(25))
@@ -43,11 +63,35 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(make_docs):
     assert not any(got[i].kept for i in range(8, 16))
 
 
-def test_copies_of_a_clean_text_are_kept(make_docs):
+def test_line_rule_against_brute_force(spark):
+    rng = random.Random(5)
+    stock = [" ".join(f"s{k}w{j}" for j in range(rng.randint(1, 12))) for k in range(12)]
+    rows = []
+    for i in range(240):
+        lines = rng.sample(stock, rng.randint(0, 6)) + [" ".join(f"o{i}w{k}{j}" for j in range(rng.randint(0, 30))) for k in range(2)]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(x.upper() if rng.random() < 0.2 else x for x in lines), rng.choice(["a", "b", None])))
+    rows += [(300 + k, rows[k][1], rows[k][2]) for k in range(60)] + [(400, None, "a"), (401, "", None)]
+    rules = quality.QualityRules(line_docs=20, line_share=0.3)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = {r.doc_id: (r.removed_words, r.kept) for r in quality.judge_documents(docs, rules).collect()}
+    assert got == brute_lines(rows, rules)
+    assert {x > 0 for x, _ in got.values()} == {True, False} and any(x and k for x, k in got.values()) and any(x and not k for x, k in got.values())
+    assert {r.doc_id for r in quality.keep_documents(docs, rules).collect()} == {i for i, (_, k) in got.items() if k}
+
+
+def test_a_footer_of_every_document_goes_at_every_host(spark):
+    """With the production limits: 20 hosts, one footer in all their documents."""
+    rows = [(h * 300 + i, " ".join(f"d{h}x{i}w{j}" for j in range(25)) + "\nall rights reserved by the host", f"h{h}") for h in range(20) for i in range(300)]
+    got = quality.judge_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert len(got) == 6000 and all(r.removed_words == 6 and r.kept for r in got)
+
+
+def test_exact_copies_of_a_clean_text_count_once(make_docs):
     text = "\n".join(" ".join(f"l{k}w{j}" for j in range(12)) for k in range(6))
-    docs = make_docs([text] * 30 + [text + f"\nan edited line number {i}" for i in range(30)])
+    docs = make_docs([text] * 30 + [" ".join(f"own{i}w{j}" for j in range(30)) for i in range(30)])
     rules = quality.QualityRules(line_docs=20, line_share=0.1)
-    assert all(r.kept for r in quality.judge_documents(docs, rules).collect())
+    assert all(r.kept and not r.removed_words for r in quality.judge_documents(docs, rules).collect())
 
 
 def test_odd_rows(odd_docs, no_docs):
@@ -88,26 +132,56 @@ def test_urls(spark, url, expected):
 
 
 def test_reputation_against_brute_force(spark):
-    pages = [(i, f"http://h{i % 5}.d{i % 2}.s{i % 3 > 0:d}/x") for i in range(200)]
-    bad = {i: int(i % 5 == 0 and i % 2 == 0 or i % 11 == 0) for i in range(0, 200, 2)}
+    pages = [(i, f"http://h{i % 5}.d{i % 2}.{('com', 'co.uk', 'uk')[i % 3]}/x") for i in range(400)]
+    bad = {i: int(i % 5 == 0 and i % 2 == 0 or i % 11 == 0) for i in range(0, 400, 2)}
     frame = spark.createDataFrame(pages, "page_id bigint, url string")
-    out = url_filter.judge_urls(frame, spark.createDataFrame(list(bad.items()) + [(4, None), (None, 1), (6, bad[6])], "page_id bigint, bad int"), [], url_filter.Prior(strength=4, block_above=0.3)).collect()
+    prior = url_filter.Prior(block_above=0.3)
+    out = url_filter.judge_urls(frame, spark.createDataFrame(list(bad.items()) + [(4, None), (None, 1), (6, bad[6])], "page_id bigint, bad int"), [], prior).collect()
     host = {i: u.split("/")[2] for i, u in pages}
-    rows = [(host[i], host[i].split(".", 1)[1], host[i].rsplit(".", 1)[1], b) for i, b in bad.items()]
-    rate = lambda k, v, prior: (sum(r[3] for r in rows if r[k] == v) + 4 * prior) / (sum(r[k] == v for r in rows) + 4)
-    overall = (sum(r[3] for r in rows) + 1) / (len(rows) + 2)
+    suffix = lambda h: "co.uk" if h.endswith(".co.uk") else h.rsplit(".", 1)[1]
+    domain = lambda h: h.split(".", 1)[1]
+    count = {}
+    for i, b in bad.items():
+        n, k = count.get(host[i], (0, 0))
+        count[host[i]] = n + 1, k + b
+    level = lambda of: {u: tuple(sum(count[h][x] for h in count if of(h) == u) for x in (0, 1)) for u in map(of, count)}
+
+    def means(units, expected):
+        least = sum(n * expected[u] * (1 - expected[u]) for u, (n, _) in units.items())
+        pairs = sum((n - 1) * n * expected[u] * (1 - expected[u]) for u, (n, _) in units.items())
+        r = (sum((k - n * expected[u]) ** 2 for u, (n, k) in units.items()) - least) / pairs
+        m = 1 / max(min(r, 1 / 2), 1 / 1001) - 1
+        return {u: (k + m * expected[u]) / (n + m) for u, (n, k) in units.items()}, m
+
+    overall = (sum(bad.values()) + 1) / (len(bad) + 2)
+    of_suffix, _ = means(level(suffix), {s: overall for s in map(suffix, count)})
+    of_domain, _ = means(level(domain), {domain(h): of_suffix[suffix(h)] for h in count})
+    of_host, m = means(count, {h: of_domain[domain(h)] for h in count})
     verdicts = set()
     for r in out:
-        h = r.host
-        size = sum(x[0] == h for x in rows)
-        if not size:
+        if r.host not in count:
             assert r.lower is None and r.verdict == "allow"
             continue
-        mean = rate(0, h, rate(1, h.split(".", 1)[1], rate(2, h.rsplit(".", 1)[1], overall)))
-        lower = mean - 1.645 * (mean * (1 - mean) / (size + 4 + 1)) ** 0.5
+        mean = of_host[r.host]
+        lower = mean - 1.645 * (mean * (1 - mean) / (count[r.host][0] + m + 1)) ** 0.5
         assert r.lower == pytest.approx(lower, abs=1e-8) and r.verdict == ("block" if lower > 0.3 else "allow")
         verdicts.add(r.verdict)
-    assert len(out) == 200 and verdicts == {"allow", "block"}
+    assert len(out) == 400 and verdicts == {"allow", "block"}
+
+
+def test_bound_blocks_bad_hosts_with_production_limits(spark):
+    """Hosts of one domain differ: the fitted prior is weak, bad hosts are blocked and few outcomes shrink."""
+    urls = [(i, f"http://{'bad' if i % 4 == 0 else 'good'}{i % 8}.example.com/{i}") for i in range(400)] + [(1000, "http://new.example.com/"), (1001, "http://one.example.com/")]
+    bad = [(i, int(i % 4 == 0 and i % 40 != 0 or i % 50 == 1)) for i in range(400)] + [(1001, 1)]
+    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(urls, "page_id bigint, url string"), spark.createDataFrame(bad, "page_id bigint, bad int"), RULES).collect()}
+    assert all(got[i].verdict == ("block" if i % 4 == 0 else "allow") for i in range(400))
+    assert got[1000].verdict == got[1001].verdict == "allow" and got[1001].lower < 0.5
+
+
+@pytest.mark.parametrize(("host", "suffix", "domain"), [("a.b.co.uk", "co.uk", "b.co.uk"), ("b.com:80", "com", "b.com"), ("x.y.uk", "uk", "y.uk"), ("localhost", "localhost", "localhost"), ("", "", ""), ("co.uk", "co.uk", "co.uk")])
+def test_registered_domains(spark, host, suffix, domain):
+    row = spark.createDataFrame([(host,)], "host string").select(url_filter.public_suffix(F.col("host")).alias("s"), url_filter.registered_domain(F.col("host")).alias("d")).first()
+    assert (row.s, row.d) == (suffix, domain)
 
 
 def test_empty_pages(spark):
