@@ -18,15 +18,14 @@ BEGIN, END, WHOLE = U64(0x51ED270B0A2F3C41), U64(0x2545F4914F6CDD1D), U64(0x1B87
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """max_rows, max_bytes: the training sample holds at most max_rows labelled texts of at most
-    max_bytes bytes each, those with the smallest hash of their id, whatever the corpus size.
+    """max_rows: the training sample holds at most so many labelled texts, whole, those with the smallest hash
+    of their id, whatever the corpus size.
     buckets, dim: embedding table. grams: lengths of the byte n-grams. window: words averaged at once;
     a text scores as its worst window, so that length doesn't dilute it. warm: full-batch steps on about
     warm_windows windows with their text's label; then ``rounds`` times ``steps`` on each text's worst window as it
     stands. rate: of AdaGrad."""
 
     max_rows: int = 10000
-    max_bytes: int = 32768
     buckets: int = 1 << 18
     dim: int = 16
     grams: tuple[int, ...] = (3, 4, 5)
@@ -197,15 +196,12 @@ def held_out(doc_id: Column, remainder: int) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams) -> DataFrame:
-    """At most ``max_rows`` labelled texts, in one partition. Of a repeated label row the worst
+    """At most ``max_rows`` labelled texts of ``docs``, in one partition. Of a repeated label row the worst
     counts; null ids and labels are left out; a repeated doc_id gives each of its texts."""
-    marks = (
-        labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_rows)
-    )
+    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = marks.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_rows)
     return (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .where(F.octet_length("text") <= params.max_bytes)
         .join(F.broadcast(marks), "doc_id")  # at most max_rows rows of two numbers
         .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(params.max_rows)
         .select("text", (F.col("toxic") > 0).cast("double").alias("toxic"))
@@ -253,7 +249,12 @@ def score_texts(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataF
 
 def judge_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
     """Learn from labelled rows outside the held-out fold, then score every document: doc_id,
-    held_out, score, predicted. Only the text is an input of a score; other columns are ignored."""
+    held_out, score, predicted. Only the text is an input of a score; other columns are ignored.
+
+    ``docs``: doc_id, text; ``labels``: doc_id, toxic. Null, empty and blank texts score as the bias alone,
+    null ids are outside the held-out fold and not learned from; long texts are taken whole; repeated rows
+    get a result row each, and repeated labels count as the worst. A score of exactly 0.5 is predicted toxic.
+    Empty documents give no rows; without labels, or with one class, every score is the smoothed rate."""
     ids = docs.select("doc_id", "text")
     model = fit(training_sample(ids.where(~held_out(F.col("doc_id"), 0)), labels, params), params)
     out = score_texts(ids, model, ["doc_id"])
