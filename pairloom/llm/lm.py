@@ -1,9 +1,11 @@
-"""Log-bilinear language model over word classes, trained in numpy with noise-contrastive estimation.
-
-log10 P(text) = sum over tokens of log10 P(class | two previous classes) + log10 P(word | class).
-The class model is log-bilinear; softmax over all classes for all contexts is one batched matrix
-product, so token probabilities are normalised exactly. Word probabilities in a class come from
-corpus counts with half a count added, and every class keeps half a count for unseen words.
+"""Log-bilinear language model of two levels, trained in numpy with noise-contrastive estimation.
+
+log10 P(text) = sum over tokens of log10 P(class | two previous classes) + log10 P(word | class, previous
+class). Both levels are log-bilinear: a context vector times the vectors of what may follow, a softmax
+over all classes, and in a class a softmax over its frequent words and one slot for its other words. All
+contexts' scores are batched matrix products, so token probabilities are normalised exactly. Words of
+a class's last slot share it by corpus counts with half a count added, and half a count there is for
+unseen words.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ ENDINGS = 1 << 16
 @dataclass(frozen=True)
 class LMParams:
     """top: the most frequent words have a class each. groups: classes of the other words, found by
-    clustering word endings by the frequent word before them. known: words whose counts every task
-    holds in memory (16 bytes each); rarer words are looked up by a join. dim, noise, batch, steps,
-    rate: of the log-bilinear model and its NCE training, which draws n-grams from the counts of
-    all class trigrams of the training texts."""
+    clustering word endings by the frequent word before them. vocabulary: the most frequent words, which
+    have vectors of their own. known: words whose counts every task holds in memory (16 bytes each), about
+    and at most; rarer words are looked up by a join. dim, noise, batch, steps, rate: of the log-bilinear
+    models and their NCE training, which draws n-grams from the counts of all class trigrams, and of all
+    words after a class, of the training texts."""
 
     top: int = 31
     groups: int = 32
+    vocabulary: int = 8000
     known: int = 500_000
     dim: int = 24
     noise: int = 16
@@ -103,23 +107,49 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Classes:
-    """Class of every word: sorted hashes of the frequent words, and a class for each ending."""
+    """Class and slot of every word. ``words``: sorted hashes of the frequent words, with their class (-1: by
+    the ending) and slot; ``ending_class``: a class for each ending; ``slot_class``: the class of each slot,
+    those of a class side by side; ``rest``: the slot of a class's other words, -1 for classes of one word."""
 
-    top: np.ndarray
-    top_class: np.ndarray
+    words: np.ndarray
+    word_class: np.ndarray
+    word_slot: np.ndarray
     ending_class: np.ndarray
     end_class: int
+    slot_class: np.ndarray
+    rest: np.ndarray
 
-    def of(self, t: Tokens) -> np.ndarray:
+    def of(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Class and slot of each token; slot -1 in classes of one word."""
         out = np.where(t.is_end, self.end_class, self.ending_class[t.ending])
-        if len(self.top):
-            at = np.minimum(np.searchsorted(self.top, t.hash), len(self.top) - 1)
-            out = np.where((self.top[at] == t.hash) & ~t.is_end, self.top_class[at], out)
-        return out
-
-
-def _cells(docs: DataFrame, cells: int, count) -> np.ndarray:
-    """Sum of ``count(slice)`` -> (cell, n) over all texts: at most ``cells`` rows reach the driver."""
+        slot = np.full(len(out), -1)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, t.hash), len(self.words) - 1)
+            hit = (self.words[at] == t.hash) & ~t.is_end
+            out = np.where(hit & (self.word_class[at] >= 0), self.word_class[at], out)
+            slot = np.where(hit, self.word_slot[at], -1)
+        return out, np.where(slot < 0, self.rest[out], slot)
+
+
+def assign(top: np.ndarray, vocabulary: np.ndarray, endings: np.ndarray, ending_class: np.ndarray, params: LMParams) -> Classes:
+    """``top`` words have classes of their own; those of ``vocabulary``, whose endings are given, slots in the
+    classes of their endings."""
+    groups = np.arange(params.top, params.top + params.groups)
+    owner = np.concatenate([ending_class[endings], groups])  # the rest slots come last
+    order = np.argsort(owner, kind="stable")
+    slot = np.empty(len(owner), np.int64)
+    slot[order] = np.arange(len(owner))
+    rest = np.full(params.classes, -1)
+    rest[groups] = slot[len(vocabulary) :]
+    words = np.concatenate([top, vocabulary])
+    word_class = np.concatenate([np.arange(len(top)), np.full(len(vocabulary), -1)])
+    word_slot = np.concatenate([np.full(len(top), -1), slot[: len(vocabulary)]])
+    by_hash = np.argsort(words)
+    return Classes(words[by_hash], word_class[by_hash], word_slot[by_hash], ending_class, params.end_class, owner[order], rest)
+
+
+def _cells(docs: DataFrame, cells: int, count) -> DataFrame:
+    """(cell, n): sum of ``count(slice)`` over all texts; each task adds up ``cells`` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
@@ -129,7 +159,10 @@ def _cells(docs: DataFrame, cells: int, count) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    found = docs.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    return docs.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def _dense(found: pa.Table | pa.RecordBatch, cells: int) -> np.ndarray:
     out = np.zeros(cells)
     out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -217,56 +250,137 @@ def train_nce(trigrams: np.ndarray, params: LMParams) -> LogBilinear:
     return model
 
 
+def train_words(pairs: np.ndarray, slot_class: np.ndarray, params: LMParams) -> np.ndarray:
+    """log10 P(slot | its class, previous class), (classes, slots) float32, from the counts (classes, slots): a
+    log-bilinear model by NCE with the class's own word frequencies as noise."""
+    n, slots, d, k = params.classes, len(slot_class), params.dim, params.noise
+    rng = np.random.default_rng(params.seed + 1)
+    freq = pairs.sum(axis=0) + 0.5
+    edge = np.flatnonzero(np.concatenate([[True], slot_class[1:] != slot_class[:-1]]))
+    size = np.diff(np.append(edge, slots))
+    group = np.repeat(np.arange(len(edge)), size)
+    noise = freq / np.add.reduceat(freq, edge)[group]
+    log_kq = np.log(k * noise)
+    r, q, bias = rng.normal(0, 0.1, (n, d)), rng.normal(0, 0.1, (slots, d)), np.log(noise)
+    cells = np.flatnonzero(pairs)
+    upto = np.cumsum(pairs.ravel()[cells])
+    noise_upto = np.cumsum(noise)
+    begin = noise_upto[edge] - noise[edge]
+    seen = [np.full(x.shape, 1e-3) for x in (r, q, bias)]
+    add = lambda at, rows, count: np.stack([np.bincount(at, rows[:, x], count) for x in range(d)], axis=1)
+    for step in range(params.steps if len(cells) else 0):
+        drawn = cells[np.minimum(np.searchsorted(upto, rng.random(params.batch) * upto[-1], side="right"), len(cells) - 1)]
+        b, w = drawn // slots, drawn % slots
+        g = group[w]
+        other = np.searchsorted(noise_upto, begin[g][:, None] + rng.random((params.batch, k)))
+        words = np.concatenate([w[:, None], np.clip(other, edge[g][:, None], (edge + size - 1)[g][:, None])], axis=1)
+        context, follow = r[b], q[words]
+        margin = np.einsum("bd,bkd->bk", context, follow) + bias[words] - log_kq[words]
+        error = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        error[:, 0] -= 1
+        error /= params.batch
+        flat = words.ravel()
+        moves = (add(b, np.einsum("bk,bkd->bd", error, follow), n), add(flat, (error[:, :, None] * context[:, None, :]).reshape(-1, d), slots), np.bincount(flat, error.ravel(), slots))
+        rate = params.rate * min(1.0, 2 * (1 - step / params.steps))
+        for x, s, grad in zip((r, q, bias), seen, moves, strict=True):
+            s += grad * grad
+            x -= rate * grad / np.sqrt(s)
+    logits = r @ q.T + bias
+    peak = np.maximum.reduceat(logits, edge, axis=1)[:, group]
+    norm = np.log(np.add.reduceat(np.exp(logits - peak), edge, axis=1))[:, group] + peak
+    return ((logits - norm) / np.log(10)).astype(np.float32)
+
+
 @dataclass
 class LanguageModel:
     """Everything that scoring needs but the counts of rare words."""
 
     classes: Classes
-    log_probs: np.ndarray
-    in_class: np.ndarray  # log10 of each class's total, 0 where a class has one word
-    shared: np.ndarray  # whether a class holds words that differ
+    log_probs: np.ndarray  # of a class after two classes
+    slot_probs: np.ndarray  # of a slot in its class, after a class
+    in_rest: np.ndarray  # log10 of the counts in a class's last slot, half a count for unseen words among them
     known: np.ndarray  # sorted hashes of the most frequent words, with their counts
     known_n: np.ndarray
     train_tokens: int
     train_types: int
 
 
+def frequent_words(counts: DataFrame, params: LMParams) -> pa.Table:
+    """The words with counts from a threshold on, the most frequent first: at most ``known`` of them. The
+    threshold comes from a histogram of the counts in steps of a sixteenth of a power of two."""
+    step = F.floor(F.log2(F.col("n")) * 16)
+    bars = sorted(((r.step, r.words) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    total, least = 0, 1 << 20
+    for at, words in bars:
+        total += words
+        if total > params.known:
+            break
+        least = at
+    found = counts.where(step >= least).toArrow()
+    order = np.lexsort((found.column("word").to_numpy(), -found.column("n").to_numpy()))
+    return found.take(pa.array(order))
+
+
+def train_levels(cells: DataFrame, slot_class: np.ndarray, params: LMParams) -> tuple[np.ndarray, np.ndarray]:
+    """Both levels' tables, trained in one executor task, which is retried elsewhere if its executor is
+    lost. ``cells``: counts of trigrams of classes, then of slots after classes; their number is bounded."""
+    n, slots = params.classes, len(slot_class)
+
+    def fit_both(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return train_nce(table[: n**3], params).log_probs(), train_words(table[n**3 :].reshape(n, slots), slot_class, params)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n**3 + n * slots)
+        for batch in batches:
+            total += _dense(batch, len(total))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in fit_both(total)], ["classes", "slots"])
+
+    got = cells.coalesce(1).mapInArrow(run, "classes binary, slots binary").first()
+    if got is None:
+        return fit_both(np.zeros(n**3 + n * slots))
+    return np.frombuffer(got.classes, np.float32).reshape(n, n, n), np.frombuffer(got.slots, np.float32).reshape(n, slots)
+
+
 def fit(docs: DataFrame, params: LMParams, scratch: Scratch) -> tuple[LanguageModel, DataFrame]:
     """The model and the table of all word counts, from the texts of ``docs``."""
     counts = scratch.keep(word_counts(docs), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    known = counts.orderBy(F.desc("n"), "word").limit(params.known).toArrow()
-    word, n = known.column("word").to_numpy(), known.column("n").to_numpy()
-    frequent = word[word != END_HASH][: params.top]
-    order = np.argsort(frequent)
-    top, rank = frequent[order], np.arange(len(frequent))[order]
-    first = Classes(top, rank, np.full(ENDINGS, params.top), params.end_class)
+    known = frequent_words(counts, params)
+    word, n, ending = (known.column(k).to_numpy() for k in ("word", "n", "ending"))
+    is_word = np.flatnonzero(ending >= 0)
+    top, more = is_word[: params.top], is_word[params.top : params.top + params.vocabulary]
+    nothing = np.empty(0, np.int64)
+    first = assign(word[top], nothing, nothing, np.full(ENDINGS, params.top), params)
 
     def endings(piece: tk.Slice, out: np.ndarray) -> None:
         t = tokens(piece)
-        c = first.of(t)
+        c, _ = first.of(t)
         before = np.concatenate([[params.end_class], c[:-1]])
         before = np.where(before == params.end_class, params.top + 1, before)
         use = c == params.top
         out += np.bincount(t.ending[use] * (params.top + 2) + before[use], minlength=len(out))
 
-    grouped = cluster_endings(_cells(docs, ENDINGS * (params.top + 2), endings).reshape(ENDINGS, -1)[:, : params.top], params.groups)
-    classes = Classes(top, rank, grouped + params.top, params.end_class)
-
-    def trigrams(piece: tk.Slice, out: np.ndarray) -> None:
-        cell = _context(classes.of(tokens(piece)), params)
-        out += np.bincount(cell, minlength=params.classes**3)
-
-    model = train_nce(_cells(docs, params.classes**3, trigrams), params)
-    by_ending = counts.where(F.col("ending") >= 0).where(~F.col("word").isin([int(x) for x in top]) if len(top) else F.lit(True))
-    sums = by_ending.groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()  # at most 65536 rows
+    seen = _dense(_cells(docs, ENDINGS * (params.top + 2), endings).toArrow(), ENDINGS * (params.top + 2))
+    grouped = cluster_endings(seen.reshape(ENDINGS, -1)[:, : params.top], params.groups) + params.top
+    classes = assign(word[top], word[more], ending[more], grouped, params)
+    slots = len(classes.slot_class)
+
+    def both(piece: tk.Slice, out: np.ndarray) -> None:
+        c, slot = classes.of(tokens(piece))
+        cell = _context(c, params)
+        out[: params.classes**3] += np.bincount(cell, minlength=params.classes**3)
+        use = slot >= 0
+        near = cell[use] // params.classes % params.classes
+        out[params.classes**3 :] += np.bincount(near * slots + slot[use], minlength=params.classes * slots)
+
+    log_probs, slot_probs = train_levels(_cells(docs, params.classes**3 + params.classes * slots, both), classes.slot_class, params)
+    sums = counts.where(F.col("ending") >= 0).groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()  # at most 65536 rows
     mass = np.full(params.classes, 0.5)
-    np.add.at(mass, classes.ending_class[sums.column("ending").to_numpy()], sums.column("n").to_numpy() + 0.5 * sums.column("v").to_numpy())
-    shared = np.zeros(params.classes, bool)
-    shared[params.top : params.top + params.groups] = True
-    in_class = np.where(shared, np.log10(mass), 0.0)
+    np.add.at(mass, grouped[sums.column("ending").to_numpy()], sums.column("n").to_numpy() + 0.5 * sums.column("v").to_numpy())
+    own = np.concatenate([top, more])
+    np.subtract.at(mass, grouped[ending[own]], n[own] + 0.5)
     order = np.argsort(word)
-    return LanguageModel(classes, model.log_probs(), in_class, shared, word[order], n[order], int(total.n), int(total.v)), counts
+    return LanguageModel(classes, log_probs, slot_probs, np.log10(mass), word[order], n[order], int(total.n), int(total.v)), counts
 
 
 def _context(c: np.ndarray, params: LMParams) -> np.ndarray:
@@ -284,8 +398,10 @@ PARTIAL = "n_tokens bigint, n_known bigint, base double, model double, rare arra
 
 def _score_slice(piece: tk.Slice, m: LanguageModel, params: LMParams) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     t = tokens(piece)
-    c = m.classes.of(t)
-    model = m.log_probs.reshape(-1)[_context(c, params)].astype(np.float64) - m.in_class[c]
+    c, slot = m.classes.of(t)
+    cell = _context(c, params)
+    model = m.log_probs.reshape(-1)[cell].astype(np.float64)
+    model += np.where(slot >= 0, m.slot_probs[cell // params.classes % params.classes, slot], 0.0)
     count = np.zeros(len(t.hash), np.int64)
     rare = np.ones(len(t.hash), bool)
     if len(m.known):
@@ -294,7 +410,11 @@ def _score_slice(piece: tk.Slice, m: LanguageModel, params: LMParams) -> tuple[l
         hit = m.known[at] == uniq
         count, rare = np.where(hit, m.known_n[at], 0)[back], ~hit[back]
     share = np.where(rare, 0.0, np.log10(count + 0.5))
-    model += np.where(m.shared[c], share, 0.0)
+    in_rest = (slot >= 0) & (slot == m.classes.rest[c])
+    model += np.where(in_rest, share - m.in_rest[c], 0.0)
+    # a rare word is no frequent one, so it is in its class's last slot; the end token, rare only without
+    # training texts, has no share
+    model -= np.where(rare & t.is_end, np.log10(0.5), 0.0)
     doc = np.repeat(np.arange(piece.n), np.diff(t.first))
     at = np.flatnonzero(rare)
     key = np.stack([doc[at], t.hash[at]], axis=1)
@@ -307,15 +427,17 @@ def score_texts(docs: DataFrame, params: LMParams = LMParams()) -> DataFrame:
     """Score every text of ``docs`` (doc_id, text; other columns are ignored).
 
     Learns from the rows that ``training`` marks. A null text is empty: its one token is the end.
-    Rows are scored one by one, repeats included. Without training rows all counts are zero and the
-    class model is uniform noise. Words are told apart by a 64-bit hash.
+    Rows are scored one by one, repeats included; a null id counts as ''. Without training rows all counts
+    are zero, and the model is near uniform noise, normalised too. Words are told apart by a 64-bit
+    hash; of words with equal counts those with the smaller hash count as more frequent. Long texts are
+    taken whole; an empty table gives no rows.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     texts = docs.select("doc_id", "text")
     model, counts = fit(texts.where(training(F.col("doc_id"))), params, scratch)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by params.known and params.classes
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by params.known, params.vocabulary and params.classes
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
