@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,16 @@ URL_RULES = (
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+KEY_SETTING = "spark.pairloom.surrogateKey"
+
+
+def surrogate_params(spark: SparkSession) -> surrogates.SurrogateParams:
+    """The key of the session's setting; without one a fresh key, so that no two runs share surrogates."""
+    return surrogates.SurrogateParams(key=spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32))
+
+
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return surrogates.replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_params(spark))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,15 +30,21 @@ FEMALE = "Mrs Ms Miss Mme Madame Frau Señora Sra Signora Госпожа Κυρ
 MALE = "Mr Herr Señor Sr Monsieur Signor Господин Κύριος".split()
 NEUTRAL = "Dr Prof Mx Доктор".split()
 
+NAME = "struct<given:string,family:string,new_given:string,new_family:string>"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NAME_WORD = r"\p{Lu}[\p{L}'’-]+"
 # in order: the first that matches at a place wins
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]*[\w%+-]@[\w-]+(?:\.[\w-]+)+",
-    "secret": r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?i:password|passwd|secret|api[_-]?key|token)\s{0,3}[=:]\s{0,3}\"?[^\s\"]{6,}\"?",
+    "secret": (
+        r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)(?:gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z_-]{16,})(?!\w)"
+        r"|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]+-----END [A-Z ]*PRIVATE KEY-----|(?<!\w)(?i:bearer) [0-9A-Za-z._~+/=-]{16,}"
+        r"|(?i:password|passwd|secret|api[_-]?key|token)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',]{6,}[\"']?"
+    ),
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ip": rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)",
-    "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<!\w)\d{3}[.-]\d{3}[.-]\d{4}(?!\w)",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\w:])",
+    "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<!\w)\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w)|(?<!\w)0\d{2,4}[ /-]\d{5,8}(?!\w)",
     "ssn": r"(?<!\w)\d{3}-\d{2}-\d{4}(?!\w)",
     "card": r"(?<!\w)\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?!\w)",
     "name": rf"(?<!\w)(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.? {NAME_WORD}(?: {NAME_WORD})?",
@@ -46,16 +52,20 @@ PATTERNS = {
 CARD = r"(?<!\w)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)"
 ENTITY = "|".join(f"(?:{CARD if k == 'card' else p})" for k, p in PATTERNS.items())
 # a cheap necessary condition of any pattern
-HINT = r"[0-9@]|(?i:password|passwd|secret|api[_-]?key|token)|(?<!\w)(?:" + "|".join(FEMALE + MALE + NEUTRAL) + r")\.? "
+HINT = r"[0-9@]|::|PRIVATE KEY|(?i:password|passwd|secret|api[_-]?key|token|bearer )|(?<!\w)(?:" + "|".join(FEMALE + MALE + NEUTRAL) + r")\.? "
 
 
 @dataclass(frozen=True)
 class SurrogateParams:
-    """key: secret of the replacement; the same key gives the same surrogates for the same entities.
-    rounds: at most this many redraws of entities whose surrogates collide."""
+    """key: secret of the replacement, which the caller has to give; the same key gives the same surrogates for
+    the same entities. rounds: at most this many redraws of entities whose surrogates collide."""
 
-    key: str = "pairloom-demo-key"
-    rounds: int = 50
+    key: str
+    rounds: int = 60
+
+    def __post_init__(self):
+        if not self.key:
+            raise ValueError("surrogates need a secret key")
 
 
 def entity_type(value: Column) -> Column:
@@ -70,12 +80,27 @@ def canonical(value: Column, kind: Column) -> Column:
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(value, r"\D", ""))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
-        .when(kind == "email", F.lower(value))
-        .when(kind == "name", F.regexp_replace(value, r"^(\S+?)\.? ", r"$1 "))
+        .when(kind.isin("email", "ipv6"), F.lower(value))
         .otherwise(value)
     )
 
 
+def name_parts(value: Column) -> tuple[Column, Column, Column]:
+    """Title, given name (null for one word) and family name of a titled name."""
+    words = F.split(value, " ")
+    return F.get(words, 0), F.when(F.size(words) > 2, F.get(words, 1)), F.element_at(words, -1)
+
+
+def name_kinds(value: Column) -> tuple[Column, Column]:
+    """Kinds of a titled name's given and family name: all names of a kind have surrogates of one script, and
+    given names of one gender."""
+    title, _, _ = name_parts(value)
+    bare = F.regexp_replace(title, r"\.", "")
+    script = F.when(value.rlike(r" .*\p{IsCyrillic}"), "cyrillic").when(value.rlike(r" .*\p{IsGreek}"), "greek").otherwise("latin")
+    gender = F.when(bare.isin(FEMALE), "f").when(bare.isin(MALE), "m").otherwise("n")
+    return F.concat_ws(":", F.lit("given"), script, gender), F.concat_ws(":", F.lit("family"), script)
+
+
 def _hash(key: str, *parts: Column) -> Column:
     """Keyed hash (hash of key and message, hashed with the key again), 128 hex digits."""
     inner = F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 512)
@@ -89,7 +114,7 @@ def _pick(words: list[str], h: Column, at: int) -> Column:
 def _masked(value: Column, h: Column) -> Column:
     """Character by character: a digit for a digit (not zero for a first digit that isn't), a letter of
     the same case and script for a letter; hex strings stay hex; other characters stay."""
-    hexish = value.rlike(r"^[0-9a-f\"]*$")
+    hexish = value.rlike(r"^[0-9a-f\":]*$")
     chars = F.split(value, "")
     plain = F.filter(chars, lambda c: c != "")
 
@@ -133,18 +158,17 @@ def _card(digits: Column, h: Column) -> Column:
     return F.concat(body, F.when(_luhn_sum(digits) % 10 == 0, check).otherwise(wrong).cast("string"))
 
 
-def _name(canon: Column, h: Column) -> Column:
-    title = F.substring_index(canon, " ", 1)
-    words = F.size(F.split(canon, " ")) - 1
-    script = F.when(canon.rlike(r" .*\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r" .*\p{IsGreek}"), "greek").otherwise("latin")
-    gender = F.when(title.isin(FEMALE), "f").when(title.isin(MALE), "m").otherwise("n")
-    out = F.lit(None).cast("string")
-    for (s, g), names in GIVEN.items():
-        family = F.initcap(F.concat(*(_pick(SYLLABLES[s], h, at) for at in (20, 30, 40, 50))))
-        # a single word after the title is a family name, of two the first is a given name
-        full = F.when(words > 1, F.concat_ws(" ", _pick(names, h, 1), family)).otherwise(family)
-        out = F.when((script == s) & (gender == g), full).otherwise(out)
-    return F.concat_ws(" ", title, out)
+def _family(script: str, h: Column, attempt: Column) -> Column:
+    """Four syllables; more of them after each four draws that collided."""
+    more = [F.when(attempt >= 4 * (i + 1), _pick(SYLLABLES[script], h, 60 + 8 * i)).otherwise("") for i in range(6)]
+    return F.initcap(F.concat(*(_pick(SYLLABLES[script], h, at) for at in (20, 30, 40, 50)), *more))
+
+
+def _given(script: str, gender: str, h: Column, attempt: Column) -> Column:
+    """A name of the gender; two names after draws that collided, then a third made of syllables."""
+    names = GIVEN[script, gender]
+    third = F.concat_ws("-", _pick(names, h, 1), _family(script, h, attempt - 8))
+    return F.when(attempt < 2, _pick(names, h, 1)).when(attempt < 8, F.concat_ws("-", _pick(names, h, 1), _pick(names, h, 9))).otherwise(third)
 
 
 def _draw(entities: DataFrame, key: str) -> DataFrame:
@@ -155,26 +179,42 @@ def _draw(entities: DataFrame, key: str) -> DataFrame:
     tail = F.substring_index(domain, ".", -1)
     head = F.expr("substring(substring_index(canon, '@', -1), 1, length(substring_index(canon, '@', -1)) - length(substring_index(canon, '.', -1)) - 1)")
     octet = lambda at: (F.conv(F.substring(h, at, 4), 16, 10).cast("int") % 254 + 1).cast("string")
-    lead = F.regexp_extract(canon, r"^(?i:(?:AKIA|ASIA)|(?:password|passwd|secret|api[_-]?key|token)\s*[=:]\s*)", 0)
-    secret = F.expr("substring(canon, length(lead) + 1)")
-    private = canon.rlike(r"^(?:10|127)\.|^192\.168\.")
+    secret_lead = (
+        r"^(?:AKIA|ASIA|gh[pousr]_|sk-|-----BEGIN [A-Z ]*PRIVATE KEY-----|(?i:bearer) |(?i:password|passwd|secret|api[_-]?key|token)[\"']?\s*[=:]\s*[\"']?)"
+    )
+    lead = F.regexp_extract(canon, secret_lead, 0)
+    trail = F.regexp_extract(canon, r"(?:[\"']|-----END [A-Z ]*PRIVATE KEY-----)$", 0)
+    secret = F.expr("substring(canon, length(lead) + 1, length(canon) - length(lead) - length(trail))")
+    attempt = F.col("attempt")
+    # a format with few forms widens: one more character after each eight draws that collided, another range
+    extra = F.substr(h, F.lit(100), F.floor(attempt / 8).cast("int"))
+    small = canon.rlike(r"^192\.168\.") & (attempt < 8)
+    first = F.when(small, "192").when(canon.rlike(r"^(?:10|192\.168)\."), "10").when(canon.rlike(r"^127\."), "127").otherwise(octet(1))
+    unique_local = F.concat(F.lit("fd"), *(F.concat(F.substring(h, 1 + 4 * i, 2 if i == 0 else 4), F.lit(":" if i < 7 else "")) for i in range(8)))
+    names = F.lit(None).cast("string")
+    for script in SYLLABLES:
+        names = F.when(kind == f"family:{script}", _family(script, h, attempt)).otherwise(names)
+    for script, gender in GIVEN:
+        names = F.when(kind == f"given:{script}:{gender}", _given(script, gender, h, attempt)).otherwise(names)
     return (
-        entities.withColumn("h", _hash(key, kind, canon, F.col("attempt").cast("string")))
+        entities.withColumn("h", _hash(key, kind, canon, attempt.cast("string")))
         .withColumn("hd", _hash(key, F.lit("domain"), head))  # the same domain for all its addresses
         .withColumn("lead", lead)
+        .withColumn("trail", trail)
         .withColumn(
             "surrogate",
-            F.when(kind == "email", F.concat(_masked(local, h), F.lit("@"), _masked(head, F.col("hd")), F.lit("."), tail))
-            .when(kind == "ip", F.concat_ws(".", F.when(private, F.substring_index(canon, ".", 1)).otherwise(octet(1)), F.when(canon.rlike(r"^192\.168\."), "168").otherwise(octet(5)), octet(9), octet(13)))
+            F.when(kind == "email", F.concat(_masked(local, h), extra, F.lit("@"), _masked(head, F.col("hd")), F.lit("."), tail))
+            .when(kind == "ip", F.concat_ws(".", first, F.when(small, "168").otherwise(octet(5)), octet(9), octet(13)))
+            .when(kind == "ipv6", F.when(attempt < 4, _masked(canon, h)).otherwise(unique_local))
             .when(kind == "card", _card(canon, h))
             # a country code, before the last ten digits, stays
             .when((kind == "phone") & (F.length(canon) > 10), F.concat(F.expr("substring(canon, 1, length(canon) - 10)"), _masked(F.expr("right(canon, 10)"), h)))
             .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _masked(F.expr("substring(canon, 3)"), h)))
-            .when(kind == "secret", F.concat(F.col("lead"), _masked(secret, h)))
-            .when(kind == "name", _name(canon, h))
+            .when(kind == "secret", F.concat(F.col("lead"), extra, _masked(secret, h), F.col("trail")))
+            .when(kind.startswith("family") | kind.startswith("given"), names)
             .otherwise(_masked(canon, h)),
         )
-        .drop("h", "hd", "lead")
+        .drop("h", "hd", "lead", "trail")
     )
 
 
@@ -183,8 +223,9 @@ def assign_surrogates(entities: DataFrame, params: SurrogateParams, scratch: Scr
 
     Drawn by keyed hash; a surrogate that is itself an entity of the corpus, or that an entity with a
     smaller canonical form of the same kind has drawn too, is drawn again with the next attempt
-    number. Ends when none collides; the entities that still collide after ``rounds`` draws (a format with
-    too few forms) raise an error rather than share a surrogate.
+    number. A format with few forms widens as attempts go on: private addresses to another private range,
+    names by syllables, secrets and mailboxes by characters. Ends when none collides; entities of a format that
+    can't widen (numbers) and still collide after ``rounds`` draws raise an error rather than share a surrogate.
     """
     canons = scratch.keep(entities.select("kind", "canon").distinct(), "canons")
     drawn = _draw(canons.withColumn("attempt", F.lit(0)), params.key)
@@ -218,22 +259,39 @@ def _render(value: Column, kind: Column, surrogate: Column) -> Column:
         n = F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), kept, F.lit("")))
         return F.when(F.regexp_replace(c, kept, F.lit("")) == "", c).otherwise(F.substr(surrogate, n, F.lit(1)))
 
-    dotted = value.rlike(r"^\S+\. ")
     return (
         F.when(kind.isin("phone", "card", "ssn", "iban"), F.array_join(F.transform(chars, one), ""))
-        .when((kind == "email") & (value == F.upper(value)), F.upper(surrogate))
-        .when((kind == "name") & dotted, F.regexp_replace(surrogate, r"^(\S+) ", r"$1. "))
+        .when(kind.isin("email", "ipv6") & (value == F.upper(value)), F.upper(surrogate))
         .otherwise(surrogate)
     )
 
 
-def replace_private(docs: DataFrame, params: SurrogateParams = SurrogateParams()) -> DataFrame:
+def _cased(word: Column, surrogate: Column) -> Column:
+    """In capitals where the mention is."""
+    return F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(surrogate)).otherwise(surrogate)
+
+
+def _again(text: Column, names: Column) -> Column:
+    """``text`` between mentions, with untitled mentions of the document's names replaced: whole names, then
+    family names."""
+    alone = lambda name: F.concat(F.lit(r"(?<![\p{L}'’-])"), name, F.lit(r"(?![\p{L}'’-])"))
+    whole = F.aggregate(
+        F.filter(names, lambda x: x["given"].isNotNull()), text,
+        lambda acc, x: F.regexp_replace(acc, alone(F.concat_ws(" ", x["given"], x["family"])), F.concat_ws(" ", x["new_given"], x["new_family"])),
+    )
+    return F.aggregate(names, whole, lambda acc, x: F.regexp_replace(acc, alone(x["family"]), x["new_family"]))
+
+
+def replace_private(docs: DataFrame, params: SurrogateParams) -> DataFrame:
     """``docs`` with the entities of ``text`` replaced, all columns and rows kept, plus ``n_entities``.
 
     ``docs`` needs doc_id and text; other columns pass through under their own names. Mentions of one
-    entity (same digits, same address in any case, same titled name) get one surrogate in the whole
-    corpus, different entities different ones; kind, gender, script, case and separators stay. A null
-    text stays null, an empty one empty. Rows that repeat an id with the same text change alike.
+    entity (same digits, same address in any case, same given or family name) get one surrogate in the whole
+    corpus, different entities different ones; kind, gender, script, case and separators stay. Names are
+    found after a title; their other mentions in the same text, whole or as family names, are replaced
+    too, and not counted. A null text stays null, an empty one empty; long texts are taken whole. Rows that
+    repeat an id with the same text change alike. Of patterns that match at one place the first in
+    ``PATTERNS`` counts. An empty table gives no rows.
 
     Texts that cannot hold an entity pass in the scan; only (row key, place, mention) rows of the others
     are joined with the surrogates, so an entity that a third of the rows mention moves small rows,
@@ -252,18 +310,40 @@ def replace_private(docs: DataFrame, params: SurrogateParams = SurrogateParams()
     found = scratch.keep(found.select("doc_id", "content", F.posexplode("mentions").alias("at", "value")), "mentions")
     values = found.select("value").distinct().withColumn("kind", entity_type(F.col("value"))).where("kind IS NOT NULL")
     values = scratch.keep(values.withColumn("canon", canonical(F.col("value"), F.col("kind"))), "values")
-    surrogates = assign_surrogates(values, params, scratch)
-    rendered = values.join(surrogates, ["kind", "canon"]).select("value", _render(F.col("value"), F.col("kind"), F.col("surrogate")).alias("new"))
+    _, given, family = name_parts(F.col("value"))
+    given_kind, family_kind = name_kinds(F.col("value"))
+    names = values.where("kind = 'name'").select("value", given.alias("given"), family.alias("family"), given_kind.alias("given_kind"), family_kind.alias("family_kind"))
+    entities = (
+        values.where("kind <> 'name'").select("kind", "canon")
+        .unionByName(names.where("given IS NOT NULL").select(F.col("given_kind").alias("kind"), F.lower("given").alias("canon")))
+        .unionByName(names.select(F.col("family_kind").alias("kind"), F.lower("family").alias("canon")))
+    )
+    surrogates = scratch.keep(assign_surrogates(entities, params, scratch), "surrogates")
+    part = lambda name: surrogates.select(F.col("kind").alias(f"{name}_kind"), F.col("canon").alias(f"{name}_canon"), F.col("surrogate").alias(f"new_{name}"))
+    names = (
+        names.withColumn("given_canon", F.lower("given")).withColumn("family_canon", F.lower("family"))
+        .join(part("given"), ["given_kind", "given_canon"], "left").join(part("family"), ["family_kind", "family_canon"])
+        .withColumn("new_given", _cased(F.col("given"), F.col("new_given"))).withColumn("new_family", _cased(F.col("family"), F.col("new_family")))
+    )
+    title = F.substring_index("value", " ", 1)
+    name = F.struct("given", "family", "new_given", "new_family")
+    rendered = (
+        values.join(surrogates, ["kind", "canon"]).select("value", _render(F.col("value"), F.col("kind"), F.col("surrogate")).alias("new"), F.lit(None).cast(NAME).alias("name"))
+        .unionByName(names.select("value", F.concat_ws(" ", title, "new_given", "new_family").alias("new"), name.cast(NAME).alias("name")))
+    )
     per_doc = (
         found.join(rendered.hint("merge"), "value", "left")
         .groupBy(F.col("doc_id").alias("key_id"), F.col("content").alias("key_content"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("new", "value").alias("new")))), lambda x: x["new"]).alias("new"))
+        .agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("new", "value").alias("new")))), lambda x: x["new"]).alias("new"),
+            F.array_sort(F.collect_set("name")).alias("names"),
+        )
     )
     touched = docs.where(hinted).withColumn("__content", F.xxhash64("text")).join(
         per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("key_id")) & F.col("__content").eqNullSafe(F.col("key_content")), "left"
     )
     between = F.split("text", ENTITY, -1)
-    rebuilt = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get("new", i), F.lit("")))), "")
+    rebuilt = F.array_join(F.transform(between, lambda part, i: F.concat(F.when(F.size("names") > 0, _again(part, F.col("names"))).otherwise(part), F.coalesce(F.get("new", i), F.lit("")))), "")
     out = F.when(F.col("new").isNull(), F.col("text")).otherwise(rebuilt)
     n = F.coalesce(F.size("new"), F.lit(0))
     n = F.when(F.col("new").isNull(), 0).otherwise(n)

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.llm import decontaminate, lm, sentencepiece_codec, surrogates, toxicity
+from pairloom.llm import textkit as tk
 from pairloom.llm.queries import TOKENIZER
+from pairloom.llm.storage import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -160,7 +162,7 @@ def low(text):
     return [w.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))) for w in WORD.findall(text or "")]
 
 
-SMALL = lm.LMParams(top=5, groups=4, known=30, dim=6, noise=4, batch=256, steps=150)
+SMALL = lm.LMParams(top=5, groups=4, vocabulary=20, known=40, dim=6, noise=4, batch=256, steps=150)
 
 
 def test_base_scores_against_brute_force(make_docs, sample):
@@ -193,21 +195,77 @@ def test_class_probabilities_are_normalised_and_learn():
     assert np.allclose((10 ** lm.train_nce(np.zeros(n**3), SMALL).log_probs().astype(float)).sum(axis=-1), 1, atol=1e-4)
 
 
-def test_words_sum_to_one_over_classes(make_docs, sample, spark):
+def word_probability(m, near, word, ending, n):
+    """P(word | its class, previous class) by the definition, from the model's tables."""
+    at = np.flatnonzero(m.classes.words == word)
+    if len(at) and m.classes.word_class[at[0]] >= 0:
+        return int(m.classes.word_class[at[0]]), 1.0
+    c = int(m.classes.ending_class[ending])
+    if len(at):
+        return c, 10 ** float(m.slot_probs[near, m.classes.word_slot[at[0]]])
+    return c, 10 ** (float(m.slot_probs[near, m.classes.rest[c]]) - m.in_rest[c]) * (n + 0.5)
+
+
+@pytest.mark.parametrize("with_rows", [True, False])
+def test_words_sum_to_one(sample, spark, with_rows):
+    from pairloom.llm.storage import Scratch
+
+    docs = sample.limit(60).where(F.lit(with_rows))
+    m, counts = lm.fit(docs, SMALL, Scratch(spark, "t"))
+    rows = [r for r in counts.collect() if r.ending >= 0]
+    assert (len(rows) > 60) == with_rows
+    for far, near in [(0, 1), (SMALL.end_class, SMALL.end_class), (3, SMALL.top), (SMALL.top + 1, 2)]:
+        of_class = 10 ** m.log_probs[far, near].astype(float)
+        assert of_class.sum() == pytest.approx(1, abs=1e-4)
+        inside = np.zeros(SMALL.classes)
+        inside[SMALL.end_class] = 1
+        for r in rows:
+            c, p = word_probability(m, near, r.word, r.ending, r.n)
+            inside[c] += p
+        for c in range(SMALL.top, SMALL.top + SMALL.groups):  # the unseen words of a class
+            inside[c] += 10 ** (float(m.slot_probs[near, m.classes.rest[c]]) - m.in_rest[c]) * 0.5
+        used = inside > 0 if with_rows else np.arange(SMALL.classes) >= SMALL.top
+        assert np.allclose(inside[used], 1, atol=1e-4)
+
+
+def test_scores_against_brute_force(make_docs, sample, spark):
+    """Each text's score is the sum of its tokens' log probabilities, rare and unseen words included."""
     from pairloom.llm.storage import Scratch
 
-    docs = sample.limit(60)
-    model, counts = lm.fit(docs, SMALL, Scratch(spark, "t"))
-    rows = counts.collect()
-    mass = np.zeros(SMALL.classes)
-    top = set(model.classes.top.tolist())
-    for r in rows:
-        if r.word in top or r.ending < 0:
-            continue
-        c = model.classes.ending_class[r.ending]
-        mass[c] += (r.n + 0.5) / 10 ** model.in_class[c]
-    mass[model.shared] += 0.5 / 10 ** model.in_class[model.shared]  # the unseen word of the class
-    assert np.allclose(mass[model.shared], 1)
+    texts = [r.text for r in sample.limit(40).collect()] + [None, "", "quite unseenwords here"]
+    docs = make_docs(texts)
+    m, counts = lm.fit(docs.where(lm.training(F.col("doc_id"))), SMALL, Scratch(spark, "t"))
+    n = {r.word: r.n for r in counts.collect()}
+    got = {r.doc_id: r.score for r in lm.score_texts(docs, SMALL).collect()}
+    for i, text in enumerate(texts):
+        (piece,) = tk.slices(pa.array([text or ""]))
+        t = lm.tokens(piece)
+        far = near = SMALL.end_class
+        total = 0.0
+        for word, ending, is_end in zip(t.hash.tolist(), t.ending.tolist(), t.is_end.tolist(), strict=True):
+            c, p = (SMALL.end_class, 1.0) if is_end else word_probability(m, near, word, ending, n.get(word, 0))
+            total += float(m.log_probs[far, near, c]) + np.log10(p)
+            far, near = near, c
+        assert got[i] == pytest.approx(total, rel=1e-4)
+
+
+def test_words_learn_what_they_follow():
+    rng = np.random.default_rng(0)
+    slot_class = np.repeat([5, 6], [6, 4])
+    pairs = np.zeros((SMALL.classes, 10))
+    for _ in range(20000):
+        b, g = rng.integers(0, SMALL.classes), rng.integers(0, 2)
+        pairs[b, (b % 6) if g == 0 else 6 + b % 4] += 1
+    table = lm.train_words(pairs, slot_class, lm.LMParams(top=5, groups=4, dim=8, noise=4, batch=512, steps=600)).astype(float)
+    for part in (table[:, :6], table[:, 6:]):
+        assert np.allclose((10**part).sum(axis=1), 1, atol=1e-4)
+    assert np.mean([table[b, b % 6] for b in range(SMALL.classes)]) > np.log10(1 / 6) + 0.4
+
+
+def test_empty_text_without_training_rows_has_the_models_score(make_docs):
+    (row,) = lm.score_texts(make_docs({next(i for i in range(99) if crc(i) == 1): ""}), SMALL).collect()
+    assert row.held_out and row.train_tokens == 0
+    assert row.score == pytest.approx(float(lm.train_nce(np.zeros(SMALL.classes**3), SMALL).log_probs()[SMALL.end_class, SMALL.end_class, SMALL.end_class]), abs=1e-5)
 
 
 def test_lm_odd_rows(odd_docs, no_docs):
@@ -238,7 +296,8 @@ def bench(spark):
         ("about rivers and hills and the sea in spring, but not that item", {}),
         ("99 98 97 96 95 94 93 92 91 90 89", {}),
         ("before one small short item here after", {6: True}),
-        ("too short", {}),
+        ("that is too short, they say", {3: True}),
+        ("too very short", {}),
     ],
 )
 def test_templates(make_docs, bench, text, found):
@@ -246,10 +305,10 @@ def test_templates(make_docs, bench, text, found):
     assert got == found
 
 
-@pytest.mark.parametrize("item", ["12 13 14 15 16 17 18 19 20 21", "What is 12 + 15 * 3 - 7?", "Convert 12 miles to kilometers", "Alice, Bob, Carla and Dan met Erik"])
+@pytest.mark.parametrize("item", ["What is Pi", "Berlin Paris London Madrid Rome Oslo 12 13 14 km", "Wie weit sind 12 Kilometer", "12 13 14 15 16 17 18 19 20 21", "What is 12 + 15 * 3 - 7?", "Convert 12 miles to kilometers", "Alice, Bob, Carla and Dan met Erik"])
 def test_items_with_few_plain_words_are_found_verbatim(spark, make_docs, item):
     bench = spark.createDataFrame([(1, item), (2, ITEM)], "item_id bigint, text string")
-    docs = make_docs([item, f"Some words before: 7 {item} 8 and after.", re.sub(r"\d+|Carla", lambda m: "Zoe" if m[0] == "Carla" else f"{m[0]}7", item), ITEM])
+    docs = make_docs([item, f"Some words before: 7 {item} 8 and after.", re.sub(r"\d+|Carla|Pi$", lambda m: f"{m[0]}7" if m[0][0] in "123456789" else "Zoe", item), ITEM])
     got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.find_contaminated(docs, bench).collect()}
     assert got == {(0, 1): True, (1, 1): True, (3, 2): True}
 
@@ -289,8 +348,11 @@ def test_decontaminate_odd_rows(spark, odd_docs, no_docs, bench):
 # ---------------------------------------------------------------- surrogates
 
 
+KEY = surrogates.SurrogateParams(key="test")
+
+
 def replaced(make_docs, texts, **params):
-    rows = surrogates.replace_private(make_docs(texts), surrogates.SurrogateParams(**params)).collect()
+    rows = surrogates.replace_private(make_docs(texts), surrogates.SurrogateParams(**{"key": "test", **params})).collect()
     return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
@@ -320,6 +382,51 @@ def test_formats_are_kept_and_mentions_corefer(make_docs):
     assert re.search(r"Госпожа [А-Я][а-я]+ [А-Я][а-я]+$", out[6]) and "Петрова" not in out[6]
 
 
+@pytest.mark.parametrize(
+    ("text", "gone", "kept"),
+    [
+        ('{"api_key": "8fj39dk20dkw", "name": "x"}', "8fj39dk20dkw", r'\{"api_key": "\w{12}", "name": "x"\}'),
+        ("password: 'hunter2hunter2'", "hunter2", r"password: '\w+'"),
+        ("Authorization: Bearer abcdef0123456789abcdef", "abcdef0123456789", r"Authorization: Bearer [0-9a-f]{22}"),
+        ("use ghp_16C7e42F292c6912E7710c838347Ae178B4a now", "16C7e42F", r"use ghp_\w{36} now"),
+        ("sk-abcdEFGH1234abcdEFGH and", "abcdEFGH", r"sk-\w{20} and"),
+        ("-----BEGIN RSA PRIVATE KEY-----\nMIIEow\n-----END RSA PRIVATE KEY----- x", "MIIEow", r"-----BEGIN RSA PRIVATE KEY-----\n\w{6}\n-----END RSA PRIVATE KEY----- x"),
+        ("call 988 555 2485 or", "555", r"call \d{3} \d{3} \d{4} or"),
+        ("Ruf 0171 2345678 an", "2345678", r"Ruf \d{4} \d{7} an"),
+        ("at 2001:db8:0:0:8:800:200c:417a and fe80::1ff:fe23:4567", "200c|fe23", r"at [0-9a-f]+(?::[0-9a-f]+){7} and [0-9a-f]+::[0-9a-f:]+"),
+    ],
+)
+def test_more_forms(make_docs, text, gone, kept):
+    (out,) = replaced(make_docs, [text])
+    assert not re.search(gone, out) and re.fullmatch(kept, out)
+
+
+def test_names_corefer_with_and_without_titles(make_docs):
+    out = replaced(make_docs, ["Mr. John Smith came. John Smith said that Smith left; Mr Smith and Smithson, Dr Jane SMITH.", "Frau Smith"])
+    m = re.fullmatch(r"Mr\. (\S+) (\S+) came\. (\S+) (\S+) said that (\S+) left; Mr (\S+) and Smithson, Dr (\S+) (\S+)\.", out[0])
+    given, family = m[1], m[2]
+    assert (m[3], m[4], m[5], m[6], m[8]) == (given, family, family, family, family.upper())
+    assert "John" not in out[0] and "Jane" not in out[0] and out[1] == f"Frau {family}"
+
+
+def test_formats_widen_when_their_forms_run_out(spark):
+    """70,000 addresses of a range that holds 64,516 surrogates, and more given names than the lists have."""
+    def check(entities, n):
+        kept = surrogates.assign_surrogates(entities, KEY, Scratch(spark, "t"))
+        assert kept.count() == n == kept.select("surrogate").distinct().count()
+        assert kept.join(entities.select(F.col("canon").alias("surrogate")), "surrogate").isEmpty()
+
+    i = F.col("id").cast("int")
+    check(spark.range(65_536).select(F.lit("ip").alias("kind"), F.concat(F.lit("192.168."), F.floor(i / 256).cast("string"), F.lit("."), (i % 256).cast("string")).alias("canon")).unionByName(
+        spark.range(4_464).select(F.lit("ip").alias("kind"), F.concat(F.lit("10.1."), F.floor(i / 256).cast("string"), F.lit("."), (i % 256).cast("string")).alias("canon"))), 70_000)
+    check(spark.range(900).select(F.lit("given:latin:f").alias("kind"), F.concat(F.lit("name"), F.col("id")).alias("canon")), 900)
+
+
+def test_a_key_is_needed():
+    with pytest.raises(ValueError, match="key"):
+        surrogates.SurrogateParams(key="")
+
+
 def test_distinct_entities_stay_distinct(make_docs):
     texts = [f"ip 10.0.{i // 250}.{i % 250 + 1} and a.{i}@x{i % 3}.example.com" for i in range(600)] + [f"Mr. Xab{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
     out = replaced(make_docs, texts)
@@ -337,14 +444,14 @@ def test_key_decides_and_clean_texts_stay(make_docs, sample):
 
 def test_too_few_forms_raise_an_error(make_docs):
     with pytest.raises(ValueError, match="collide"):
-        surrogates.replace_private(make_docs([f"password={c}{d}aaaa" for c in "0123456789" for d in "0123"] * 2), surrogates.SurrogateParams(rounds=0)).collect()
+        surrogates.replace_private(make_docs([f"password={c}{d}aaaa" for c in "0123456789" for d in "0123"] * 2), surrogates.SurrogateParams(KEY.key, rounds=0)).collect()
 
 
 def test_surrogates_of_odd_rows(odd_docs, no_docs):
-    out = surrogates.replace_private(odd_docs.withColumn("text", F.concat("text", F.lit(" me@mail1.example.com"))))
+    out = surrogates.replace_private(odd_docs.withColumn("text", F.concat("text", F.lit(" me@mail1.example.com"))), KEY)
     assert out.columns == [*odd_docs.columns, "n_entities"]
     rows = out.collect()
     assert len(rows) == odd_docs.count() and all((r.n_entities == 1) == (r.text is not None) for r in rows)
-    assert surrogates.replace_private(no_docs).collect() == []
-    same = surrogates.replace_private(odd_docs)
+    assert surrogates.replace_private(no_docs, KEY).collect() == []
+    same = surrogates.replace_private(odd_docs, KEY)
     assert sorted(map(str, same.select("text").collect())) == sorted(map(str, odd_docs.select("text").collect()))
