@@ -196,41 +196,32 @@ class Codec:
         out = self.whole.decode_batch(ids, skip_special_tokens=False)
         return [x[1:] if self.spec.dummy_prefix and x.startswith(" ") else x for x in out]
 
-    def encode_segments(self, raw: bytes, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the space-led segments raw[first[i]:first[i+1]], end to end, their count in each
-        segment, whether it decodes to itself and whether the SentencePiece library gives the same.
+    def encode_segments(self, raw: bytes, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the space-led segments raw[first[i]:first[i+1]], end to end, and their count in each.
 
-        Segments are joined to texts of about JOINED bytes, which both libraries encode in one call; ids
-        are dealt back to segments by the byte lengths of their pieces."""
+        Segments are joined to texts of about JOINED bytes, which the backend encodes in one call; ids are
+        dealt back to segments by the byte lengths of their pieces."""
         cuts = np.unique(np.concatenate([np.searchsorted(first, np.arange(0, len(raw), JOINED)), [len(first) - 1]]))
         texts = [raw[first[a] : first[b]].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         ids = np.array([x for e in self.segment.encode_batch_fast(texts, add_special_tokens=False) for x in e.ids], np.int32)
         ends = np.cumsum(self.piece_size[ids])
         upto = np.searchsorted(ends, first, side="right")
         if (self.piece_size[ids] == 0).any() or len(ends) == 0 or ends[-1] != len(raw) or (ends[upto[1:] - 1] != first[1:]).any():
-            return self._encode_each(raw, first)
-        same = np.array([x for one in self.reference.encode([t[1:] for t in texts], num_threads=1) for x in one], np.int32)
-        size = self.piece_size[ids]
-        back = self.piece_bytes[np.repeat(self.piece_at[ids] - ends + size, size) + np.arange(len(raw))]
-        wrong = np.concatenate([[0], np.cumsum(back != np.frombuffer(raw, np.uint8))])
-        trip = wrong[first[1:]] == wrong[first[:-1]]
-        if len(same) == len(ids):
-            odd = np.concatenate([[0], np.cumsum(same != ids)])
-            parity = odd[upto[1:]] == odd[upto[:-1]]
-        else:
-            parity = self._encode_each(raw, first)[3]
-        return ids, np.diff(upto), trip, parity
-
-    def _encode_each(self, raw: bytes, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """As encode_segments, one segment at a time: for unknown pieces, which have no length."""
-        segments = [raw[a:b].decode("utf-8", "replace") for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        ids = [x.ids for x in self.segment.encode_batch_fast(segments, add_special_tokens=False)]
-        back = self.segment.decode_batch(ids, skip_special_tokens=False)
-        # a lone space is an empty text to the library, which has no ids
-        same = [a if s == " " else b for a, b, s in zip(ids, self.reference.encode([s[1:] for s in segments], num_threads=1), segments, strict=True)]
-        flat = np.array([x for one in ids for x in one], np.int32)
+            # unknown pieces have no length: one segment at a time
+            segments = [raw[a:b].decode("utf-8", "replace") for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            each = [x.ids for x in self.segment.encode_batch_fast(segments, add_special_tokens=False)]
+            return np.array([x for one in each for x in one], np.int32), np.fromiter(map(len, each), np.int64, len(each))
+        return ids, np.diff(upto)
+
+    def check(self, texts: list[str], ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each text's ids decode to it with the backend's decoder (to what the SentencePiece library
+        decodes, where the model normalises texts), and whether that library gives the same ids."""
+        same = self.reference.encode(texts, num_threads=1)
+        plain = not self.spec.charsmap and not self.spec.squeeze_spaces
+        # an id of a literal marker in a text decodes to a space in both libraries
+        want = [t if plain and MARK not in t else self.reference.decode(x) for t, x in zip(texts, same, strict=True)]
         pairs = lambda xs, ys: np.array([x == y for x, y in zip(xs, ys, strict=True)], bool)
-        return flat, np.fromiter(map(len, ids), np.int64, len(ids)), pairs(back, segments), pairs(ids, same)
+        return pairs(self.decode(ids), want), pairs(ids, same)
 
 
 _codecs: dict[tuple[str, int], Codec] = {}
@@ -245,7 +236,7 @@ def codec(model: bytes, threads: int = 2) -> Codec:
 
 
 class SegmentCache:
-    """Ids and checks of segments already met by this worker, by hash; emptied when it is full."""
+    """Ids of segments already met by this worker, by hash; emptied when it is full."""
 
     def __init__(self, limit: int = 800_000):
         self.limit = limit
@@ -255,20 +246,16 @@ class SegmentCache:
         self.place: dict[int, int] = {}
         self.flat = np.empty(0, np.int32)
         self.size = np.empty(0, np.int64)
-        self.trip = np.empty(0, bool)
-        self.parity = np.empty(0, bool)
 
-    def add(self, hashes: list[int], ids: np.ndarray, size: np.ndarray, trip: np.ndarray, parity: np.ndarray) -> None:
+    def add(self, hashes: list[int], ids: np.ndarray, size: np.ndarray) -> None:
         n = len(self.size)
         self.flat = np.concatenate([self.flat, ids])
         self.size = np.concatenate([self.size, size])
-        self.trip = np.concatenate([self.trip, trip])
-        self.parity = np.concatenate([self.parity, parity])
         self.place.update(zip(hashes, range(n, n + len(size)), strict=True))
 
 
-def _encode_split(piece: tk.Slice, c: Codec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts of a slice, their count, and whether each text round-trips and has parity."""
+def _encode_split(piece: tk.Slice, c: Codec) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a slice and their count, from the ids of the distinct segments."""
     empty = np.diff(piece.offsets) == 0
     data = np.insert(piece.data, piece.offsets[:-1][~empty], 0x20)  # the dummy prefix
     offsets = piece.offsets + np.concatenate([[0], np.cumsum(~empty)])
@@ -292,34 +279,26 @@ def _encode_split(piece: tk.Slice, c: Codec) -> tuple[np.ndarray, np.ndarray, np
     where = np.fromiter((c.cache.place[h] for h in keys), np.int64, len(keys))[back] if keys else np.empty(0, np.int64)
     count = c.cache.size[where]
     out = c.cache.flat[np.repeat(at[where] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-    first = np.searchsorted(start, offsets)
-    whole = lambda ok: tk.sums_by((~ok[where]).astype(np.int64), first) == 0
-    return out, tk.sums_by(count, first), whole(c.cache.trip), whole(c.cache.parity)
-
-
-def _encode_whole(text: str, c: Codec) -> tuple[np.ndarray, bool, bool]:
-    ids = c.encode([text])[0]
-    same = c.reference.encode(text)
-    return np.array(ids, np.int32), c.decode([ids])[0] == c.reference.decode(same), ids == same
+    return out, tk.sums_by(count, np.searchsorted(start, offsets))
 
 
 def encode_column(texts: pa.Array, c: Codec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts end to end, their count in each text, round trip and parity."""
-    ids, count, trip, parity = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, bool)], [np.empty(0, bool)]
+    """Ids of all texts end to end, their count in each text, round trip and parity, both checked on each
+    whole text."""
+    parts: list[tuple] = [(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool))]
     for piece in tk.slices(texts, 2 << 20):
-        if c.spec.splittable and piece.data.tobytes().find(MARK_BYTES) < 0:
-            got = _encode_split(piece, c)
-            for all_, one in zip((ids, count, trip, parity), got, strict=True):
-                all_.append(one)
-            continue
-        for i in range(piece.n):
-            text = piece.data[piece.offsets[i] : piece.offsets[i + 1]].tobytes().decode("utf-8", "replace")
-            one, a, b = _encode_whole(text, c)
-            ids.append(one)
-            count.append(np.array([len(one)]))
-            trip.append(np.array([a]))
-            parity.append(np.array([b]))
-    return tuple(np.concatenate(x) for x in (ids, count, trip, parity))
+        raw = piece.data.tobytes()
+        edges = piece.offsets.tolist()
+        plain = [raw[a:b].decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        if c.spec.splittable and raw.find(MARK_BYTES) < 0:
+            ids, count = _encode_split(piece, c)
+            flat, ends = ids.tolist(), np.cumsum(count).tolist()
+            lists = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        else:
+            lists = c.encode(plain)
+            ids, count = np.array([x for one in lists for x in one], np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
+        parts.append((ids, count, *c.check(plain, lists)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def read_model(spark: SparkSession, path: str) -> bytes:
@@ -334,9 +313,10 @@ def encode_texts(docs: DataFrame, model_path: str, keep: list[str], threads: int
     """``keep`` columns, ``ids`` (array<int>), ``n_tokens``, ``round_trip`` and ``parity`` of every text.
 
     The driver reads the model and broadcasts its bytes (a vocabulary file of fixed size); each
-    Python worker builds the backend once. A null or empty text has no ids. ``round_trip``: the ids
-    decode to the text (where the model normalises texts, to what the SentencePiece library decodes).
-    ``parity``: the SentencePiece library gives the same ids. Rows are encoded one by one.
+    Python worker builds the backend once. A null or empty text has no ids. ``round_trip``: the backend
+    decodes the ids to the text (where the model normalises texts, to what the SentencePiece library
+    decodes). ``parity``: the SentencePiece library gives the same ids for the whole text. Rows are encoded
+    one by one, repeats too, texts of any length whole; an empty table gives no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_model(spark, model_path))
