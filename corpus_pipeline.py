@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import decontaminate, partenum, quality, sentencepiece_codec, surrogates
-from pairloom.llm.queries import TOKENIZER
+from pairloom.llm.queries import TOKENIZER, surrogate_params
 from pairloom.llm.storage import Scratch, table
 
 
@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Private data gets surrogates; n_chars follows the new text."""
-    out = surrogates.replace_private(docs).drop("n_entities")
+    out = surrogates.replace_private(docs, surrogate_params(spark)).drop("n_entities")
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
