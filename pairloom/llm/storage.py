@@ -14,14 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir`` or set on the context. Without one, a temporary folder in
+    local mode only, where one machine runs all (tests); on a cluster that is an error."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None)
     if base is None:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = context._jsc.sc().getCheckpointDir()
         if found.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pairloom-"))
-            found = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="pairloom-"))
+            found = context._jsc.sc().getCheckpointDir()
         base = found.get()
     return base.rstrip("/")
 
@@ -44,6 +47,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        self.kept: list[tuple[DataFrame, str]] = []
 
     def write(self, df: DataFrame, name: str) -> str:
         self.count += 1
@@ -52,7 +56,16 @@ class Scratch:
         return path
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        return self.spark.read.schema(df.schema).parquet(self.write(df, name))
+        path = self.write(df, name)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((out, path))
+        return out
+
+    def forget(self, *frames: DataFrame) -> None:
+        """Remove tables that ``keep`` has returned and that nothing reads from here on."""
+        gone = [path for out, path in self.kept if any(out is x for x in frames)]
+        self.kept = [x for x in self.kept if x[1] not in gone]
+        self.drop(*gone)
 
     def settle(self) -> None:
         """Let go of shuffle files that no later step reads: their plans are garbage by now."""
