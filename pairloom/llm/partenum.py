@@ -1,10 +1,12 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Documents are sets of word shingles. Sets of a size band that are similar enough differ in at most
-k elements; when the shingle domain is dealt into more than k parts, they agree on some part. A
-signature is a part's number with a hash of the set's elements in it, so similar sets share
-signatures. (First-level partitions with no second-level differences allowed; the spare parts serve
-to tell signatures that are frequent from those that a match needs.)
+Documents are sets of word shingles. Linked sets of a size band differ in at most k elements. The
+shingle domain is dealt into first-level parts, and each part into ``SUBPARTS`` second-level ones. With
+more than k/2 parts, linked sets differ in at most one element of some part, so they agree on all but
+one of its second-level parts. For each part every subset of all second-level parts but one is
+enumerated; a signature is a hash of the set's elements in such a subset, and linked sets share one.
+Elements that all fall into a few parts leave too few subsets with elements; such small sets have
+their smallest shingles as signatures too, of which linked sets share one in any case.
 """
 
 from __future__ import annotations
@@ -23,29 +25,38 @@ from .storage import Scratch
 
 U64 = np.uint64
 PART_SEED, BAND_SEED, FALLBACK = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0x3C79AC492BA7B653)
+SUBPARTS = 3
 
 
 @dataclass(frozen=True)
 class JoinParams:
     """shingle: words in a shingle. percent: two sets link when 100 * intersection >= percent * union.
-    growth: ratio of a size band's borders. spare: parts as a multiple of k+1. pairwise: signatures
-    shared by up to this many documents give all their pairs; others give pairs with their smallest id,
-    and what that can miss is found by the exact search of ``unresolved`` documents.
-    block: signatures that a task gathers before it writes them. query_shingles: shingles of
-    unresolved documents that are searched for at once."""
+    growth: ratio of a size band's borders. spare: first-level parts as a multiple of those needed.
+    block: signatures that a task gathers before it sends them. together: first-level parts of a band whose
+    signatures are matched together, so that a set has few rows. bucket: signatures that are matched at
+    once, about; where a band has more, they are dealt out by their hashes."""
 
     shingle: int = 5
     percent: int = 75
     growth: float = 1.35
-    spare: float = 1.25
-    pairwise: int = 16
-    block: int = 1_500_000
-    query_shingles: int = 1_000_000
+    spare: float = 1.1
+    block: int = 400_000
+    together: int = 16
+    bucket: int = 2_000_000
 
 
 # ---------------------------------------------------------------- shingle sets
 
 
+def by_group(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Order by (group, value) for groups below 2**32: a fast sort by value, then radix passes by group."""
+    order = np.argsort(value)
+    order = order[np.argsort((group[order] & 0xFFFF).astype(np.uint16), kind="stable")]
+    if len(group) and group.max() > 0xFFFF:
+        order = order[np.argsort((group[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
 def shingle_sets(piece: tk.Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted within it, and their borders (n+1 entries)."""
     data = tk.LOWER[piece.data]
@@ -59,7 +70,7 @@ def shingle_sets(piece: tk.Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         one = tk.run_hashes(hashes, found.first[short], found.first[short + 1])
         grams, doc = np.concatenate([grams, one]), np.concatenate([doc, short])
-    order = np.lexsort((grams, doc))
+    order = by_group(doc, grams)
     grams, doc = grams[order], doc[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
@@ -76,9 +87,15 @@ def most_different(total: np.ndarray, percent: int) -> np.ndarray:
     return total - 2 * need
 
 
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    """Of linked sets, the first so many elements in any common order have one in common."""
+    return n - -(-percent * n // 100) + 1
+
+
 class Bands:
     """Size bands and their parts. A set belongs to its own band and to each higher one that holds
-    sizes it can link to."""
+    sizes it can link to. Identical sets are known beforehand: bands of sets that link only to identical
+    ones have no signatures."""
 
     def __init__(self, largest: int, p: JoinParams):
         low = [1]
@@ -86,18 +103,9 @@ class Bands:
             low.append(max(low[-1] + 1, int(low[-1] * p.growth)))
         self.p = p
         self.low = np.array(low, np.int64)
-        high = np.append(self.low[1:] - 1, self.low[-1])
-        k = np.max([most_different(np.maximum(2 * high - d, 2), p.percent) for d in range(8)], axis=0)
-        self.parts = np.where(k == 0, 1, np.ceil(p.spare * (k + 1)).astype(np.int64) + 1)
-        self.high = high
-
-    def entries(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(set, band) for all sets of size n > 0."""
-        own = np.searchsorted(self.low, n, side="right") - 1
-        last = np.searchsorted(self.low, n * 100 // self.p.percent, side="right") - 1
-        count = np.where(n > 0, last - own + 1, 0)
-        doc = np.repeat(np.arange(len(n)), count)
-        return doc, own[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        self.high = np.append(self.low[1:] - 1, self.low[-1])
+        k = np.max([most_different(np.maximum(2 * self.high - d, 2), p.percent) for d in range(8)], axis=0)
+        self.parts = np.ceil(p.spare * (k // 2 + 1)).astype(np.int64) + (k > 2)
 
     def needed(self, n: np.ndarray, band: np.ndarray) -> np.ndarray:
         """Largest difference between a set of size n and a linked one in the band, n the smaller, or
@@ -105,68 +113,75 @@ class Bands:
         partner = np.minimum(self.high[band], n * 100 // self.p.percent)
         return np.max([most_different(np.maximum(n + partner - d, 2), self.p.percent) for d in range(8)], axis=0)
 
+    def entries(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(set, band, largest difference) of all sets of size n > 0 that can link to another set there."""
+        own = np.searchsorted(self.low, n, side="right") - 1
+        last = np.searchsorted(self.low, n * 100 // self.p.percent, side="right") - 1
+        count = np.where(n > 0, last - own + 1, 0)
+        doc = np.repeat(np.arange(len(n)), count)
+        band = own[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        k = self.needed(n[doc], band)
+        return doc[k > 0], band[k > 0], k[k > 0]
+
 
 def signatures(grams: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarray, ...]:
-    """Signatures of sets: for each (set, band) entry its set, band, spare agreement ``t`` and first
-    signature (n+1 entries), and all signatures. Linked sets share at least t non-empty parts; an
-    entry with t < 1 has the band's fallback signature too, which all such entries share."""
+    """Signatures of sets: for each (set, band) entry its set, band, least number ``t`` of signatures
+    that it shares with a linked set, and first signature (n+1 entries); and all signatures, with the
+    first-level part of each (-1: none).
+
+    A part with elements in two or three second-level parts has three subsets with elements. Linked sets
+    share all three where they agree, one where they differ by one element; with S such parts and at
+    most k differences that is 3S-2k, or 2S-k if k is no less than S. Entries for which this is below one have
+    their smallest shingles as signatures too."""
     n = np.diff(first)
-    doc, band = bands.entries(n)
+    doc, band, k = bands.entries(n)
     size = n[doc]
     at = np.repeat(first[doc] - np.cumsum(size) + size, size) + np.arange(size.sum())
     entry = np.repeat(np.arange(len(doc)), size)
-    g = grams[at]
-    part = (tk.mix(g ^ PART_SEED) % bands.parts[band][entry].astype(U64)).astype(np.int64)
-    key = (entry.astype(U64) << U64(32)) | part.astype(U64)
+    h = tk.mix(grams[at] ^ PART_SEED)
+    cells = (SUBPARTS * bands.parts[band]).astype(U64)
+    cell = ((h >> U64(32)) * cells[entry]) >> U64(32)  # part * SUBPARTS + second-level part
+    key = (entry.astype(U64) << U64(32)) | cell
     order = np.argsort(key)
     key = key[order]
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    total = np.add.reduceat(tk.mix(g[order] + BAND_SEED), head) if len(head) else np.empty(0, U64)
-    owner = (key[head] >> U64(32)).astype(np.int64)
-    sig = tk.mix(total + (key[head] & U64(0xFFFFFFFF)) * PART_SEED + band[owner].astype(U64) * BAND_SEED)
-    begin = np.searchsorted(owner, np.arange(len(doc) + 1))
-    t = np.diff(begin) - bands.needed(n[doc], band)
+    total = np.add.reduceat(tk.mix(h[order] + BAND_SEED), head) if len(head) else np.empty(0, U64)
+    key = key[head]
+    owner, cell = (key >> U64(32)).astype(np.int64), (key & U64(0xFFFFFFFF)).astype(np.int64)
+    part = owner * (1 << 32) + cell // SUBPARTS
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
+    row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(part))))
+    sums = np.zeros((len(begin), SUBPARTS), U64)  # of each second-level part's elements; 0 without any
+    sums[row, cell % SUBPARTS] = total
+    filled = sums != 0
+    seed = tk.mix((cell[begin] // SUBPARTS).astype(U64) * PART_SEED + band[owner[begin]].astype(U64) * BAND_SEED)
+    sig = np.stack([tk.mix(sums.sum(axis=1) - sums[:, x] + seed + U64(x)) for x in range(SUBPARTS)], axis=1)
+    has = filled.sum(axis=1)[:, None] > filled  # the subset without second-level part x holds elements
+    count = has.sum(axis=1)
+    sig_owner, sig_part = np.repeat(owner[begin], count), np.repeat(cell[begin] // SUBPARTS, count)
+    sig = sig[has]
+    sure = np.bincount(owner[begin], has.all(axis=1), len(doc)).astype(np.int64)
+    t = np.where(k < sure, 3 * sure - 2 * k, 2 * sure - k)
     low = np.flatnonzero(t < 1)
     if len(low):
-        sig = np.insert(sig, begin[1:][low], tk.mix(FALLBACK + band[low].astype(U64)))
-        begin = begin + np.concatenate([[0], np.cumsum(t < 1)])
-    return doc, band, t, begin, sig
+        m = prefix_length(n[doc[low]], bands.p.percent)
+        at = np.repeat(first[doc[low]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        owner = np.repeat(low, m)
+        sig = np.concatenate([sig, tk.mix(grams[at] ^ FALLBACK ^ tk.mix(band[owner].astype(U64)))])
+        sig_owner, sig_part = np.concatenate([sig_owner, owner]), np.concatenate([sig_part, np.full(len(owner), -1)])
+        order = np.argsort(sig_owner, kind="stable")
+        sig, sig_owner, sig_part = sig[order], sig_owner[order], sig_part[order]
+    return doc, band, t, np.searchsorted(sig_owner, np.arange(len(doc) + 1)), sig, sig_part
 
 
 # ---------------------------------------------------------------- candidate pairs
 
 
-def _star_and_pairs(sig: np.ndarray, id_: np.ndarray, hot: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
-    """Rows in the order of (signature, id). Returns that order, each row's group, whether its
-    group is hot (over ``limit`` rows, or any row so marked), the first row of its group, and the
-    pairs of places (within the order) of the groups that aren't hot."""
-    order = np.lexsort((id_, sig))
-    s = sig[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    head = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    size = np.diff(np.append(head, len(s)))
-    big = size > limit
-    if hot.any():
-        big |= np.bincount(group, hot[order], len(head)) > 0
-    big_row = big[group]
-    a, b = [], []
-    for step in range(1, limit):
-        x = np.arange(len(s) - step) if len(s) > step else np.empty(0, np.int64)
-        x = x[(group[x] == group[x + step]) & ~big_row[x]] if len(x) else x
-        if not len(x):
-            break
-        a.append(x)
-        b.append(x + step)
-    cat = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
-    return order, group, big_row, head[group], cat(a), cat(b)
-
-
-PAIR, LOCAL, STAR, ENTRY, BLOB = 0, 1, 2, 3, 4
-ROW = "kind int, a bigint, b bigint, band int, t int, n int, bucket int, ids binary, sizes binary, bands binary, ts binary, counts binary, high binary, low binary, marks binary"
-_ROW_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()] + [pa.binary()] * 8
+LOCAL, STAR, ENTRY, BLOB = 1, 2, 3, 4
+ROW = "kind int, a bigint, b bigint, band int, t int, n int, bucket bigint, ids binary, bands binary, ts binary, counts binary, sigs binary, marks binary"
+_ROW_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 6
 _ROW_NAMES = [x.split()[0] for x in ROW.split(", ")]
+FOUND = "kind int, a bigint, b bigint, band int, t int, n int"
 
 
 def _rows(kind: int, count: int, /, **columns) -> pa.RecordBatch:
@@ -181,102 +196,164 @@ def _rows(kind: int, count: int, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, _ROW_NAMES)
 
 
-def _sizes_fit(n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+def _found(kind: int, count: int, /, **columns) -> pa.Table:
+    return pa.Table.from_batches([_rows(kind, count, **columns).select(["kind", "a", "b", "band", "t", "n"])])
 
 
 def _unique_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keep = x != y
-    pair = np.unique(np.stack([np.minimum(x, y)[keep], np.maximum(x, y)[keep]], axis=1), axis=0)
-    return pair[:, 0], pair[:, 1]
+    a, b = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = a != b
+    keep[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[keep], b[keep]
+
+
+class _Groups:
+    """Rows in the order of their signatures, and the groups of rows with one signature: those of two rows or
+    more, and those with a row in ``hot``, which stands for rows elsewhere. ``member``: the rows of groups;
+    ``star``: for each the row of its group with the smallest id; ``leader``: these rows."""
+
+    def __init__(self, sig: np.ndarray, id_: np.ndarray, hot: np.ndarray | None = None):
+        self.order = np.argsort(sig)
+        s = sig[self.order]
+        head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+        size = np.diff(np.append(head, len(s)))
+        several = size > 1
+        if hot is not None and len(s):
+            several |= np.maximum.reduceat(hot[self.order], head)
+        self.member = self.order[np.repeat(several, size)]
+        size = size[several]
+        ids, begin = id_[self.member], np.cumsum(size) - size
+        least = np.minimum.reduceat(ids, begin) if len(begin) else ids
+        group = np.repeat(np.arange(len(size)), size)
+        at = np.flatnonzero(ids == least[group])
+        at = at[np.unique(group[at], return_index=True)[1]]
+        self.leader = self.member[at]
+        self.star = self.leader[group]
 
 
 class _Block:
-    """Signatures of the texts that a task has read since it last wrote."""
+    """Signatures of the sets that a task has read since it last wrote."""
 
-    def __init__(self, p: JoinParams, buckets: int):
-        self.p, self.buckets = p, buckets
+    def __init__(self, p: JoinParams, splits: dict[int, int]):
+        self.p, self.splits = p, splits
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
+        self.seen: set[int] = set()
 
     def add(self, ids: np.ndarray, grams: np.ndarray, first: np.ndarray) -> None:
+        # of identical sets one is signed; they are linked beforehand
+        content = tk.mix(tk.sums_by(tk.signed(grams), first).view(U64)) + tk.sums_by(tk.signed(tk.mix(grams)), first).view(U64)
+        new = np.zeros(len(ids), bool)
+        new[np.unique(content, return_index=True)[1]] = True
+        new &= np.fromiter((x not in self.seen for x in content.tolist()), bool, len(content))
+        self.seen.update(content.tolist())
+        if not new.all():
+            grams = grams[np.repeat(new, np.diff(first))]
+            ids, first = ids[new], np.concatenate([[0], np.cumsum(np.diff(first)[new])])
         n = np.diff(first)
         bands = Bands(int(n.max(initial=1)), self.p)
-        doc, band, t, begin, sig = signatures(grams, first, bands)
-        self.parts.append((ids[doc], n[doc], band, t, np.diff(begin), sig))
+        doc, band, t, begin, sig, part = signatures(grams, first, bands)
+        count = np.diff(begin)
+        split = np.array([self.splits.get(x, 1) for x in range(int(band.max(initial=0)) + 1)], np.uint64)
+        of = np.repeat(band, count)
+        bucket = tk.mix(of.astype(U64) * BAND_SEED + (part // self.p.together + 1).astype(U64) * PART_SEED + (sig >> U64(40)) % split[of])
+        self.parts.append((ids[doc], band.astype(np.int32), t.astype(np.int32), count, sig, bucket))
         self.size += len(sig)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        ids, n, band, t, count, sig = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.size = [], 0
-        entry = np.repeat(np.arange(len(ids)), count)
-        order, group, big, head, _, _ = _star_and_pairs(sig, ids[entry], np.zeros(len(sig), bool), self.p.pairwise)
-        entry, sig = entry[order], sig[order]
-        # groups that are hot within the block: their first row stands for them from here on
-        fit = big & _sizes_fit(n, entry[head], entry, self.p.percent)
-        a, b = _unique_pairs(ids[entry[head[fit]]], ids[entry[fit]])
+        ids, band, t, count, sig, bucket = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size, self.seen = [], 0, set()
+        entry = np.repeat(np.arange(len(ids), dtype=np.int32), count)
+        # a group within the block: its row of the smallest id stands for it from here on
+        groups = _Groups(sig, ids[entry])
+        a, b = _unique_pairs(ids[entry[groups.star]], ids[entry[groups.member]])
+        spread = lambda k: np.arange(k) % 1000
         if len(a):
-            yield _rows(LOCAL, len(a), a=a, b=b)
-        hot_count = np.bincount(entry[big], minlength=len(ids))
+            yield _rows(LOCAL, len(a), a=a, b=b, bucket=spread(len(a)))
+        hot_count = np.bincount(entry[groups.member], minlength=len(ids))
         has = np.flatnonzero(hot_count)
         if len(has):
-            yield _rows(ENTRY, len(has), a=ids[has], band=band[has].astype(np.int32), t=t[has].astype(np.int32), n=hot_count[has].astype(np.int32))
-        first = head == np.arange(len(head))
-        keep = ~big | first
-        entry, sig, mark = entry[keep], sig[keep], big[keep]
-        bucket = (sig % U64(self.buckets)).astype(np.int64)
-        order = np.lexsort((entry, bucket))
-        entry, sig, mark, bucket = entry[order], sig[order], mark[order], bucket[order]
-        border = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        for i in range(self.buckets):
+            yield _rows(ENTRY, len(has), a=ids[has], band=band[has], t=t[has], n=hot_count[has].astype(np.int32), bucket=spread(len(has)))
+        mark = np.zeros(len(sig), bool)
+        mark[groups.leader] = True
+        keep = np.ones(len(sig), bool)
+        keep[groups.member] = False
+        keep |= mark
+        entry, sig, mark, bucket = entry[keep], sig[keep], mark[keep], bucket[keep]
+        names, place = np.unique(bucket, return_inverse=True)
+        order = np.argsort(place * len(ids) + entry)
+        entry, sig, mark, place = entry[order], sig[order], mark[order], place[order]
+        border = np.searchsorted(place, np.arange(len(names) + 1))
+        rows: dict[str, list] = {k: [] for k in ("bucket", "ids", "bands", "ts", "counts", "sigs", "marks")}
+        for i, name in enumerate(tk.signed(names).tolist()):
             x, y = border[i], border[i + 1]
-            if x == y:
-                continue
             own, number = np.unique(entry[x:y], return_counts=True)
-            top = sig[x:y] >> U64(24)  # 40 bits; the bucket comes from the lowest
             blobs = {
-                "ids": ids[own].astype(np.int64), "sizes": n[own].astype(np.int32), "bands": band[own].astype(np.int16), "ts": t[own].astype(np.int32),
-                "counts": number.astype(np.int32), "high": (top >> U64(8)).astype(np.uint32), "low": (top & U64(255)).astype(np.uint8),
-                "marks": np.flatnonzero(mark[x:y]).astype(np.int32),
+                "ids": ids[own], "bands": band[own].astype(np.int16), "ts": t[own], "counts": number.astype(np.int32),
+                "sigs": (sig[x:y] & U64(0xFFFFFFFF)).astype(np.uint32), "marks": np.flatnonzero(mark[x:y]).astype(np.int32),
             }
-            yield _rows(BLOB, 1, bucket=[i], **{k: [v.tobytes()] for k, v in blobs.items()})
-
-
-def _match_bucket(table: pa.Table, p: JoinParams) -> Iterator[pa.RecordBatch]:
-    """Candidates among all blocks' signatures of one bucket."""
-    get = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-    ids, n, band, t = (np.concatenate(get(k, d)) for k, d in (("ids", np.int64), ("sizes", np.int32), ("bands", np.int16), ("ts", np.int32)))
-    counts = np.concatenate(get("counts", np.int32))
-    high, low = get("high", np.uint32), get("low", np.uint8)
-    shift = np.cumsum([0, *map(len, high)])
-    sig = (np.concatenate(high).astype(U64) << U64(8)) | np.concatenate(low).astype(U64)
+            rows["bucket"].append(name)
+            for k, v in blobs.items():
+                rows[k].append(v.tobytes())
+            if len(rows["bucket"]) == 16:
+                yield _rows(BLOB, 16, **rows)
+                rows = {k: [] for k in rows}
+        if rows["bucket"]:
+            yield _rows(BLOB, len(rows["bucket"]), **rows)
+
+
+def _match_bucket(table: pa.Table) -> pa.Table:
+    """Candidates among all blocks' signatures of one bucket, and the candidates that blocks have found."""
+    is_blob = pa.compute.equal(table.column("kind"), BLOB)
+    out = [table.filter(pa.compute.invert(is_blob)).select(["kind", "a", "b", "band", "t", "n"])]
+    table = table.filter(is_blob)
+    if not table.num_rows:
+        return out[0]
+    get = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
+    ids, band, t, counts = (np.concatenate(get(k, d)) for k, d in (("ids", np.int64), ("bands", np.int16), ("ts", np.int32), ("counts", np.int32)))
+    sigs = get("sigs", np.uint32)
+    shift = np.cumsum([0, *map(len, sigs)])
+    sig = np.concatenate(sigs)
     hot = np.zeros(len(sig), bool)
     for at, marks in zip(shift, get("marks", np.int32), strict=False):
         hot[at + marks] = True
-    entry = np.repeat(np.arange(len(ids)), counts)
-    order, group, big, head, x, y = _star_and_pairs(sig, ids[entry], hot, p.pairwise)
-    entry, hot = entry[order], hot[order]
-    fit = _sizes_fit(n, entry[x], entry[y], p.percent)
-    a, b = _unique_pairs(ids[entry[x[fit]]], ids[entry[y[fit]]])
-    yield _rows(PAIR, len(a), a=a, b=b)
-    fit = big & _sizes_fit(n, entry[head], entry, p.percent)
-    a, b = _unique_pairs(ids[entry[head[fit]]], ids[entry[fit]])
-    yield _rows(STAR, len(a), a=a, b=b)
-    count = np.bincount(entry[big & ~hot], minlength=len(ids))  # marked rows were counted in their block
+    entry = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+    groups = _Groups(sig, ids[entry], hot)
+    a, b = _unique_pairs(ids[entry[groups.star]], ids[entry[groups.member]])
+    out.append(_found(STAR, len(a), a=a, b=b))
+    cold = groups.member[~hot[groups.member]]  # marked rows were counted in their block
+    count = np.bincount(entry[cold], minlength=len(ids))
     has = np.flatnonzero(count)
-    if len(has):
-        yield _rows(ENTRY, len(has), a=ids[has], band=band[has].astype(np.int32), t=t[has], n=count[has].astype(np.int32))
+    # an entry's rows of several blocks or buckets are added up later
+    out.append(_found(ENTRY, len(has), a=ids[has], band=band[has].astype(np.int32), t=t[has], n=count[has].astype(np.int32)))
+    return pa.concat_tables(out)
+
+
+def band_splits(sizes: list[tuple[int, int]], p: JoinParams) -> dict[int, int]:
+    """Into how many a band's buckets are dealt, from the number of sets by size (smallest size of a class of
+    sizes, sets)."""
+    if not sizes:
+        return {}
+    bands = Bands(max(n for n, _ in sizes) * 2, p)
+    out = {}
+    for i, (low, high) in enumerate(zip(bands.low.tolist(), bands.high.tolist(), strict=True)):
+        sets = sum(k for n, k in sizes if n * 1.25 >= low * p.percent / 100 and n <= high)
+        out[i] = sets * min(int(bands.parts[i]), p.together) * SUBPARTS // p.bucket + 1
+    return out
 
 
-def candidates(texts: DataFrame, p: JoinParams, scratch: Scratch) -> DataFrame:
-    """Rows of kind PAIR, LOCAL and STAR (candidate pairs a, b) and ENTRY (a's number of hot
-    signatures n in a band, with its t) for ``texts`` (id, text)."""
-    buckets = max(1, min(1 << 16, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def candidates(texts: DataFrame, sizes: list[tuple[int, int]], p: JoinParams, scratch: Scratch) -> DataFrame:
+    """Rows of kind LOCAL and STAR (candidate pairs a, b: members of a signature's group with its smallest
+    id, in a block and between blocks) and ENTRY (a's number n of signatures that others share in a band, with
+    its t) for ``texts`` (id, text), whose sets have about these ``sizes``."""
+    splits = band_splits(sizes, p)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(p, buckets)
+        block = _Block(p, splits)
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for piece in tk.slices(batch.column("text")):
@@ -285,17 +362,8 @@ def candidates(texts: DataFrame, p: JoinParams, scratch: Scratch) -> DataFrame:
                     yield from block.flush()
         yield from block.flush()
 
-    def match(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(_match_bucket(table, p))
-
-    path = scratch.write(texts.mapInArrow(sign, ROW), "signatures")
-    signed = scratch.spark.read.schema(ROW).parquet(path)
-    matched = signed.where(F.col("kind") == BLOB).groupBy("bucket").applyInArrow(match, ROW)
-    small = ["kind", "a", "b", "band", "t", "n"]
-    found = scratch.keep(signed.where(F.col("kind") != BLOB).select(*small).unionByName(matched.select(*small)), "candidates")
-    scratch.drop(path)
-    scratch.settle()
-    return found
+    found = texts.mapInArrow(sign, ROW).groupBy("bucket").applyInArrow(_match_bucket, FOUND)
+    return scratch.keep(found, "candidates")
 
 
 # ---------------------------------------------------------------- verification
@@ -326,14 +394,25 @@ def bitmaps(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [packed[x // 8 : y // 8] if k else None for x, y, k in zip(begin[:-1].tolist(), begin[1:].tolist(), n.tolist(), strict=True)]
 
 
-def _may_link(na: int, nb: int, a: bytes, b: bytes, percent: int) -> bool:
-    """False only if the sets can't link: a bit that one has alone is an element that it has alone."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    size = min(len(x), len(y))  # powers of two: the longer one folds
-    x, y = (np.bitwise_or.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
-    only_a, only_b = (int(np.bitwise_count(z).sum()) for z in (x & ~y, y & ~x))
-    both = min(na - only_a, nb - only_b)
-    return 100 * both >= percent * (na + nb - both)
+def _bits(column: pa.Array, rows: np.ndarray, size: int, to: int) -> np.ndarray:
+    """The bitmaps of ``rows``, all of ``size`` bytes, folded to ``to`` bytes (both are powers of two)."""
+    data, offsets = tk.utf8_buffers(column)
+    return np.bitwise_or.reduce(data[offsets[rows][:, None] + np.arange(size)].reshape(len(rows), -1, to), axis=1)
+
+
+def may_link(na: np.ndarray, nb: np.ndarray, xa: pa.Array, xb: pa.Array, percent: int) -> np.ndarray:
+    """False only where sets can't link: a bit that one has alone is an element that it has alone."""
+    la, lb = (np.diff(tk.utf8_buffers(x)[1]) for x in (xa, xb))
+    out = np.zeros(len(na), bool)
+    for size_a, size_b in np.unique(np.stack([la, lb], axis=1), axis=0).tolist():
+        size = min(size_a, size_b)
+        every = np.flatnonzero((la == size_a) & (lb == size_b))
+        for rows in np.array_split(every, len(every) * (size_a + size_b) // (4 << 20) + 1):
+            x, y = _bits(xa, rows, size_a, size), _bits(xb, rows, size_b, size)
+            only_a, only_b = (np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (x & ~y, y & ~x))
+            both = np.minimum(na[rows] - only_a, nb[rows] - only_b)
+            out[rows] = 100 * both >= percent * (na[rows] + nb[rows] - both)
+    return out
 
 
 def possible(pairs: DataFrame, maps: DataFrame, p: JoinParams) -> DataFrame:
@@ -343,15 +422,14 @@ def possible(pairs: DataFrame, maps: DataFrame, p: JoinParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True)
-            keep = pa.array([_may_link(*row, p.percent) for row in rows], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            keep = may_link(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), batch.column("xa"), batch.column("xb"), p.percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``: whether their sets link exactly."""
+    """``pairs`` (a, b) whose sets link exactly."""
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
 
@@ -362,86 +440,81 @@ def verify(pairs: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
             na, nb = (np.asarray(pa.compute.list_value_length(x)) for x in (ga, gb))
             row = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
             value = np.concatenate([va, vb])
-            order = np.lexsort((value, row))
-            same = (value[order][1:] == value[order][:-1]) & (row[order][1:] == row[order][:-1])
-            both = np.bincount(row[order][1:][same], minlength=len(na))
+            order = by_group(row, value)
+            value, row = value[order], row[order]
+            same = (value[1:] == value[:-1]) & (row[1:] == row[:-1])
+            both = np.bincount(row[1:][same], minlength=len(na))
             linked = 100 * both >= p.percent * (na + nb - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], ["a", "b", "linked"])
+            yield batch.select(["a", "b"]).filter(pa.array(linked))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from run(batch.slice(at, 500) for at in range(0, batch.num_rows, 500))
 
-    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "ga", "gb").mapInArrow(sliced, "a bigint, b bigint, linked boolean")
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "ga", "gb").mapInArrow(sliced, "a bigint, b bigint").distinct()
 
 
-def search(queries: list[tuple[int, int, np.ndarray]], sets: DataFrame, p: JoinParams) -> DataFrame:
-    """Links (a, b) of the given (id, component, shingles) against all ``sets`` (id, component, grams): each
-    one's shingles are looked up in the queries' shingles, and shared ones counted. Of a set's links to
-    one component one is given, and none to its own, so copies don't give all their pairs."""
-    ids = np.array([q for q, _, _ in queries], np.int64)
-    group = np.array([c for _, c, _ in queries], np.int64)
-    size = np.array([len(g) for _, _, g in queries], np.int64)
-    value = np.concatenate([g for _, _, g in queries])
-    owner = np.repeat(np.arange(len(ids)), size)
-    order = np.argsort(value)
-    shared = sets.sparkSession.sparkContext.broadcast((ids, group, size, value[order], owner[order]))  # bounded by query_shingles
+def unresolved(stars: DataFrame, full: DataFrame, failed: DataFrame) -> DataFrame:
+    """Ids whose links the stars may miss. ``failed``: pairs (a < b) of ``stars`` whose ends are in different
+    components; ``full``: ids with as many shared signatures as a link needs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, group, size, value, owner = shared.value
-        for batch in batches:
-            mine, own, lists = batch.column("id").to_numpy(), batch.column("component").to_numpy(), batch.column("grams")
-            first, g = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
-            lo, hi = np.searchsorted(value, g, "left"), np.searchsorted(value, g, "right")
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for i in range(len(mine)):
-                x, y = lo[first[i] : first[i + 1]], hi[first[i] : first[i + 1]]
-                hit = y > x
-                if 100 * hit.sum() < p.percent * len(x):
-                    continue  # too few shingles are in any query
-                count = y[hit] - x[hit]
-                at = np.repeat(x[hit] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                both = np.bincount(owner[at], minlength=len(ids))
-                found = np.flatnonzero((100 * both >= p.percent * (size + len(x) - both)) & (group != own[i]))
-                found = found[np.unique(group[found], return_index=True)[1]]
-                a.append(ids[found])
-                b.append(np.full(len(found), mine[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    return sets.mapInArrow(run, "a bigint, b bigint").where("a <> b")
-
-
-def unresolved(found: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ids whose links the candidates may miss, and the ids that such links can lead to.
-
-    Linked sets that share a signature which isn't hot are a PAIR. Sets that share only hot ones have
-    at least t of them (both), and are in one component already if each links to its group's first
-    document, directly or by its block's first. Left over are sets with t or more hot signatures and a
-    failed link on that way. Both ends of a missed link have t or more hot signatures."""
-    full = found.where(F.col("kind") == ENTRY).groupBy("a", "band").agg(F.sum("n").alias("n"), F.first("t").alias("t")).where("n >= t").select(F.col("a").alias("id")).distinct()
-    failed = checked.where("NOT linked").select(F.col("a").alias("low"), F.col("b").alias("high"))
-    star = found.where(F.col("kind").isin(STAR, LOCAL)).select("kind", "a", "b").distinct()
-    star = star.join(failed, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")))
-    direct = star.select(F.col("b").alias("id")).distinct()
-    heads = star.where(F.col("kind") == STAR).select(F.col("b").alias("a")).distinct()
-    under = found.where(F.col("kind") == LOCAL).join(heads, "a", "left_semi").select(F.col("b").alias("id"))
-    return direct.unionByName(under).distinct().join(full, "id", "left_semi"), full
+    Linked sets share at least t signatures (both), so both are in ``full``; and they are in one
+    component already if each links to its group's first set, directly or by its block's first. Left
+    over are sets with a failed link on that way."""
+    bad = stars.join(failed.select(F.col("a").alias("low"), F.col("b").alias("high")), (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_semi")
+    direct = bad.select(F.col("b").alias("id"))
+    heads = bad.where(F.col("kind") == STAR).select(F.col("b").alias("a")).distinct()
+    under = stars.where(F.col("kind") == LOCAL).join(heads, "a", "left_semi").select(F.col("b").alias("id"))
+    return direct.unionByName(under).distinct().join(full, "id", "left_semi")
+
+
+def search(rest: DataFrame, full: DataFrame, label: DataFrame, texts: DataFrame, p: JoinParams, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of the sets in ``rest`` to sets of other components in ``full``, which holds them.
+
+    Shingles are ordered by rarity. Linked sets have one in common among so many of the first of each that
+    the rest can't make the overlap that a link needs; at their first common one, what follows in both still
+    can. Sets are joined on such shingles, with that condition on the places, and the pairs verified."""
+    sets = sets_of(texts.join(full.hint("merge"), "id", "left_semi"), p).join(label, "id", "left")
+    sets = scratch.keep(sets.select("id", "grams", F.coalesce("component_id", "id").alias("component")), "full")
+    n, percent = F.size("grams"), F.lit(p.percent)
+    each = sets.select("id", "component", n.alias("n"), F.explode("grams").alias("gram"))
+    count = each.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    prefix = (
+        each.join(count, "gram").groupBy("id", "component", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("grams"))
+        .withColumn("grams", F.slice("grams", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1))
+        .select("id", "component", "n", F.posexplode(F.transform("grams", lambda x, i: F.struct(x["c"].alias("c"), x["gram"].alias("gram"), F.get("grams", i - 1)["gram"].alias("before")))).alias("place", "x"))
+        .where("x.c > 1")
+        .select("id", "component", "n", "place", "x.gram", "x.before")
+    )
+    prefix = scratch.keep(prefix, "prefix")
+    side = lambda x: (F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("before").alias(f"b{x}"))
+    left = prefix.join(rest, "id", "left_semi").select("gram", *side("x"))
+    right = prefix.select(F.col("gram").alias("same"), *side("y"))
+    follow = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    may = (100 + percent) * follow >= percent * (F.col("nx") + F.col("ny"))
+    may &= F.coalesce(F.col("bx") != F.col("by"), F.lit(True))  # else the one before is common, too
+    pairs = left.join(right, (F.col("gram") == F.col("same")) & (F.col("cx") != F.col("cy")) & may)
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return scratch.keep(verify(pairs, sets.select("id", "grams"), p), "searched")
 
 
 def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
-    ``docs``: doc_id, text; other columns are ignored. A text's set: distinct shingles of its words,
-    A-Z lower-cased; with fewer words the whole sequence as one shingle; null, empty and blank texts
-    have an empty set and link with nothing. component_id is the smallest doc_id reachable by links,
-    itself included; null for a null doc_id. Rows that repeat an id are one document that has the
-    links of each; every row gets a result row.
-
-    Identical sets are linked to their smallest id before anything else. Signatures are gathered in
-    numpy; a signature that many texts of a task share leaves it as one entry with star pairs, so a
-    group with a third of all documents is one entry for each block at a bucket. Candidates are
-    verified on whole sets; documents that stars can't settle are searched in blocks against all rows that
-    can have such links.
+    ``docs``: doc_id (of an integer type), text; other columns are ignored. A text's set: distinct
+    shingles of its words, A-Z lower-cased; with fewer words the whole sequence as one shingle; null,
+    empty and blank texts have an empty set and link with nothing. Long texts are taken whole, a slice
+    of memory each. component_id is the smallest doc_id reachable by links, itself included, so ties
+    don't arise; null for a null doc_id. Rows that repeat an id are one document that has the links of
+    each; every row gets a result row. An empty table gives no rows.
+
+    Identical sets are linked to their smallest id; of those in a block one is signed, and its pairs go over to
+    the smallest id. Signatures are gathered in numpy; one that several sets of a block share leaves it as
+    one entry with star pairs, so a group with a third of all documents is one entry for each block at a
+    bucket. Candidates are verified on whole sets; sets that stars can't settle are joined on their
+    rarest shingles with all that can have such links. No link between components is missed; links within a
+    component aren't counted.
     """
     p = params
     scratch = Scratch(docs.sparkSession, "jaccard")
@@ -460,40 +533,34 @@ def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     sizes = scratch.keep(docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, n bigint, one bigint, two bigint, bits binary"), "sizes")
     sets = sizes.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id"), "n", "one", "two")
-    classes = sets.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("n", "one", "two", "rep")
-    copies = scratch.keep(sets.join(classes, ["n", "one", "two"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "copies")
-    found = candidates(texts, p, scratch)
-    is_copy = copies.select(F.col("b").alias("id")).distinct()
-    pairs = found.where(F.col("kind") != ENTRY).select("a", "b").distinct()
-    # copies have their representative's links
-    pairs = scratch.keep(_to_representatives(pairs, copies), "pairs")
+    classes = scratch.keep(sets.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes")
+    several = classes.where("rep < last").drop("last")
+    copies = scratch.keep(sets.join(several, ["n", "one", "two"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "copies")
+    by_size = classes.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()  # some hundred rows at most
+    found = candidates(texts, [(r.n, r.k) for r in by_size], p, scratch)
+    scratch.settle()
+    stars = scratch.keep(_to_representatives(found.where(F.col("kind") != ENTRY).select("kind", "a", "b").distinct(), copies), "stars")
+    full = found.where(F.col("kind") == ENTRY).groupBy("a", "band").agg(F.sum("n").alias("n"), F.min("t").alias("t")).where("n >= t").select("a").distinct()
+    full = scratch.keep(_representative(full, copies, "a").select(F.col("a").alias("id")).distinct(), "full")
+    pairs = scratch.keep(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     maps = sizes.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id"), "n", "bits")
     likely = scratch.keep(possible(pairs, maps, p).distinct(), "likely")
     wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     grams = scratch.keep(sets_of(texts.join(wanted.hint("merge"), "id", "left_semi"), p), "sets")
     scratch.settle()
-    # first one pair for each document; then only pairs whose ends aren't in one component by then
+    # first one pair for each set; then only pairs whose ends aren't in one component by then
     nearest = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    one = scratch.keep(verify(nearest, grams, p).where("linked").select("a", "b").distinct(), "nearest")
+    one = scratch.keep(verify(nearest, grams, p), "nearest")
     label = components(copies.unionByName(one), scratch)
     apart = scratch.keep(_apart(likely, label), "apart")
     scratch.settle()
-    two = scratch.keep(verify(apart, grams, p).where("linked").select("a", "b").distinct(), "links")
-    links = [copies, one, two]
-    label = scratch.keep(components(copies.unionByName(one).unionByName(two), scratch), "labels")
+    links = copies.unionByName(one).unionByName(scratch.keep(verify(apart, grams, p), "links"))
+    label = scratch.keep(components(links, scratch), "labels")
     # a pair is settled when its ends are in one component
-    checked = _apart(pairs, label).withColumn("linked", F.lit(False))
-    stars = found.where(F.col("kind") != ENTRY).select("kind", "a", "b")
-    stars = _to_representatives(stars, copies).withColumn("band", F.lit(None).cast("int"))
-    entries = found.where(F.col("kind") == ENTRY).join(is_copy.withColumnRenamed("id", "a"), "a", "left_anti")
-    every = stars.select("kind", "a", "b", "band", F.lit(None).cast("int").alias("t"), F.lit(None).cast("int").alias("n")).unionByName(entries.select("kind", "a", "b", "band", "t", "n"))
-    rest, full = (scratch.keep(x, "unresolved") for x in unresolved(every, checked))
-    links += _search_all(rest, full, label, texts, p, scratch)
-    if len(links) > 3:
-        every_link = links[0]
-        for more in links[1:]:
-            every_link = every_link.unionByName(more)
-        label = components(every_link, scratch)
+    rest = scratch.keep(unresolved(stars, full, _apart(pairs, label)), "unresolved")
+    scratch.settle()
+    if not rest.isEmpty():
+        label = components(links.unionByName(search(rest, full, label, texts, p, scratch)), scratch)
     return (
         sizes.withColumn("id", F.col("doc_id").cast("bigint"))
         .join(label, "id", "left")
@@ -509,33 +576,11 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _to_representatives(pairs: DataFrame, copies: DataFrame) -> DataFrame:
-    """``pairs`` with each end that is a copy replaced by its representative; pairs of one drop out."""
-    other = [c for c in pairs.columns if c not in ("a", "b")]
+def _representative(rows: DataFrame, copies: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ids in ``column`` that are copies replaced by their representatives."""
     of = copies.groupBy("b").agg(F.min("a").alias("rep")).withColumnRenamed("b", "copy")
-    for end in ("a", "b"):
-        of_end = of.withColumnRenamed("copy", "copy_id")
-        pairs = pairs.join(of_end, pairs[end] == of_end["copy_id"], "left").withColumn(end, F.coalesce("rep", end)).drop("rep", "copy_id")
-    # a star's first document stays the first where possible: order is kept for kinds, not for plain pairs
-    if other:
-        return pairs.where("a <> b").distinct()
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _search_all(rest: DataFrame, full: DataFrame, label: DataFrame, texts: DataFrame, p: JoinParams, scratch: Scratch) -> list[DataFrame]:
-    """Links of the documents in ``rest`` to those in ``full``, which holds them, searched in blocks of about
-    ``query_shingles`` shingles. The driver holds one block at a time."""
-    if rest.isEmpty():
-        return []
-    sets = sets_of(texts.join(full.hint("merge"), "id", "left_semi"), p).join(label, "id", "left")
-    sets = scratch.keep(sets.select("id", "grams", F.coalesce("component_id", "id").alias("component")), "full")
-    sized = scratch.keep(sets.join(rest, "id", "left_semi").dropDuplicates(["id"]).withColumn("n", F.size("grams").cast("bigint")), "queries")
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    blocks = -(-total // max(1, p.query_shingles // 2))
-    out = []
-    for i in range(blocks):
-        mine = sized.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow()
-        queries = list(zip(mine.column("id").to_pylist(), mine.column("component").to_pylist(), (np.asarray(x.values) for x in mine.column("grams")), strict=True))
-        if queries:
-            out.append(scratch.keep(search(queries, sets, p), "searched"))
-    return out
+    return rows.join(of, rows[column] == of["copy"], "left").withColumn(column, F.coalesce("rep", column)).drop("rep", "copy")
+
+
+def _to_representatives(stars: DataFrame, copies: DataFrame) -> DataFrame:
+    return _representative(_representative(stars, copies, "a"), copies, "b").where("a <> b").distinct()

@@ -57,8 +57,8 @@ def joined(docs, params=partenum.JoinParams()):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.join_documents(docs, params).collect()}
 
 
-# pairwise=2 sends nearly every group down the star way, and block=1 makes a block of every slice
-@pytest.mark.parametrize("params", [partenum.JoinParams(), partenum.JoinParams(pairwise=2, query_shingles=300), partenum.JoinParams(pairwise=3, block=1)])
+# block=1 makes a block of every slice
+@pytest.mark.parametrize("params", [partenum.JoinParams(), partenum.JoinParams(spare=1.0), partenum.JoinParams(spare=2.0, block=1, bucket=50, together=2)])
 def test_components_against_brute_force(make_docs, params):
     texts = near_copies(1, 6, 9) + near_copies(2, 3, 6, words=9, change=1) + ["a b c d", "A B c D", "a b c d e", "", None, "x", "x", "a  b\tc d"]
     docs = make_docs(texts).repartition(5)
@@ -73,7 +73,7 @@ def test_components_on_sample(sample):
 def test_chains_link_through(make_docs):
     base = [f"t{i}" for i in range(60)]
     texts = [" ".join([*(f"n{j}" for j in range(2 * i)), *base[2 * i :]]) for i in range(10)]
-    got = joined(make_docs(texts), partenum.JoinParams(pairwise=2))
+    got = joined(make_docs(texts))
     assert got == brute_components(list(enumerate(texts))) and {c for _, c in got.values()} == {0}
 
 
@@ -85,11 +85,11 @@ def test_linked_sets_share_enough_signatures():
             drop = rng.integers(0, n // 7 + 1)
             b = np.concatenate([a[drop:], rng.choice(2**40, rng.integers(0, n // 7 + 1))])
             both = len(np.intersect1d(a, b))
-            if 100 * both < 75 * (len(a) + len(b) - both):
-                continue
+            if 100 * both < 75 * (len(a) + len(b) - both) or both == len(a) == len(b):
+                continue  # identical sets are linked beforehand
             grams = np.concatenate([np.sort(a), np.sort(b)]).astype(np.uint64)
             first = np.array([0, len(a), len(a) + len(b)])
-            doc, band, t, begin, sig = partenum.signatures(grams, first, partenum.Bands(500, partenum.JoinParams()))
+            doc, band, t, begin, sig, _ = partenum.signatures(grams, first, partenum.Bands(500, partenum.JoinParams()))
             best = max(
                 len(set(sig[begin[i] : begin[i + 1]].tolist()) & set(sig[begin[j] : begin[j + 1]].tolist())) - max(1, t[i], t[j])
                 for i in range(len(doc)) for j in range(len(doc)) if doc[i] == 0 and doc[j] == 1 and band[i] == band[j]
@@ -134,7 +134,7 @@ def cut(docs, params):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
 
 
-@pytest.mark.parametrize("params", [suffix_index.SuffixParams(length=20, lead=6, batches=3), suffix_index.SuffixParams(length=24, lead=24, batches=1, wide=1), suffix_index.SuffixParams(length=20, lead=5, batches=5, wide=2)])
+@pytest.mark.parametrize("params", [suffix_index.SuffixParams(length=20, lead=6, batches=3), suffix_index.SuffixParams(length=24, lead=24, batches=1, share=1), suffix_index.SuffixParams(length=20, lead=5, batches=5, share=2, block=1, bucket=100)])
 def test_bytes_against_brute_force(make_docs, params):
     rng = np.random.default_rng(3)
     word = lambda n: "".join(rng.choice(list("abé日 "), n))
@@ -146,14 +146,31 @@ def test_bytes_against_brute_force(make_docs, params):
 
 
 def test_levels_merge_geometrically(spark):
-    family = suffix_index.SuffixFamily(Scratch(spark, "t"))
+    family = suffix_index.SuffixFamily(Scratch(spark, "t"), suffix_index.SuffixParams(lead=4))
     shapes, hits = [], []
     for i in range(5):
-        found = family.insert(spark.createDataFrame([(i,), (100,), (200 + i // 2,)], "key bigint"))
-        hits.append(sorted(r.key for r in found.collect()))
+        rows = [(b"%04d" % n, i) for n in (i, 100, 200 + i // 2)]
+        found = family.insert(spark.createDataFrame(rows, "lead binary, span bigint"))
+        hits.append(sorted(int(r.lead) for r in found.collect()))
         shapes.append(sorted(family.levels))
     assert shapes == [[0], [1], [0, 1], [2], [0, 2]]
     assert hits == [[], [100, 200], [100], [100, 201], [100]]
+    top = spark.read.parquet(family.levels[2])
+    for part in top.rdd.glom().collect():  # byte order within each slice
+        assert [bytes(r.lead) for r in part] == sorted(bytes(r.lead) for r in part)
+    assert top.count() == 12 and top.agg({"n": "sum"}).first()[0] == 12
+    wide = {r.span: r.width for r in family.contexts(spark.createDataFrame([(b"0100",)], "lead binary")).collect()}
+    assert wide == dict.fromkeys(range(5), 5)
+
+
+def test_merge_of_many_rows(spark):
+    """Equal suffixes that fall into different Arrow batches are counted together."""
+    family = suffix_index.SuffixFamily(Scratch(spark, "t"), suffix_index.SuffixParams(lead=4))
+    rows = spark.range(60_000).selectExpr("cast(lpad(cast(id % 7000 as string), 4, '0') as binary) AS lead", "id % 3 AS span")
+    for _ in range(2):
+        family.insert(rows)
+    got = spark.read.parquet(family.levels[1])
+    assert got.count() == rows.distinct().count() and got.agg({"n": "sum"}).first()[0] == 120_000
 
 
 def test_bytes_odd_rows(odd_docs, no_docs):
@@ -177,7 +194,7 @@ def split_sentences(text):
         words.append("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m.group()))
         closing = re.search(r"[!-/:-@\[-`{-~]*$", m.group()).group()
         after = text[m.end() : found[n + 1].start()] if n + 1 < len(found) else "\n"
-        if any(c in ".!?" for c in closing[-8:]) or "\n" in after:
+        if any(c in ".!?" for c in closing) or "\n" in after:
             out.append((begin, tuple(words)))
             words, begin = [], None
     return out
@@ -188,16 +205,16 @@ def brute_spans(texts, p):
     runs = []
     for i in sorted(docs):
         s = docs[i]
-        for k in range(len(s) - p.sentences + 1):
-            run = tuple(w for _, ws in s[k : k + p.sentences] for w in ws)
-            if len(run) >= p.min_words:
-                runs.append((run, i, k))
+        for k in range(len(s)):
+            ends = [m for m in range(k + p.sentences, len(s) + 1) if sum(len(ws) for _, ws in s[k:m]) >= p.min_words][:1]
+            ends += [k + 1] if len(s[k][1]) >= p.alone else []
+            runs += [(tuple(w for _, ws in s[k:m] for w in ws), i, (k, m)) for m in ends]
     for run, i, k in runs:
         first.setdefault(run, (i, k))
     gone = {}
     for run, i, k in runs:
         if first[run] != (i, k):
-            gone.setdefault(i, set()).update(range(k, k + p.sentences))
+            gone.setdefault(i, set()).update(range(*k))
     out = {}
     for i, t in texts:
         if i in gone:
@@ -207,7 +224,7 @@ def brute_spans(texts, p):
     return out
 
 
-@pytest.mark.parametrize("p", [sentence_spans.SpanParams(), sentence_spans.SpanParams(3, 6)])
+@pytest.mark.parametrize("p", [sentence_spans.SpanParams(), sentence_spans.SpanParams(3, 6, 9)])
 def test_spans_against_brute_force(make_docs, sample, p):
     rng = np.random.default_rng(4)
     stock = [" ".join(f"s{i}w{j}" for j in range(8)) + e for i, e in enumerate([".", "!", "?###", ".", "\n", "..."])]
@@ -217,6 +234,10 @@ def test_spans_against_brute_force(make_docs, sample, p):
         at, n = rng.integers(0, 4), rng.integers(0, 6)
         texts[i] = " ".join([*parts[:at], *stock[n : n + 4], *parts[at:]])
     texts[30] = " ".join(stock[:3] * 3)
+    lines = "\n".join(f"line {i} of a list" for i in range(12))  # short lines make runs together
+    long = " ".join(f"long{i}" for i in range(45)) + "!" + ")" * 30
+    texts |= {50: f"{lines}\nown end", 51: f"own begin\n{lines}", 52: f"{long} one. two.", 53: f"Well. {long} three.", 54: "?" * 4000 + " a b. c d.", 55: "few words. in all."}
+    texts |= {56: texts[55]}
     texts |= {31: None, 32: "", 33: "x", 34: texts[0]}
     texts |= {1000 + r.doc_id: r.text for r in sample.limit(80).collect()}
     got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in sentence_spans.dedup_sentences(make_docs(texts).repartition(3), p).collect()}
