@@ -37,6 +37,17 @@ class HashEncoder:
         pass
 
 
+class ByteEncoder:
+    """Stand-in whose vectors are plain to check: size, first and last byte, each doubled."""
+
+    def encode(self, batch: Sequence[bytes]) -> np.ndarray:
+        rows = [[len(x), x[0] if x else 0, x[-1] if x else 0] for x in batch]
+        return 2 * np.array(rows, np.float32).reshape(len(batch), 3)
+
+    def close(self) -> None:
+        pass
+
+
 class OpenClipEncoder:
     """Image encoder by model id, for environments that have its libraries."""
 

@@ -1,9 +1,9 @@
 """All-pairs cosine distance of embedded items (idx BIGINT, embedding ARRAY<FLOAT>).
 
 Two physical forms give the same ranks. ``expression`` is a nested-loop join over array expressions;
-its inner side is broadcast, so it refuses inputs over a checked size. ``blocked`` deals items to
-blocks, sends each block to every pair of blocks, and multiplies matrices there; nothing is broadcast,
-and a task holds two blocks whatever the number of items.
+its inner side is broadcast up to a checked size, beyond which the other form takes its place. ``blocked``
+deals items to blocks, sends each block to every pair of blocks, and multiplies matrices there; nothing
+is broadcast, and a task holds two blocks whatever the number of items.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from ..functions import dot, to_half, unit
 
 BROADCAST_ITEMS = 20_000
-BLOCK = 2048
+BLOCK = 2048  # of pairs that are all given: a task's output grows with its square
+TOPK_BLOCK = 8192  # of nearest neighbours, which are found in strips
+STRIP = 1024
 
 
 def normalise(items: DataFrame) -> DataFrame:
@@ -39,10 +41,13 @@ def as_stored(dist: Column, dtype: str) -> Column:
 
 def pairs_by_expression(items: DataFrame, directed: bool = False, dtype: str = "double", queries: DataFrame | None = None) -> DataFrame:
     """(i, j, dist) for i < j, or for all i <> j if ``directed``; ``queries`` (idx) restricts i of directed
-    pairs before the join. Raises ValueError over BROADCAST_ITEMS items."""
-    n = items.count()
-    if n > BROADCAST_ITEMS:
-        raise ValueError(f"{n} items are more than the {BROADCAST_ITEMS} that may be broadcast; use the blocked form")
+    pairs before the join. Over BROADCAST_ITEMS items the pairs come from the blocked form."""
+    if items.count() > BROADCAST_ITEMS:
+        from .packed import both_ways
+
+        pairs = pairs_blocked(items, dtype)
+        pairs = both_ways(pairs) if directed else pairs
+        return pairs if queries is None else pairs.join(queries.select(F.col("idx").cast("bigint").alias("i")).distinct(), "i", "left_semi").select("i", "j", "dist")
     units = normalise(items)
     left = units if queries is None else units.join(queries.select("idx").distinct(), "idx", "left_semi")
     left = left.select(F.col("idx").alias("i"), F.col("u").alias("ui")).repartition(items.sparkSession.sparkContext.defaultParallelism, "i")
@@ -102,9 +107,10 @@ def pairs_blocked(items: DataFrame, dtype: str = "double", block: int = BLOCK) -
     return out if dtype == "double" else out.withColumn("dist", F.col("dist").cast("float"))
 
 
-def topk_blocked(items: DataFrame, k: int, dtype: str = "double", candidates: DataFrame | None = None, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def topk_blocked(items: DataFrame, k: int, dtype: str = "double", candidates: DataFrame | None = None, queries: DataFrame | None = None, block: int = TOPK_BLOCK) -> DataFrame:
     """(i, rk, j, dist): each item's k nearest others by (dist, j). Each pair of blocks gives its k best for
-    both sides, so at most k rows for each item and block are shuffled to the merge.
+    both sides, so at most k rows for each item and block are shuffled to the merge. Distances are made in
+    strips of STRIP queries, so a task holds two blocks of vectors and one strip.
     ``candidates`` and ``queries`` (idx) restrict j and i before ranks are given."""
     from .neighbors import rank
 
@@ -118,7 +124,9 @@ def topk_blocked(items: DataFrame, k: int, dtype: str = "double", candidates: Da
     coded = marked.withColumn("embedding", F.concat("embedding", F.array(F.col("is_candidate").cast("float"), F.col("is_query").cast("float"))))
 
     def best(idx: np.ndarray, other: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, ...]:
-        if dist.shape[1] > k:  # everything up to the k-th smallest distance, ties included, then by (dist, j)
+        if not dist.size:
+            row = col = np.empty(0, np.int64)
+        elif dist.shape[1] > k:  # everything up to the k-th smallest distance, ties included, then by (dist, j)
             bound = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
             row, col = np.nonzero(dist <= bound)
         else:
@@ -142,10 +150,15 @@ def topk_blocked(items: DataFrame, k: int, dtype: str = "double", candidates: Da
         parts = []
         for from_, to in [(x, y)] if x == y else [(x, y), (y, x)]:
             a, b = (own == from_) & query, (own == to) & candidate
-            dist = _stored(1.0 - m[a] @ m[b].T, dtype)
-            dist[idx[a][:, None] == idx[b][None, :]] = np.inf
-            parts.append(best(idx[a], idx[b], dist))
-        i, j, d = (np.concatenate(z) for z in zip(*parts, strict=True))
+            own_m, own_idx, other_m, other_idx = m[a], idx[a], m[b].T, idx[b]
+            for at in range(0, len(own_idx), STRIP):
+                mine = own_idx[at : at + STRIP]
+                dist = _stored(1.0 - own_m[at : at + STRIP] @ other_m, dtype)
+                if from_ == to:
+                    dist[mine[:, None] == other_idx[None, :]] = np.inf
+                parts.append(best(mine, other_idx, dist))
+        none = np.empty(0, np.int64)
+        i, j, d = (np.concatenate(z) for z in zip(*parts, strict=True)) if parts else (none, none, np.empty(0))
         return pa.table({"i": i, "j": j, "dist": d})
 
     partial = _met(coded, block).groupBy("x", "y").applyInArrow(run, "i bigint, j bigint, dist double")

@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--top-k", type=int)
     p.add_argument("--anonymize-labels")
     p.add_argument("--overwrite", action="store_true")
+    p.add_argument("--no-npz", action="store_true", help="leave the distances as a Parquet table")
     p = commands.add_parser("anonymize-labels", help="series indices from labels and a run directory")
     p.add_argument("--output-dir", "-o", required=True)
     p.add_argument("--labels", "-l", required=True)
@@ -58,6 +59,7 @@ def config_from(args: argparse.Namespace) -> RunConfig:
         top_k=args.top_k,
         labels_path=Path(args.anonymize_labels) if args.anonymize_labels else None,
         overwrite=args.overwrite,
+        npz=not args.no_npz,
     )
 
 

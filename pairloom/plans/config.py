@@ -12,7 +12,8 @@ DTYPES = ("float32", "float16")
 
 @dataclass(frozen=True)
 class RunConfig:
-    """A pairwise run. ``top_k`` stores neighbours in place of the packed triangle."""
+    """A pairwise run. ``top_k`` stores neighbours in place of the packed triangle. ``npz``: write the exchange
+    file too, in parts through the driver; the Parquet table is always written."""
 
     input_dir: Path
     output_dir: Path
@@ -24,6 +25,7 @@ class RunConfig:
     top_k: int | None = None
     labels_path: Path | None = None
     overwrite: bool = False
+    npz: bool = True
 
     def __post_init__(self) -> None:
         if not Path(self.input_dir).is_dir():

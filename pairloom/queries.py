@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import index_dtype, l2_norm, plural_phrase, suffix, to_half, unit
 from .operators import encode as enc
 from .operators import labels, neighbors, packed, rankings, retrieval, similarity
+from .plans import evaluate as plan
 from .plans.pairwise import members_from_column
 from .sources import scan
 
@@ -129,7 +130,8 @@ def topk_width_check(spark, sf_dir):
 
 
 def neighbors_of(spark, sf_dir):
-    return neighbors.neighbors_of(_top(spark, sf_dir), 7).select("rk", "j", _r("dist", "dist"))
+    source = items(spark, sf_dir)
+    return neighbors.neighbors_of(similarity.topk_blocked(source, K, queries=source.where("idx = 7")), 7).select("rk", "j", _r("dist", "dist"))
 
 
 def distance_if_present(spark, sf_dir):
@@ -137,9 +139,9 @@ def distance_if_present(spark, sf_dir):
 
 
 def full_rankings_labeled(spark, sf_dir):
+    """Every item is labelled, so every one is ranked against all others."""
     source = items(spark, sf_dir)
-    queries = source.where("label = 3").select("idx")
-    return rankings.from_pairs(similarity.pairs_by_expression(source, directed=True, queries=queries))
+    return rankings.from_pairs(similarity.pairs_by_expression(source, directed=True, queries=source.where("label IS NOT NULL")))
 
 
 def rankings_labeled_only(spark, sf_dir):
@@ -153,7 +155,7 @@ def rankings_from_packed(spark, sf_dir):
     source = items(spark, sf_dir)
     n = source.count()
     stored = packed.pack(_upper(spark, sf_dir), n)
-    return rankings.from_pairs(packed.both_ways(packed.unpack(stored, n)), queries=source.where("label = 3"))
+    return rankings.from_pairs(packed.both_ways(packed.unpack(stored, n)), queries=source.where("label IS NOT NULL"))
 
 
 def rankings_from_topk(spark, sf_dir):
@@ -226,7 +228,7 @@ def macro_mean_map(spark, sf_dir):
 
 
 def map_report_wide(spark, sf_dir):
-    return retrieval.wide_report(_curve(spark, sf_dir), 10)
+    return retrieval.wide_report(_curve(spark, sf_dir), _largest(spark, sf_dir))
 
 
 def label_path_mapping(spark, sf_dir):
@@ -272,10 +274,66 @@ def plural_phrases(spark, sf_dir):
     return counts.select("bucket", plural_phrase(F.col("n"), "image").alias("phrase"))
 
 
-def encode_stub(spark, sf_dir):
+def _contents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    contents = docs.select(F.col("doc_id").alias("idx"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
-    return enc.encode(contents, enc.HashEncoder, 64)
+    return docs.select(F.col("doc_id").alias("idx"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+
+
+def encode_stub(spark, sf_dir):
+    vectors = enc.encode(_contents(spark, sf_dir), enc.ByteEncoder, 64)
+    return vectors.select("idx", *(F.get("embedding", i).cast("int").alias(name) for i, name in enumerate(("size", "first_byte", "last_byte"))))
+
+
+def encode_hash_width(spark, sf_dir):
+    """Vectors of equal contents are equal, of length 1 and 16 wide."""
+    vectors = enc.encode(_contents(spark, sf_dir), enc.HashEncoder, 32)
+    return vectors.select("idx", F.size("embedding").alias("width"), _r(l2_norm(F.col("embedding")), "norm", 4))
+
+
+def _raised(what: Callable[[], object]) -> str:
+    try:
+        what()
+    except (ValueError, KeyError, FileExistsError, FileNotFoundError, RuntimeError, IndexError) as e:
+        return type(e).__name__
+    return "none"
+
+
+def guards(spark, sf_dir):
+    """Each guard on the embeddings table with an input that it must refuse, and one that it must not."""
+    source = items(spark, sf_dir)
+    n = source.count()
+    m = members(spark, sf_dir)
+    top = _top(spark, sf_dir, 3)
+    one = lambda series, idx: spark.createDataFrame([(series, 0, 0, idx)], "series string, series_ord int, pos int, idx bigint")
+    triangle = packed.pack(similarity.pairs_blocked(source), n).withColumn("dist", F.col("dist").cast("float"))
+    paths = _paths(spark, sf_dir)
+    marked = paths.select(F.lit("s").alias("series"), F.lit(0).alias("series_ord"), F.lit(0).alias("pos"), "path")
+    checks = {
+        "top_k of zero": lambda: neighbors.check_k(0, n),
+        "top_k of all items": lambda: neighbors.check_k(n, n),
+        "top_k within bounds": lambda: neighbors.check_k(n - 1, n),
+        "member below bounds": lambda: labels.check_members(m.unionByName(one("series_0", -1)), n),
+        "member above bounds": lambda: labels.check_members(m.unionByName(one("series_0", n)), n),
+        "series of one member": lambda: labels.check_members(m.unionByName(one("alone", 1)), n),
+        "no series": lambda: labels.check_members(m.where("false"), n),
+        "members within bounds": lambda: labels.check_members(m, n),
+        "label without item": lambda: labels.require_all(marked, paths.where("idx > 0")),
+        "labels with items": lambda: labels.require_all(marked, paths),
+        "query below bounds": lambda: neighbors.neighbors_of(top, -1, n),
+        "query above bounds": lambda: neighbors.neighbors_of(top, n, n),
+        "stored neighbours of another width": lambda: neighbors.validate(top, 4),
+        "stored neighbours of uneven width": lambda: neighbors.validate(top.where("i > 0 OR rk < 3")),
+        "stored neighbours without distances": lambda: neighbors.validate(top.drop("dist")),
+        "stored neighbours": lambda: neighbors.validate(top, 3),
+        "triangle with a gap": lambda: packed.validate(triangle.where("pos <> 1")),
+        "triangle": lambda: packed.validate(triangle),
+        "too few stored neighbours": lambda: plan.check_coverage(3, 5),
+        "enough stored neighbours": lambda: plan.check_coverage(4, 5),
+        "no neighbour source": lambda: plan.evaluate(spark, "unused.csv", series_indices="unused.json"),
+        "two neighbour sources": lambda: plan.evaluate(spark, "unused.csv", "a", "b", series_indices="unused.json"),
+        "no label source": lambda: plan.evaluate(spark, "unused.csv", "a", labels_path="unused.json"),
+    }
+    return spark.createDataFrame([(name, _raised(f)) for name, f in checks.items()], "guard string, error string")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -287,6 +345,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         series_sizes, largest_series, labeled_union, series_dedup, series_positives, overlapping_series_map, precision_at_hits,
         average_precision_at_k, series_map_curve, series_map_from_topk, macro_mean_map, map_report_wide, label_path_mapping, missing_labels,
         anonymized_series_indices, extension_filter, path_component_order, batch_assignment, plural_phrases, encode_stub,
+        encode_hash_width, guards,
     )
 }
 
@@ -338,10 +397,10 @@ SELECT i, j, {_HALF} AS dist16 FROM g""",
     "topk_width_check": f"SELECT vec_id AS i, least({K}, {_N} - 1)::BIGINT AS n_neighbors FROM embeddings",
     "neighbors_of": _RANKED + f"SELECT rk, j, round(dist, 6) AS dist FROM r WHERE i = 7 AND rk <= {K}",
     "distance_if_present": _RANKED + f"SELECT i, j, CASE WHEN rk <= {K} THEN round(dist, 6) END AS dist FROM r WHERE abs(i - j) = 1",
-    "full_rankings_labeled": _RANKED + "SELECT i AS q, rk, j FROM r WHERE li = 3",
+    "full_rankings_labeled": _RANKED + "SELECT i AS q, rk, j FROM r",
     "rankings_labeled_only": _UNITS + f"""
 SELECT q, rk, j FROM (SELECT i AS q, row_number() OVER (PARTITION BY i ORDER BY dist, j)::INT AS rk, j FROM d WHERE li < 5 AND lj < 5) WHERE rk <= {K}""",
-    "rankings_from_packed": _RANKED + "SELECT i AS q, rk, j FROM r WHERE li = 3",
+    "rankings_from_packed": _RANKED + "SELECT i AS q, rk, j FROM r",
     "rankings_from_topk": _RANKED + "SELECT i AS q, row_number() OVER (PARTITION BY i ORDER BY rk)::INT AS rk, j FROM r WHERE rk <= 50 AND li < 5 AND lj < 5",
     "series_members": f"SELECT {_SERIES} AS series, vec_id AS idx FROM embeddings",
     "series_sizes": f"SELECT {_SERIES} AS series, count(*) AS size FROM embeddings GROUP BY 1",
@@ -365,7 +424,7 @@ SELECT q, rk, j FROM (SELECT i AS q, row_number() OVER (PARTITION BY i ORDER BY
 """ + _AP + "SELECT series, k, round(map, 6) AS map FROM curve",
     "macro_mean_map": _LABEL_CURVE + "SELECT k, round(avg(map), 6) AS map FROM curve GROUP BY k",
     "map_report_wide": _LABEL_CURVE + """, rows AS (SELECT series, k, map FROM curve UNION ALL SELECT 'mean', k, avg(map) FROM curve GROUP BY k)
-SELECT series, """ + ", ".join(f"max(CASE WHEN k = {k} THEN format('{{:.6f}}', map) END) AS \"map@{k}\"" for k in range(1, 11)) + " FROM rows GROUP BY series",
+PIVOT (SELECT series, 'map@' || k::VARCHAR AS name, format('{:.6f}', map) AS cell FROM rows) ON name USING first(cell) GROUP BY series""",
     "label_path_mapping": f"SELECT {_SERIES} AS series, vec_id::INT AS pos, vec_id + 1000000 AS idx FROM embeddings",
     "missing_labels": f"SELECT {_SERIES} AS series, '/img/' || label::VARCHAR || '/' || lpad(vec_id::VARCHAR, 6, '0') || '.png' AS path FROM embeddings WHERE vec_id % 5 = 0",
     "anonymized_series_indices": f"SELECT {_SERIES} AS series, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS indices FROM embeddings GROUP BY 1",
@@ -378,4 +437,17 @@ WITH p AS (SELECT '/r/x' || (vec_id % 50)::VARCHAR || '/' || vec_id::VARCHAR ||
 SELECT row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS idx, path FROM p""",
     "batch_assignment": "SELECT vec_id // 32 AS batch_no, count(*) AS n FROM embeddings GROUP BY 1",
     "plural_phrases": "SELECT vec_id % 400 AS bucket, count(*)::VARCHAR || CASE WHEN count(*) = 1 THEN ' image' ELSE ' images' END AS phrase FROM embeddings GROUP BY 1",
+    "encode_stub": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
+SELECT doc_id AS idx, (2 * (len(h) // 2))::INT AS size, 2 * CASE WHEN h = '' THEN 0 ELSE ('0x' || h[1:2])::INT END AS first_byte,
+       2 * CASE WHEN h = '' THEN 0 ELSE ('0x' || h[-2:])::INT END AS last_byte FROM h""",
+    "encode_hash_width": "SELECT doc_id AS idx, 16 AS width, 1.0::DOUBLE AS norm FROM documents",
+    "guards": """
+SELECT * FROM (VALUES ('top_k of zero', 'ValueError'), ('top_k of all items', 'ValueError'), ('top_k within bounds', 'none'),
+('member below bounds', 'ValueError'), ('member above bounds', 'ValueError'), ('series of one member', 'ValueError'), ('no series', 'ValueError'),
+('members within bounds', 'none'), ('label without item', 'ValueError'), ('labels with items', 'none'), ('query below bounds', 'ValueError'),
+('query above bounds', 'ValueError'), ('stored neighbours of another width', 'ValueError'), ('stored neighbours of uneven width', 'ValueError'),
+('stored neighbours without distances', 'KeyError'), ('stored neighbours', 'none'), ('triangle with a gap', 'ValueError'), ('triangle', 'none'),
+('too few stored neighbours', 'ValueError'), ('enough stored neighbours', 'none'), ('no neighbour source', 'ValueError'),
+('two neighbour sources', 'ValueError'), ('no label source', 'ValueError')) AS t(guard, error)""",
 }

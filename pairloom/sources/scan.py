@@ -28,6 +28,19 @@ def items_from_paths(spark: SparkSession, paths: Iterable[str | Path]) -> DataFr
     return spark.createDataFrame(rows, "idx bigint, path string")
 
 
+def items_from_store(spark: SparkSession, root: str, extensions: Iterable[str] = DEFAULT_EXTENSIONS) -> DataFrame:
+    """(idx, path) of the files under a folder in any store that Spark reads, in path order. Spark lists it,
+    in a job of its own for large trees; it skips empty files and hidden and underscored names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    return with_index(filter_extensions(files, extensions))
+
+
+def read_binary_from_store(spark: SparkSession, root: str, items: DataFrame) -> DataFrame:
+    """(idx, path, content) of items (idx, path) from ``items_from_store``, read by Spark's tasks."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    return files.join(items, "path").select("idx", "path", "content")
+
+
 def filter_extensions(files: DataFrame, extensions: Iterable[str]) -> DataFrame:
     return files.where(suffix(F.col("path")).isin(list(normalise_extensions(extensions))))
 

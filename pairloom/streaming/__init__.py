@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.neighbors import rank
-from ..operators.similarity import pairs_by_expression
+from ..operators.similarity import topk_blocked
 
 
 def neighbours_against(new: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(i, rk, j, dist): the k nearest index items of each new item; ids of both must differ."""
+    """(i, rk, j, dist): the k nearest index items of each new item; ids of both must differ. The index may
+    have any size: nothing is broadcast."""
     both = index.select("idx", "embedding").unionByName(new.select("idx", "embedding"))
-    directed = pairs_by_expression(both, directed=True, queries=new)
-    return rank(directed.join(index.select(directed_idx(index)), "j", "left_semi"), k)
-
-
-def directed_idx(index: DataFrame):
-    return index["idx"].cast("bigint").alias("j")
+    return topk_blocked(both, k, candidates=index, queries=new)
 
 
 def stream_neighbours(items: DataFrame, index: DataFrame, k: int, path: str, checkpoint: str) -> StreamingQuery:

@@ -1,4 +1,6 @@
 import json
+import sys
+import types
 
 import numpy as np
 import pytest
@@ -6,7 +8,7 @@ import pytest
 from pairloom import runlog
 from pairloom.functions import normalise_extensions, plural
 from pairloom.functions.text import split_extensions
-from pairloom.operators.encode import HashEncoder, batched, encode
+from pairloom.operators.encode import HashEncoder, OpenClipEncoder, batched, encode
 from pairloom.plans import RunConfig, cli, run
 from pairloom.plans.anonymise import anonymise
 from pairloom.plans.evaluate import evaluate
@@ -105,6 +107,10 @@ def test_run_and_evaluate_end_to_end(spark, folder, tmp_path, top_k, dtype):
     assert first.startswith(b"series,map@1,map@2,map@3\r\nz,") and b"\r\nmean," in first
     evaluate(spark, out / "map2.csv", labels_path=marked, image_paths=out / "image_paths.json", **source)
     assert (out / "map2.csv").read_bytes() == first
+    # the Parquet table beside the exchange file gives the same report
+    stored = out / "evaluation_results" / ("pairwise_topk" if top_k else "pairwise_distances")
+    evaluate(spark, out / "map3.csv", series_indices=out / "series_to_indices.json", **{("topk" if top_k else "distances"): stored})
+    assert (out / "map3.csv").read_bytes() == first
     with pytest.raises(FileExistsError):
         run(spark, config, lambda: HashEncoder(8))
 
@@ -208,6 +214,93 @@ def test_parquet_tables(spark, tmp_path):
     assert k == 1 and meta == {"dtype": "float32", "index_dtype": "uint16"}
 
 
+@pytest.mark.parametrize("top_k", [None, 2])
+def test_run_without_exchange_file(spark, folder, tmp_path, top_k):
+    out = tmp_path / "out"
+    where = run(spark, RunConfig(input_dir=folder, output_dir=out, top_k=top_k, npz=False), lambda: HashEncoder(4))
+    assert not list((out / "evaluation_results").glob("*.npz"))
+    assert spark.read.parquet(where).count() == (15 if top_k is None else 12)
+
+
+@pytest.mark.parametrize("dtype", ["float32", "float16"])
+def test_exchange_files_in_parts(spark, tmp_path, monkeypatch, dtype):
+    monkeypatch.setattr(tables, "PART_ROWS", 4)
+    flat = spark.range(10).selectExpr("id AS pos", "cast(id / 7 AS float) AS dist").repartition(3)
+    tables.save_packed_npz(flat, tmp_path / "p.npz", dtype)
+    with np.load(tmp_path / "p.npz") as data:
+        assert data["distances"].dtype == dtype and str(data["dtype"]) == dtype
+        assert np.array_equal(data["distances"], (np.arange(10) / 7).astype(np.float32).astype(dtype))
+    tables.save_packed_npz(flat, tmp_path / "q.npz", dtype, tag=False)
+    assert np.load(tmp_path / "q.npz").files == ["distances"]
+    top = spark.range(14).selectExpr("id div 2 AS i", "cast(id % 2 + 1 AS int) AS rk", "(id div 2 + id % 2 + 1) % 7 AS j", "cast(id AS float) AS dist").repartition(3)
+    tables.save_topk_npz(top, tmp_path / "t.npz", dtype)
+    table, n, k = tables.load_topk_npz(spark, tmp_path / "t.npz")
+    assert (n, k) == (7, 2) and sorted(map(tuple, table.collect())) == sorted(map(tuple, top.collect()))
+
+
+def test_items_from_a_store(spark, folder):
+    items = scan.items_from_store(spark, folder.as_uri())
+    names = [r.path.rpartition("/in/")[2] for r in items.orderBy("idx").collect()]
+    assert names == ["a.jpg", "d.png", "nested/b.JPG", "nested/c.png"]
+    contents = {r.idx: bytes(r.content) for r in scan.read_binary_from_store(spark, folder.as_uri(), items).collect()}
+    assert contents == {0: b"a.jpg", 1: b"d.png", 2: b"nested/b.JPG", 3: b"nested/c.png"}
+
+
+def test_image_encoder_decodes_with_its_libraries(monkeypatch):
+    """With stand-ins for the libraries: images are decoded, made RGB, preprocessed and stacked, without gradients,
+    and the model leaves memory at the end."""
+    seen = []
+
+    class Tensor(list):
+        def __getattr__(self, name):
+            return lambda *_: self
+
+        def numpy(self):
+            return np.array([list(x) for x in self], np.float32)
+
+    class Image:
+        def __init__(self, raw):
+            self.raw = raw
+
+        def convert(self, mode):
+            seen.append(mode)
+            return self
+
+    class Model:
+        def to(self, device):
+            seen.append(device)
+
+        def eval(self):
+            seen.append("eval")
+
+        def encode_image(self, batch):
+            return Tensor([x * 2 for x in row] for row in batch)
+
+    class NoGrad:
+        def __enter__(self):
+            seen.append("no_grad")
+
+        def __exit__(self, *_):
+            pass
+
+    def create(model_id):
+        seen.append(model_id)
+        return Model(), lambda image: [float(len(image.raw))]
+
+    torch = types.SimpleNamespace(no_grad=NoGrad, stack=Tensor, cuda=types.SimpleNamespace(is_available=lambda: False, empty_cache=lambda: seen.append("freed")))
+    pil = types.SimpleNamespace(Image=types.SimpleNamespace(open=lambda f: Image(f.read())))
+    for name, module in (("torch", torch), ("open_clip", types.SimpleNamespace(create_model_from_pretrained=create)), ("PIL", pil), ("PIL.Image", pil.Image)):
+        monkeypatch.setitem(sys.modules, name, module)
+    encoder = OpenClipEncoder("some-model")
+    assert encoder.encode([b"one", b"four!"]).tolist() == [[6.0], [10.0]]
+    assert seen == ["some-model", "cpu", "eval", "no_grad", "RGB", "RGB"]
+    encoder.close()
+    assert encoder.model is None and "freed" not in seen
+    on_gpu = OpenClipEncoder("some-model", "cuda")
+    on_gpu.close()
+    assert seen[-1] == "freed"
+
+
 def test_command_line_config(folder, tmp_path):
     args = cli.parser().parse_args(["run", "-i", str(folder), "-o", str(tmp_path / "o"), "--image-exts", "JPG, png", "--top-k", "2"])
     config = cli.config_from(args)
