@@ -9,98 +9,100 @@ from pyspark.sql import functions as F
 
 from .storage import Scratch
 
-NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
+# one character each, which no token holds
+NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
 
 # fixed values: number words; units that are units wherever they stand, and ones only after a number
 NUMBER_WORDS = (
     "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
-    "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million"
+    "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
+    "zwei drei vier fünf sechs sieben acht neun zehn zwölf zwanzig dreißig vierzig fünfzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante mille "
+    "dos tres cuatro cinco seis siete ocho nueve diez doce veinte treinta cuarenta cincuenta cien"
 ).split()
 UNITS = (
     "mm cm km inches yards mile miles mg kg grams kilogram kilograms lbs pounds ounce ounces ml liter liters litre "
     "litres seconds minutes hour hours days weeks months years dollar dollars cents euro euros percent degrees mph kph "
-    "meters metres kilometer kilometers"
+    "meters metres kilometer kilometers kilometre kilometres "
+    "sekunde sekunden minuten stunde stunden tage tagen wochen monate monaten jahre jahren gramm kilogramm prozent "
+    "seconde secondes heure heures jours semaines mois années mètre mètres kilomètre kilomètres gramme grammes "
+    "segundos minutos hora horas días semanas meses años metro metros kilómetro kilómetros gramos litros"
 ).split()
-UNITS_AFTER_NUMBER = "m in inch ft feet foot yd mi g gram lb pound oz l s sec second min minute h hr day week month year cent meter metre".split()
-# capitalised first words of a sentence that are no names
+UNITS_AFTER_NUMBER = (
+    "m in inch ft feet foot yd mi g gram lb pound oz l s sec second min minute h hr day week month year cent meter metre "
+    "tag woche monat jahr grad pfund jour semaine ans an livres segundo minuto día semana mes año gramo litro grados libras"
+).split()
+# capitalised words that are no names
 OPENERS = (
     "a an the this that these those there here it he she they we you i my your his her its our their one if when while after before "
     "because since as at by for from in of on to with and or but so then thus how what which who whom whose why where is are was were "
-    "do does did can could will would should has have had let suppose given find each every all some no not"
+    "do does did can could will would should has have had let suppose given find each every all some no not "
+    "der die das den dem ein eine er sie es wir ich und oder wenn wie was wer wo warum ist sind hat haben "
+    "le la les un une des il elle ils elles nous vous je et ou si quel quelle comment pourquoi est sont "
+    "el los las una unos unas él ella ellos nosotros yo y o qué cuál cómo cuánto cuántos por es son"
 ).split()
 
-# an optional sentence start (marks up to the word) and a number or a word
-TOKEN = r"(?:(?:^|[.!?:\n])[^a-zA-Z\p{L}\d]*+)?+(?:[a-zA-Z\p{L}\p{M}]++|\d++(?:[.,]\d++)*+)"
-LEADING = r"^[^\p{L}\d]+"
+TOKEN = r"[\p{L}\p{M}]++|\d++(?:[.,]\d++)*+"
+# the same tokens, each with the marks before it if a sentence ends there
+MARKED = r"(?:[.!?:\n][^\p{L}\p{M}\d]*+)?+(?:[\p{L}\p{M}]++|\d++(?:[.,]\d++)*+)"
 
 
 @dataclass(frozen=True)
 class TemplateParams:
     """window: tokens of a template window (an item with fewer tokens is one window of its length).
-    min_tokens: shorter items can't be told from chance and are left out. min_literal: windows with
-    fewer plain words are left out; an item without other windows is matched by its lower-cased tokens,
-    verbatim. min_cover: share of an item's windows that a document must hold
-    on one alignment or on ones up to ``drift`` tokens apart. broadcast_rows: benchmark windows up to this number are broadcast; more are
-    joined by a shuffle."""
+    min_literal: windows with fewer plain words can't be told from chance; an item without other windows is
+    matched by its lower-cased tokens, verbatim. min_cover: share of an item's windows that a document
+    must hold on one alignment or on ones up to ``drift`` tokens apart. broadcast_rows: benchmark windows up
+    to this number are broadcast (about 60 bytes each); more are joined by a shuffle."""
 
     window: int = 8
-    min_tokens: int = 5
     min_literal: int = 4
     min_cover: float = 0.5
     drift: int = 4
-    broadcast_rows: int = 2_000_000
+    broadcast_rows: int = 1_000_000
 
 
 def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def templates(tokens: Column) -> Column:
-    """Placeholder or lower-cased word for each raw token. A name is a capitalised word, at the start of
-    a sentence unless it is one of ``OPENERS``; an ambiguous unit word is a unit right after a number only."""
-    def one(t: Column, i: Column) -> Column:
-        first = F.substring(t, 1, 1)
-        low = F.lower(t)
-        starts = F.lower(first) == F.upper(first)  # a mark: the sentence starts here
-        before = F.regexp_replace(F.get(tokens, i - 1), LEADING, "")
-        after_number = (F.substring(before, 1, 1).between("0", "9")) | F.lower(before).isin(NUMBER_WORDS)
-        bare = F.regexp_replace(t, LEADING, "")
-        plain = F.lower(bare)
-        opening = F.when((F.substring(bare, 1, 1) == F.substring(plain, 1, 1)) | plain.isin(OPENERS), plain).otherwise(NAME)
+def marked_classes(tokens: Column) -> Column:
+    """Placeholder or lower-cased word for each token, joined by blanks. A name is a capitalised word that
+    isn't one of ``OPENERS``; an ambiguous unit word is a unit right after a number only."""
+    def one(t: Column) -> Column:
+        first, low = F.ascii(t), F.lower(t)
         return (
             # most tokens: a word that begins with a-z and is no number or unit word
-            F.when(F.ascii(t).between(97, 122) & ~low.isin(NUMBER_WORDS + UNITS + UNITS_AFTER_NUMBER), low)
-            .when(first.between("0", "9"), NUMBER)
-            .when(starts, F.when(F.substring(plain, 1, 1).between("0", "9") | plain.isin(NUMBER_WORDS), NUMBER).when(plain.isin(UNITS), UNIT).otherwise(opening))
-            .when(low.isin(NUMBER_WORDS), NUMBER)
+            F.when(first.between(97, 122) & ~low.isin(NUMBER_WORDS + UNITS), low)
+            .when(first.between(48, 57) | low.isin(NUMBER_WORDS), NUMBER)
             .when(low.isin(UNITS), UNIT)
-            .when(low.isin(UNITS_AFTER_NUMBER), F.when(after_number, UNIT).otherwise(low))
-            .when(first != F.substring(low, 1, 1), F.when(i == 0, opening).otherwise(NAME))
-            .otherwise(t)
+            .when((F.substring(t, 1, 1) != F.substring(low, 1, 1)) & ~low.isin(OPENERS), NAME)
+            .otherwise(low)
         )
 
-    return F.transform(tokens, one)
+    return F.regexp_replace(F.array_join(F.transform(tokens, one), " "), f"{NUMBER} (?:{'|'.join(UNITS_AFTER_NUMBER)})(?= |$)", f"{NUMBER} {UNIT}")
+
 
+def collapsed(classes: Column) -> Column:
+    """Runs of placeholders of one kind become one: 'Tom' and 'Mary Ann', '25' and 'twenty five' fill one slot."""
+    return F.regexp_replace(classes, f"([{NUMBER}{NAME}{UNIT}])(?: \\1)++", "$1")
 
-def values(tokens: Column) -> Column:
-    """Lower-cased raw tokens without the marks before them."""
-    return F.transform(tokens, lambda t: F.lower(F.regexp_replace(t, LEADING, "")))
 
+def pieces(joined: Column) -> Column:
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
 
-def run_starts(template: Column, tokens: Column) -> Column:
-    """Places of tokens without those that go on a run of placeholders of one kind: 'Tom' and 'Mary Ann',
-    '25' and 'twenty five' fill one slot. A sentence start begins anew. Columns, as in ``templates``."""
-    def goes_on(i: Column) -> Column:
-        kind = F.get(template, i)
-        return kind.isin(NUMBER, NAME, UNIT) & (kind == F.get(template, i - 1)) & ~F.get(tokens, i).rlike(r"^[.!?:\n]")
 
-    return F.filter(F.when(F.size(template) > 0, F.sequence(F.lit(0), F.size(template) - 1)).otherwise(F.array().cast("array<int>")), lambda i: ~F.coalesce(goes_on(i), F.lit(False)))
+def run_starts(template: Column) -> Column:
+    """Places of the tokens of a template that ``collapsed`` keeps."""
+    goes_on = lambda i: F.get(template, i).isin(NUMBER, NAME, UNIT) & (F.get(template, i) == F.get(template, i - 1))
+    places = F.when(F.size(template) > 0, F.sequence(F.lit(0), F.size(template) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda i: ~F.coalesce(goes_on(i), F.lit(False)))
 
 
 def run_values(starts: Column, tokens: Column) -> Column:
-    """The values at ``starts``, those of a run joined by blanks."""
+    """The lower-cased tokens at ``starts``, those of a run joined by blanks."""
     ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(tokens)))
-    return F.zip_with(starts, ends, lambda a, b: F.array_join(values(F.slice(tokens, a + 1, b - a)), " "))
+    return F.zip_with(starts, ends, lambda a, b: F.lower(F.array_join(F.slice(tokens, a + 1, b - a), " ")))
 
 
 def at_places(tokens: Column, places: Column) -> Column:
@@ -112,63 +114,112 @@ def is_poor(window: Column, length: int | Column, params: TemplateParams) -> Col
     return F.size(F.filter(window, lambda t: ~t.isin(NUMBER, NAME, UNIT))) < F.least(F.lit(params.min_literal), F.lit(length))
 
 
-def exact_hash(window: Column) -> Column:
-    return F.xxhash64(F.lit("verbatim"), window)
+# ---------------------------------------------------------------- hashes of windows
+
+
+def _split(n: int) -> int:
+    """A window of n > 1 tokens is hashed from one of this length, a power of two, and the rest."""
+    return 1 << (n - 1).bit_length() - 1
+
+
+def _token_hash(token: Column, exact: bool) -> Column:
+    return F.xxhash64(F.lit("verbatim"), token) if exact else F.xxhash64(token)
 
 
-def document_windows(kinds: list[tuple[int, bool]], params: TemplateParams) -> Column:
-    """Windows (at, h) of a document for each (length, exact) of the benchmark's, over its ``short``
-    template or, for exact ones, over its tokens. Exact ones are hashed only where the template has too
-    few plain words, as the items' are."""
-    def of_kind(n: int, exact: bool) -> Column:
-        tokens = F.col("template" if exact else "short")
-        last = F.size(tokens) - n
-        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        cut = lambda tokens, i: F.slice(tokens, i + 1, F.lit(n))
-        if not exact:
-            return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(cut(tokens, i)).alias("h")))
-        poor = F.filter(places, lambda i: is_poor(cut(tokens, i), n, params))
-        return F.transform(poor, lambda i: F.struct(i.alias("at"), exact_hash(values(cut(F.col("raw"), i))).alias("h")))
+def window_hash(tokens: Column, n: int, exact: bool, at: int = 0) -> Column:
+    """Hash of the n tokens from ``at``."""
+    if n == 1:
+        return _token_hash(F.get(tokens, at), exact)
+    p = _split(n)
+    return F.xxhash64(window_hash(tokens, p, exact, at), window_hash(tokens, n - p, exact, at + p))
 
-    return F.concat(F.array().cast("array<struct<at:int,h:bigint>>"), *(of_kind(*kind) for kind in kinds))
+
+def with_window_hashes(frame: DataFrame, tokens: str, lengths: list[int], exact: bool) -> tuple[DataFrame, list[str]]:
+    """``frame`` with a column of the hashes of all windows of each length, and these columns' names."""
+    name = lambda n: f"{tokens}_{n}"
+    wanted, todo = {1}, list(lengths)
+    while todo:
+        n = todo.pop()
+        if n not in wanted:
+            wanted.add(n)
+            todo += [_split(n), n - _split(n)]
+    frame = frame.withColumn(name(1), F.transform(tokens, lambda t: _token_hash(t, exact)))
+    for n in sorted(wanted - {1}):
+        p, count = _split(n), F.size(tokens) - n + 1
+        both = F.zip_with(F.slice(name(p), F.lit(1), count), F.slice(name(n - p), F.lit(p + 1), count), lambda a, b: F.xxhash64(a, b))
+        frame = frame.withColumn(name(n), F.when(count > 0, both).otherwise(F.array().cast("array<bigint>")))
+    return frame, [name(n) for n in lengths]
 
 
 def benchmark_windows(benchmark: DataFrame, params: TemplateParams) -> tuple[DataFrame, DataFrame]:
-    """Items (item, raw, template, length, exact, n_windows) and their windows (h, length, exact, item,
-    at). ``exact``: no template window has enough plain words, so all windows are hashed by their values.
-    A word that opens a sentence may be a name or not, and a copy may begin a sentence at any window: such
-    windows have a hash for each reading. Null and empty texts have none; rows that repeat an item_id are
-    items of their own."""
+    """Items (item, item_id, raw, template, length, exact, n_windows) and their windows (h, length, exact,
+    item, item_at). ``exact``: no template window has enough plain words, so all windows are hashed by their
+    lower-cased tokens. A word that opens a sentence may be a name or not, and a copy may begin a sentence at
+    any window: such windows have a hash for each reading. Items without a token (null, empty) have no
+    windows; rows that repeat an item_id are items of their own."""
+    tokens = F.col("tokens")
     items = (
-        benchmark.select("item_id", "text")
+        benchmark.select(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("\0")), "text").alias("item"), "item_id", "text")
         .withColumn("tokens", raw_tokens(F.col("text")))
-        .withColumn("full", templates(F.col("tokens")))
-        .where(F.size("full") >= params.min_tokens)
-        .select(F.struct("item_id", F.xxhash64("text").alias("content")).alias("item"), "tokens", "full", run_starts(F.col("full"), F.col("tokens")).alias("starts"))
+        .where(F.size("tokens") > 0)
         .dropDuplicates(["item"])
-        .select("item", "tokens", "starts", values(F.col("tokens")).alias("plain"), at_places(F.col("full"), F.col("starts")).alias("short"), run_values(F.col("starts"), F.col("tokens")).alias("filled"))
+        .withColumn("marked", F.regexp_extract_all("text", F.lit(MARKED), F.lit(0)))
+        .withColumn("full", pieces(marked_classes(tokens)))
+        .withColumn("starts", run_starts(F.col("full")))
+        .select("item", "item_id", "tokens", "marked", "starts", F.transform(tokens, F.lower).alias("plain"), at_places(F.col("full"), F.col("starts")).alias("short"), run_values(F.col("starts"), tokens).alias("filled"))
     )
-    opens = lambda i: (F.get("starts", i) == 0) | F.get("tokens", F.get("starts", i)).rlike(r"^[.!?:\n]")
+    opens = lambda i: (F.get("starts", i) == 0) | F.get("marked", F.get("starts", i)).rlike(r"^[.!?:\n]")
     literal = F.transform("short", lambda t, i: F.when((t == NAME) & opens(i) & ~F.contains(F.get("filled", i), F.lit(" ")), F.get("filled", i)).otherwise(t))
     items = items.withColumn("literal", literal).withColumn("length", F.least(F.size("short"), F.lit(params.window)))
     every = lambda tokens, length: F.explode(F.sequence(F.lit(0), F.size(tokens) - F.col(length)))
-    cut = lambda tokens: F.slice(tokens, F.col("at") + 1, F.col("length"))
+    cut = lambda tokens: F.slice(tokens, F.col("item_at") + 1, F.col("length"))
     rich = (
-        items.withColumn("at", every("short", "length"))
-        .select("item", "at", "length", cut("short").alias("w"), cut("literal").alias("v"))
+        items.withColumn("item_at", every("short", "length"))
+        .select("item", "item_at", "length", cut("short").alias("w"), cut("literal").alias("v"))
         .where(~is_poor(F.col("v"), F.col("length"), params))
     )
     items = items.join(rich.groupBy("item").agg(F.count(F.lit(1)).alias("n_rich")), "item", "left").withColumn("exact", F.col("n_rich").isNull())
     items = items.withColumn("length", F.when(F.col("exact"), F.least(F.size("plain"), F.lit(params.window))).otherwise(F.col("length")))
-    first = F.get("w", 0)
-    begun = F.when(~first.isin(NUMBER, NAME, UNIT), F.xxhash64(F.concat(F.array(F.lit(NAME)), F.slice("w", F.lit(2), F.size("w")))))
-    hashes = F.array_compact(F.array_distinct(F.array(F.xxhash64("w"), F.xxhash64("v"), begun)))
-    windows = rich.select(F.explode(hashes).alias("h"), "length", F.lit(False).alias("exact"), "item", "at").unionByName(
-        items.where("exact").withColumn("at", every("plain", "length")).select(exact_hash(cut("plain")).alias("h"), "length", "exact", "item", "at")
+
+    def of_length(tokens: Column, exact: bool) -> Column:
+        out = F.lit(None).cast("bigint")
+        for n in range(1, params.window + 1):
+            out = F.when(F.col("length") == n, window_hash(tokens, n, exact)).otherwise(out)
+        return out
+
+    begun = F.when(~F.get("w", 0).isin(NUMBER, NAME, UNIT), F.concat(F.array(F.lit(NAME)), F.slice("w", F.lit(2), F.size("w"))))
+    readings = rich.select("item", "item_at", "length", F.explode(F.array_compact(F.array_distinct(F.array(F.col("w"), F.col("v"), begun)))).alias("w"))
+    poor = items.where("exact").withColumn("item_at", every("plain", "length")).select("item", "item_at", "length", cut("plain").alias("w"))
+    windows = readings.select(of_length(F.col("w"), False).alias("h"), "length", F.lit(False).alias("exact"), "item", "item_at").unionByName(
+        poor.select(of_length(F.col("w"), True).alias("h"), "length", F.lit(True).alias("exact"), "item", "item_at")
     )
     pick = lambda a, b: F.when(F.col("exact"), F.col(a)).otherwise(F.col(b))
     n_windows = F.when(F.col("exact"), F.size("plain") - F.col("length") + 1).otherwise(F.col("n_rich"))
-    return items.select("item", pick("plain", "filled").alias("raw"), pick("plain", "short").alias("template"), "length", "exact", n_windows.alias("n_windows")), windows
+    return items.select("item", "item_id", pick("plain", "filled").alias("raw"), pick("plain", "short").alias("template"), "length", "exact", n_windows.alias("n_windows")), windows
+
+
+def document_windows(docs: DataFrame, kinds: list[tuple[int, bool]]) -> DataFrame:
+    """(doc_id, content, place, h, n_short, n_plain) of the windows of ``docs`` (doc_id, content, text): for each
+    (length, exact) in ``kinds``, one after the other, of the collapsed template or the lower-cased tokens."""
+    # tokens and templates are columns of their own: inside a lambda they would be made again for every element
+    base = docs.select("doc_id", "content", raw_tokens(F.col("text")).alias("raw")).where(F.size("raw") > 0)
+    exact = [n for n, e in kinds if e]
+    template = [n for n, e in kinds if not e]
+    base = base.select("doc_id", "content", pieces(collapsed(marked_classes(F.col("raw")))).alias("short"), (F.transform("raw", F.lower) if exact else F.array().cast("array<string>")).alias("plain"))
+    base, by_template = with_window_hashes(base, "short", template, False)
+    base, by_tokens = with_window_hashes(base, "plain", exact, True) if exact else (base, [])
+    names = dict(zip([(n, False) for n in template] + [(n, True) for n in exact], by_template + by_tokens, strict=True))
+    every = F.concat(F.array().cast("array<bigint>"), *(F.col(names[kind]) for kind in kinds))
+    return base.select("doc_id", "content", F.size("short").alias("n_short"), F.size("plain").alias("n_plain"), F.posexplode(every).alias("place", "h"))
+
+
+def place_in_kind(kinds: list[tuple[int, bool]]) -> Column:
+    """``at`` of a matched window: its ``place`` without the windows of the kinds before its own."""
+    out, before = F.lit(None).cast("int"), F.lit(0)
+    for n, exact in kinds:
+        out = F.when((F.col("length") == n) & (F.col("exact") == exact), F.col("place") - before).otherwise(out)
+        before = before + F.greatest(F.col("n_plain" if exact else "n_short") - n + 1, F.lit(0))
+    return out
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
@@ -177,30 +228,28 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, params: TemplatePar
     ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are ignored. Windows of the
     canonical templates are hash-joined; a document holds an item when, on neighbouring alignments, it
     has at least ``min_cover`` of the item's windows and the slots are consistent: over the aligned
-    placeholders, item values and document values map one to one. Items with too few plain words for a
-    template are matched verbatim. Windows are exploded in the scan's
+    placeholders, item values and document values map one to one. Items of any length are searched for;
+    ones with too few plain words for a template are matched verbatim by their tokens, which a one-word
+    item does wherever the word stands. Windows are exploded in the scan's
     stage and meet the benchmark's windows there by a broadcast whose row count is checked, so only
     matches are shuffled; a larger benchmark is joined by a shuffle.
 
     Returns one row for each (doc_id, item_id) with n_matched, cover and verbatim (all slots equal).
-    Null or empty texts and empty tables give no rows; identical rows give identical results once.
+    Null or empty texts and empty tables give no rows; identical rows give identical results once. Long texts
+    are taken whole, as one row. Of alignments that hold an item the one with most windows counts.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items, windows = benchmark_windows(benchmark, params)
     items, windows = scratch.keep(items, "items"), scratch.keep(windows, "windows")
     n_windows = windows.count()
     kinds = sorted((r.length, r.exact) for r in windows.select("length", "exact").distinct().collect())  # at most two for each length up to params.window
-    small = windows.select("h", "item", F.col("at").alias("item_at"))
-    small = F.broadcast(small) if n_windows <= params.broadcast_rows else small
+    small = F.broadcast(windows) if n_windows <= params.broadcast_rows else windows
     keyed = docs.select("doc_id", F.xxhash64("text").alias("content"), "text")
-    # raw tokens and templates are columns of their own: inside a lambda they would be made again for every element
-    base = keyed.where("text IS NOT NULL").select("doc_id", "content", raw_tokens(F.col("text")).alias("raw"))
-    base = base.select("doc_id", "content", "raw", templates(F.col("raw")).alias("template"))
-    base = base.select("*", run_starts(F.col("template"), F.col("raw")).alias("starts")).select("*", at_places(F.col("template"), F.col("starts")).alias("short"))
-    found = base.select("doc_id", "content", F.explode(document_windows(kinds, params)).alias("x")).select("doc_id", "content", "x.at", "x.h")
+    found = document_windows(keyed.where("text IS NOT NULL"), kinds)
     matched = (
         found.join(small, "h")
-        .groupBy("doc_id", "content", "item", (F.col("at") - F.col("item_at")).alias("shift"))
+        .select("doc_id", "content", "item", "item_at", (place_in_kind(kinds) - F.col("item_at")).alias("shift"))
+        .groupBy("doc_id", "content", "item", "shift")
         .agg(F.collect_set("item_at").alias("ats"))
     )
     # alignments at most ``drift`` apart meet in one of two groups at least
@@ -217,8 +266,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, params: TemplatePar
     again = (
         keyed.join(hits.hint("merge"), [keyed.doc_id.eqNullSafe(hits.doc_id), keyed.content.eqNullSafe(hits.content)])
         .select(keyed.doc_id, raw_tokens(F.col("text")).alias("doc_raw"), "hits")
-        .withColumn("doc_template", templates(F.col("doc_raw")))
-        .withColumn("doc_starts", run_starts(F.col("doc_template"), F.col("doc_raw")))
+        .withColumn("doc_template", pieces(marked_classes(F.col("doc_raw"))))
+        .withColumn("doc_starts", run_starts(F.col("doc_template")))
         .select("doc_id", "hits", at_places(F.col("doc_template"), F.col("doc_starts")).alias("doc_template"), run_values(F.col("doc_starts"), F.col("doc_raw")).alias("doc_filled"))
     )
     again = scratch.keep(again, "held").withColumn("hit", F.explode("hits")).select("doc_id", "doc_filled", "doc_template", "hit.*").join(items.drop("n_windows"), "item")
@@ -249,7 +298,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, params: TemplatePar
         again.withColumn("slots", slots)
         .where(F.col("exact") | ~strange & (pairs == distinct("kind", "value")) & (pairs == distinct("kind", "doc_value")))
         .withColumn("verbatim", F.when(F.col("exact"), whole).otherwise(F.forall("slots", lambda x: x["value"] == x["doc_value"])))
-        .groupBy("doc_id", F.col("item.item_id").alias("item_id"))
+        .groupBy("doc_id", "item_id")
         .agg(F.max("n_matched").alias("n_matched"), F.max(F.round(F.col("n_matched") / F.col("n_windows"), 6)).alias("cover"), F.max("verbatim").alias("verbatim"))
     )
 
