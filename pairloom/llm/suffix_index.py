@@ -2,11 +2,13 @@
 
 Of each text, suffixes are sampled at minimisers: in every window of ``length`` bytes the k-byte string
 with the smallest hash (the leftmost of equals). Equal windows have the same minimiser at the same
-place, so two equal strings of ``length`` bytes always share a sampled suffix. A batch's suffix array
-is its sampled suffixes in the order of their leading k bytes (by hash), equal ones counted together;
-batches enter the family one by one, are merge-scanned against all levels, and levels of equal size
-are merged, so a suffix is rewritten a logarithmic number of times. Suffixes that the scans find
-repeated are extended to both sides, window by window, to the exact matches.
+place, so two equal strings of ``length`` bytes always share a sampled suffix. A batch's suffix array is
+its sampled suffixes in the byte order of their leading k bytes, those with one context (``span``, the bytes
+of all windows that a sample stands for) counted together. Batches enter the family one by one: a
+batch's array is merged with those of all levels in byte order, and neighbours whose common prefix has
+k bytes are matches; levels of equal size are merged, so a suffix is rewritten a logarithmic number of
+times. Contexts that the levels count twice are removed whole; of different contexts of a
+matching suffix, windows are compared to find the exact matches.
 """
 
 from __future__ import annotations
@@ -30,14 +32,18 @@ LAST_ID = 2**63 - 1
 
 @dataclass(frozen=True)
 class SuffixParams:
-    """length: bytes of a match. lead: bytes that order sampled suffixes. batches: insertions into the
-    index. wide: suffixes with more different contexts than this are extended by a shuffle of window
-    hashes; the others by their texts, many suffixes in a task."""
+    """length: bytes of a match. lead: bytes that order sampled suffixes. batches, batch_bytes: the least
+    number of insertions into the index, and the bytes of text of one. block: windows that a task
+    gathers before it sends them. share: contexts of one suffix whose windows are matched together;
+    those of a suffix with more are dealt out by their hashes. bucket: windows matched in one task, about."""
 
     length: int = 200
     lead: int = 24
     batches: int = 4
-    wide: int = 2000
+    batch_bytes: int = 1 << 38
+    block: int = 2_000_000
+    share: int = 5000
+    bucket: int = 2_000_000
 
 
 # ---------------------------------------------------------------- sampling
@@ -57,11 +63,11 @@ def _window_min(values: np.ndarray, w: int) -> np.ndarray:
 
 def sample(piece: tk.Slice, p: SuffixParams) -> tuple[np.ndarray, ...]:
     """Sampled suffixes of a slice: document, first and last window that the sample stands for (bytes
-    from the document's begin), the suffix's place, its key, and a hash of all bytes of those windows."""
+    from the document's begin), the suffix's place, and a hash of all bytes of those windows."""
     n, length = len(piece.data), p.length
     none = np.empty(0, np.int64)
     if n < length:
-        return none, none, none, none, none, none
+        return none, none, none, none, none
     prefix = tk.PrefixHash(piece.data)
     at = np.arange(n - p.lead + 1)
     lead = tk.mix(prefix.raw(at, at + p.lead))
@@ -83,75 +89,151 @@ def sample(piece: tk.Slice, p: SuffixParams) -> tuple[np.ndarray, ...]:
     # empty documents share their offset with the next; searchsorted gives the last of them, which owns the bytes
     begin = piece.offsets[doc]
     span = tk.mix(prefix.raw(first, last + length) + (anchor - first).astype(U64) * U64(0x9E3779B97F4A7C15) + (last - first).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-    return doc, first - begin, last - begin, anchor - begin, tk.signed(lead[anchor]), tk.signed(span)
+    return doc, first - begin, last - begin, anchor - begin, tk.signed(span)
 
 
-OCCURRENCE = "id bigint, content bigint, first int, last int, place int, key bigint, span bigint"
+OCCURRENCE = "id bigint, content bigint, first int, last int, at int, lead binary, span bigint"
 
 
 def occurrences(texts: DataFrame, p: SuffixParams) -> DataFrame:
-    """Sampled suffixes of ``texts`` (id, content, text)."""
+    """Sampled suffixes of ``texts`` (id, content, text); ``at`` is the suffix's place after ``first``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, content = batch.column("id").to_numpy(), batch.column("content").to_numpy()
             for piece in tk.slices(batch.column("text")):
-                doc, first, last, place, key, span = sample(piece, p)
+                doc, first, last, place, span = sample(piece, p)
+                begin = piece.offsets[doc] + place
+                lead = np.ascontiguousarray(piece.data[begin[:, None] + np.arange(p.lead)])
                 doc = doc + piece.first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[doc]), pa.array(content[doc]), *(pa.array(x.astype(np.int32)) for x in (first, last, place)), pa.array(key), pa.array(span)],
-                    ["id", "content", "first", "last", "place", "key", "span"],
+                    [pa.array(ids[doc]), pa.array(content[doc]), *(pa.array(x.astype(np.int32)) for x in (first, last, place - first)), _binaries(lead), pa.array(span)],
+                    ["id", "content", "first", "last", "at", "lead", "span"],
                 )
 
     return texts.mapInArrow(run, OCCURRENCE)
 
 
+def _binaries(rows: np.ndarray) -> pa.Array:
+    """Each row of a byte matrix as a binary value."""
+    n, size = rows.shape
+    offsets = pa.py_buffer((np.arange(n + 1) * size).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 # ---------------------------------------------------------------- index family
 
 
+LEVEL = "lead binary, span bigint, n bigint"
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each pair of rows of two byte matrices."""
+    return np.minimum.accumulate(a == b, axis=1).sum(axis=1)
+
+
 class SuffixFamily:
-    """Levels of suffix arrays in the shared folder: (key, n) in the order of key. A level of rank r
-    holds 2**r batches; there is at most one of each rank."""
+    """Levels of suffix arrays in the shared folder: (lead, span, n) in byte order within the slices that the
+    first bytes of the leads are dealt to. A level of rank r holds 2**r batches; there is at most one of
+    each rank."""
 
-    def __init__(self, scratch: Scratch):
-        self.scratch = scratch
+    def __init__(self, scratch: Scratch, p: SuffixParams):
+        self.scratch, self.p = scratch, p
         self.levels: dict[int, str] = {}
 
     def _read(self, path: str) -> DataFrame:
-        return self.scratch.spark.read.schema("key bigint, n bigint").parquet(path)
+        return self.scratch.spark.read.schema(LEVEL).parquet(path)
+
+    def _ordered(self, rows: DataFrame) -> DataFrame:
+        """Suffixes with a long common prefix begin alike, so they meet in one slice."""
+        return rows.repartition(F.substring("lead", 1, min(8, self.p.lead))).sortWithinPartitions("lead", "span")
+
+    def _merge(self, paths: list[str]) -> str:
+        """One array from several, written; the old ones go."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rest: pa.Table | None = None  # the last (lead, span), which may go on
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                table = table if rest is None else pa.concat_tables([rest, table])
+                if not table.num_rows:
+                    continue
+                table = table.combine_chunks()
+                lead, span, n = (table.column(k) for k in ("lead", "span", "n"))
+                data, _ = tk.utf8_buffers(lead)
+                rows, spans = data.reshape(table.num_rows, -1), span.to_numpy()
+                head = np.flatnonzero(np.concatenate([[True], (common_prefix(rows[1:], rows[:-1]) < rows.shape[1]) | (spans[1:] != spans[:-1])]))
+                out = table.take(pa.array(head)).set_column(2, "n", pa.array(np.add.reduceat(n.to_numpy(), head)))
+                rest = out.slice(len(head) - 1)
+                yield from out.slice(0, len(head) - 1).to_batches()
+            if rest is not None:
+                yield from rest.to_batches()
+
+        rows = self._read(paths[0])
+        for other in paths[1:]:
+            rows = rows.unionByName(self._read(other))
+        out = self.scratch.write(self._ordered(rows).mapInArrow(run, LEVEL), "level")
+        self.scratch.drop(*paths)
+        return out
+
+    def _scan(self, rows: DataFrame) -> DataFrame:
+        """(lead) of the suffixes in ``rows`` (lead, span, n, new) that begin like a neighbour, one of them new."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, total, any_new = np.empty((0, 0), np.uint8), 0, 0  # the group that may go on
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                data, _ = tk.utf8_buffers(batch.column("lead"))
+                lead = data.reshape(batch.num_rows, -1)
+                n, new = batch.column("n").to_numpy(), batch.column("new").to_numpy()
+                if len(last):
+                    lead, n, new = np.concatenate([last, lead]), np.concatenate([[total], n]), np.concatenate([[any_new], new])
+                head = np.flatnonzero(np.concatenate([[True], common_prefix(lead[1:], lead[:-1]) < lead.shape[1]]))
+                totals, news = np.add.reduceat(n, head), np.maximum.reduceat(new, head)
+                hit = np.flatnonzero((totals > 1) & (news > 0))
+                hit = hit[hit < len(head) - 1]
+                yield pa.RecordBatch.from_arrays([_binaries(lead[head[hit]])], ["lead"])
+                last, total, any_new = lead[head[-1] :][:1].copy(), int(totals[-1]), int(news[-1])
+            if len(last) and total > 1 and any_new:
+                yield pa.RecordBatch.from_arrays([_binaries(last)], ["lead"])
+
+        return self._ordered(rows).mapInArrow(run, "lead binary")
 
     def insert(self, suffixes: DataFrame) -> DataFrame:
-        """Add a batch's suffixes (key); returns the keys of the batch that the family or the batch
+        """Add a batch's suffixes (lead, span); returns the leads of the batch that the family or the batch
         itself holds twice or more."""
-        path = self.scratch.write(suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("key"), "level")
-        new = self._read(path).withColumn("new", F.lit(1))
+        path = self.scratch.write(suffixes.groupBy("lead", "span").agg(F.count(F.lit(1)).alias("n")), "batch")
+        rows = self._read(path).withColumn("new", F.lit(1))
         for level in self.levels.values():
-            new = new.unionByName(self._read(level).withColumn("new", F.lit(0)))
-        found = new.groupBy("key").agg(F.sum("n").alias("n"), F.max("new").alias("new")).where("n > 1 AND new = 1").select("key")
-        found = self.scratch.keep(found, "repeated")
-        rank = 0
+            rows = rows.unionByName(self._read(level).withColumn("new", F.lit(0)))
+        found = self.scratch.keep(self._scan(rows), "repeated")
+        rank, paths = 0, [path]
         while rank in self.levels:
-            old = self.levels.pop(rank)
-            merged = self._read(path).unionByName(self._read(old)).groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key")
-            wider = self.scratch.write(merged, "level")
-            self.scratch.drop(path, old)
-            path, rank = wider, rank + 1
-        self.levels[rank] = path
+            paths.append(self.levels.pop(rank))
+            rank += 1
+        self.levels[rank] = self._merge(paths)
+        self.scratch.settle()
         return found
 
+    def contexts(self, repeated: DataFrame) -> DataFrame:
+        """(key, span, n, width) of all levels for the leads in ``repeated``: how often a context occurs, and
+        how many different contexts its suffix has. ``key`` is a hash of the lead."""
+        levels = [self._read(path) for path in self.levels.values()]
+        rows = levels[0]
+        for other in levels[1:]:
+            rows = rows.unionByName(other)
+        rows = rows.join(repeated.hint("merge"), "lead", "left_semi").groupBy("lead", "span").agg(F.sum("n").alias("n"))
+        width = rows.groupBy("lead").agg(F.count(F.lit(1)).alias("width"))
+        return rows.join(width.hint("merge"), "lead").select(F.xxhash64("lead").alias("key"), "span", "n", "width")
+
 
-# ---------------------------------------------------------------- extension to whole matches
+# ---------------------------------------------------------------- different contexts
 
 
-def _windows(texts: list[bytes], p: SuffixParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every window of each text, the text it is of, and its place there."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    prefix = tk.PrefixHash(np.frombuffer(b"".join(texts), np.uint8))
-    count = size - p.length + 1
-    owner = np.repeat(np.arange(len(texts)), count)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    at = np.repeat(np.cumsum(size) - size, count) + place
-    return tk.mix(prefix.raw(at, at + p.length)), owner, place
+RUN = "id bigint, content bigint, first int, last int"
+SENT = RUN + ", bucket int, known binary, ids binary, contents binary, firsts binary, counts binary, places binary, hashes binary"
+_BLOBS = ("ids", "contents", "firsts", "counts", "places", "hashes")
 
 
 def _runs(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,69 +245,133 @@ def _runs(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return owner[head], place[head], place[tail] if len(head) else place[:0]
 
 
-def _extend(table: pa.Table, p: SuffixParams) -> pa.Table:
-    """Windows that different contexts of a suffix share, as runs for each context (span)."""
-    key, span, n = (table.column(k).to_numpy() for k in ("key", "span", "n"))
-    hashes, owner, place = _windows([x.as_py() for x in table.column("bytes")], p)
-    mine = tk.mix(hashes ^ tk.mix(key.view(U64))[owner])
-    order = np.argsort(mine)
-    same = mine[order][1:] == mine[order][:-1]
-    twice = np.zeros(len(mine), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    at = np.flatnonzero(twice & (n == 1)[owner])
-    owner, a, b = _runs(owner[at], place[at])
-    return pa.table({"key": key[owner], "span": span[owner], "a": a.astype(np.int32), "b": b.astype(np.int32)})
-
-
-def contexts(texts: DataFrame, wanted: DataFrame, p: SuffixParams) -> DataFrame:
-    """The bytes of the windows of one occurrence of each wanted (key, span)."""
+class _Windows:
+    """Windows of the contexts that a task has read since it last wrote. A window is told by a hash of its
+    bytes and its suffix's key."""
+
+    def __init__(self, p: SuffixParams, buckets: int):
+        self.p, self.buckets = p, buckets
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, id_: int, content: int, data: np.ndarray, rows: dict[str, np.ndarray]) -> None:
+        """Contexts of one text, whose bytes are ``data``: first, last, at, key, n, width of each."""
+        first, count = rows["first"].astype(np.int64), (rows["last"] - rows["first"] + 1).astype(np.int64)
+        owner = np.repeat(np.arange(len(first)), count)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        start = first[owner] + place
+        key = tk.mix(rows["key"].astype(np.int64).view(U64))[owner]
+        hashes = tk.mix(tk.PrefixHash(data).raw(start, start + self.p.length) ^ key)
+        # equal windows have the same distance to the suffix: a context's windows are dealt in a few stretches
+        stretch = (rows["at"][owner].astype(np.int64) - place + self.p.length) // 32
+        split = hashes % (rows["width"][owner] // self.p.share + 1).astype(U64)
+        bucket = (tk.mix(key + stretch.astype(U64) * U64(0x9E3779B97F4A7C15) + split * U64(0xC2B2AE3D27D4EB4F)) % U64(self.buckets)).astype(np.int64)
+        whole = np.full(len(first), 1, np.int64)
+        self.parts.append((whole * id_, whole * content, first, rows["n"].astype(np.int64), count, place, hashes, bucket))
+        self.size += len(owner)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        id_, content, first, n, count, place, hashes, bucket = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        owner = np.repeat(np.arange(len(id_)), count)
+        wanted = (n == 1)[owner]
+        order = np.argsort(hashes)
+        s = hashes[order]
+        new = np.concatenate([[True], s[1:] != s[:-1]])
+        alone = new & np.append(new[1:], True)
+        # windows that the block holds twice are known by now; one of them stands for them from here on
+        again = np.zeros(len(hashes), bool)
+        again[order[~alone]] = True
+        at = np.flatnonzero(again & wanted)
+        who, a, b = _runs(owner[at], place[at])
+        yield self._batch(id=id_[who], content=content[who], first=first[who] + a, last=first[who] + b, bucket=np.arange(len(who)) % self.buckets)
+        known = order[new & ~(alone & wanted[order])]
+        open_ = np.flatnonzero(~again & wanted)
+        known = known[np.argsort(bucket[known], kind="stable")]
+        open_ = open_[np.argsort(bucket[open_], kind="stable")]
+        edge = np.arange(self.buckets + 1)
+        known_at, open_at = np.searchsorted(bucket[known], edge), np.searchsorted(bucket[open_], edge)
+        rows: dict[str, list] = {k: [] for k in ("bucket", "known", *_BLOBS)}
+        for i in np.flatnonzero(np.diff(known_at) + np.diff(open_at)).tolist():
+            mine = open_[open_at[i] : open_at[i + 1]]
+            who, number = np.unique(owner[mine], return_counts=True)
+            blobs = (hashes[known[known_at[i] : known_at[i + 1]]], id_[who], content[who], first[who].astype(np.int32), number.astype(np.int32), place[mine].astype(np.uint16), hashes[mine])
+            rows["bucket"].append(i)
+            for k, v in zip(("known", *_BLOBS), blobs, strict=True):
+                rows[k].append(v.tobytes())
+            if len(rows["bucket"]) == 16:
+                yield self._batch(**rows)
+                rows = {k: [] for k in rows}
+        if rows["bucket"]:
+            yield self._batch(**rows)
+
+    @staticmethod
+    def _batch(**columns) -> pa.RecordBatch:
+        count = len(columns["bucket"])
+        out = []
+        for name, kind in (x.split() for x in SENT.split(", ")):
+            type_ = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind]
+            out.append((name, pa.array(columns[name], type_) if name in columns else pa.nulls(count, type_)))
+        return pa.RecordBatch.from_arrays([x for _, x in out], [k for k, _ in out])
+
+
+def _match(table: pa.Table) -> pa.Table:
+    """Runs of windows that different blocks share, and the runs that blocks have found."""
+    columns = [x.split()[0] for x in RUN.split(", ")]
+    is_run = pa.compute.is_valid(table.column("id"))
+    found = table.filter(is_run).select(columns)
+    table = table.filter(pa.compute.invert(is_run))
+    if not table.num_rows:
+        return found
+    get = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
+    known, hashes = get("known", U64), get("hashes", U64)
+    id_, content, first, count, place = get("ids", np.int64), get("contents", np.int64), get("firsts", np.int32), get("counts", np.int32), get("places", np.uint16).astype(np.int32)
+    every = np.concatenate([hashes, known])
+    order = np.argsort(every)
+    s = every[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    twice = np.zeros(len(every), bool)
+    twice[order[~(new & np.append(new[1:], True))]] = True
+    at = np.flatnonzero(twice[: len(hashes)])
+    who, a, b = _runs(np.repeat(np.arange(len(id_)), count)[at], place[at])
+    more = pa.table({"id": id_[who], "content": content[who], "first": first[who] + a, "last": first[who] + b}, schema=pa.schema([(k, found.schema.field(k).type) for k in columns]))
+    return pa.concat_tables([found, more])
+
+
+def matches(texts: DataFrame, cand: DataFrame, p: SuffixParams, scratch: Scratch) -> DataFrame:
+    """(id, content, first, last): runs of windows of ``texts`` whose bytes also begin elsewhere. ``cand``:
+    their sampled suffixes that match others, with what the levels say of their contexts."""
+    whole = cand.where("n > 1").select("id", "content", "first", "last")
+    fields = ("first", "last", "at", "key", "n", "width")
+    mixed = cand.where("width > 1")
+    # of a context that occurs more often, one occurrence shows the others what is known
+    shown = mixed.where("n > 1").groupBy("key", "span").agg(F.min(F.struct("id", "content", *(k for k in fields if k != "key"))).alias("x")).select("x.id", "x.content", "x.first", "x.last", "x.at", "key", "x.n", "x.width")
+    mixed = mixed.where("n = 1").select("id", "content", *fields).unionByName(shown.select("id", "content", *fields))
+    wanted = scratch.keep(mixed.groupBy("id", "content").agg(F.collect_list(F.struct(*fields)).alias("rows"), F.sum(F.col("last") - F.col("first") + 1).alias("windows")), "contexts")
+    scratch.settle()
+    total = wanted.agg(F.sum("windows")).first()[0] or 0
+    buckets = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), total // p.bucket + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Windows(p, buckets)
         for batch in batches:
+            data, offsets = tk.utf8_buffers(batch.column("text"))
+            ids, contents, rows = batch.column("id").to_pylist(), batch.column("content").to_pylist(), batch.column("rows")
+            edge = rows.offsets.to_numpy() - rows.offsets[0].as_py()
+            flat = rows.flatten()
+            values = {k: flat.field(k).to_numpy() for k in fields}
             for i in range(batch.num_rows):
-                raw = batch.column("text")[i].as_buffer()
-                rows = batch.column("rows")[i].as_py()
-                view = memoryview(raw)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], t) for k, t in (("key", pa.int64()), ("span", pa.int64()), ("n", pa.int64()), ("wide", pa.bool_()))]
-                    + [pa.array([bytes(view[r["first"] : r["last"] + p.length]) for r in rows], pa.binary())],
-                    ["key", "span", "n", "wide", "bytes"],
-                )
-
-    rows = wanted.groupBy("id", "content").agg(F.collect_list(F.struct("key", "span", "n", "wide", "first", "last")).alias("rows"))
-    return texts.join(rows.hint("merge"), ["id", "content"]).select("text", "rows").mapInArrow(run, "key bigint, span bigint, n bigint, wide boolean, bytes binary")
-
-
-def matches(texts: DataFrame, found: DataFrame, repeated: DataFrame, p: SuffixParams, scratch: Scratch) -> DataFrame:
-    """(id, content, first, last): runs of windows of ``texts`` whose bytes also begin elsewhere."""
-    cand = scratch.keep(found.join(repeated.hint("merge"), "key", "left_semi"), "matched")
-    variants = cand.groupBy("key", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "content", "first", "last")).alias("at"))
-    variants = scratch.keep(variants, "variants")
-    width = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n_spans")).where("n_spans > 1")
-    mixed = variants.join(width.hint("merge"), "key").select("key", "span", "n", (F.col("n_spans") > p.wide).alias("wide"), "at.*")
-    texts_of = scratch.keep(contexts(texts, mixed, p), "contexts")
-    buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = (
-        texts_of.where("NOT wide").drop("wide").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-        .groupBy("bucket").applyInArrow(lambda t: _extend(t, p), "key bigint, span bigint, a int, b int")
-    )
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                hashes, owner, place = _windows(part.column("bytes").to_pylist(), p)
-                pick = lambda k: pa.array(part.column(k).to_numpy()[owner])  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pick("key"), pick("span"), pick("n"), pa.array(tk.signed(hashes)), pa.array(place.astype(np.int32))], ["key", "span", "n", "window", "a"])
+                # windows of a long text come in parts, too
+                for at in range(edge[i], edge[i + 1], 2000):
+                    block.add(ids[i], contents[i], data[offsets[i] : offsets[i + 1]], {k: v[at : min(at + 2000, edge[i + 1])] for k, v in values.items()})
+                    if block.size >= p.block:
+                        yield from block.flush()
+        yield from block.flush()
 
-    each = texts_of.where("wide").mapInArrow(windows, "key bigint, span bigint, n bigint, window bigint, a int")
-    shared = each.groupBy("key", "window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "window")
-    wide = each.where("n = 1").join(shared, ["key", "window"], "left_semi").select("key", "span", "a", F.col("a").alias("b"))
-    partial = scratch.keep(narrow.unionByName(wide), "partial")
-    whole = cand.join(variants.where("n > 1").select("key", "span").hint("merge"), ["key", "span"], "left_semi").select("id", "content", "first", "last")
-    some = cand.join(partial.hint("merge"), ["key", "span"]).select("id", "content", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"))
-    return whole.unionByName(some)
+    sent = texts.join(wanted.drop("windows").hint("merge"), ["id", "content"]).select("id", "content", "text", "rows").mapInArrow(send, SENT)
+    return whole.unionByName(sent.groupBy("bucket").applyInArrow(_match, RUN))
 
 
 def _removed(size: int, first: list[int], last: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,30 +395,39 @@ def dedup_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataF
     an id and text are documents of their own and lose everything that is long enough. An empty
     table gives no rows.
 
-    What is shuffled are sampled suffixes, about one for 90 bytes. Counts are combined on the map side; a
-    suffix that a third of the texts hold in one context is a few rows, in many contexts (over
-    ``wide``) its windows are spread by their hashes. Strings are compared by 64-bit hashes of the
-    suffix's lead and of the whole window together.
+    What is shuffled are sampled suffixes, about one for 90 bytes. Counts are combined on the map side, so a
+    suffix that a third of the texts hold in one context is a few rows; in many contexts, each task sends
+    of equal windows one, and the windows are dealt out in stretches, and by their hashes where a suffix has
+    more than ``share`` contexts. Contexts and windows are compared by 64-bit hashes. Long texts are
+    taken whole; a doc_id must be of an integer type.
     """
     p = params
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("content")]
     texts = docs.where("text IS NOT NULL").select(*key, "text")
-    batch = F.pmod(F.xxhash64("content", "id"), F.lit(p.batches)).cast("int")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches = max(p.batches, -(-size // p.batch_bytes))
+    batch = F.pmod(F.xxhash64("content", "id"), F.lit(batches)).cast("int")
     path = f"{scratch.base}/occurrences"
     occurrences(texts, p).withColumn("batch", batch).write.partitionBy("batch").option("compression", "zstd").parquet(path)
     found = spark.read.schema(OCCURRENCE + ", batch int").parquet(path)
-    family = SuffixFamily(scratch)
+    family = SuffixFamily(scratch, p)
     repeated = None
-    for i in range(p.batches):
-        hits = family.insert(found.where(F.col("batch") == i).select("key"))
+    for i in range(batches):
+        hits = family.insert(found.where(F.col("batch") == i).select("lead", "span"))
         repeated = hits if repeated is None else repeated.unionByName(hits)
-    repeated = scratch.keep(repeated.distinct(), "keys")
+    spans = scratch.keep(family.contexts(repeated.distinct()), "spans")
     scratch.drop(*family.levels.values())
     scratch.settle()
-    runs = matches(texts, found.drop("batch", "place"), repeated, p, scratch)
+    found = found.withColumn("key", F.xxhash64("lead")).drop("batch", "lead")
+    cand = scratch.keep(found.join(spans.where("n > 1 OR width > 1").hint("merge"), ["key", "span"]), "matched")
+    scratch.drop(path)
+    scratch.forget(spans)
+    scratch.settle()
+    runs = matches(texts, cand, p, scratch)
     marks = scratch.keep(runs.groupBy("id", "content").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "marks")
+    scratch.forget(*(x for x, _ in scratch.kept if x is not marks))
     scratch.settle()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
