@@ -1,8 +1,10 @@
+import random
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from pairloom.llm import decontaminate, lm, sentencepiece_codec, surrogates, toxicity
@@ -155,6 +157,19 @@ def test_toxicity_of_odd_rows_and_missing_labels(spark, odd_docs, no_docs):
     assert toxicity.judge_toxicity(no_docs, some, p).collect() == []
 
 
+def test_toxicity_on_held_out_documents(spark):
+    """Accuracy and ranking on the labelled part of the held-out fold, which was not learned from."""
+    base = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    labelled = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    rows = toxicity.judge_toxicity(labelled, labels).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    y, score = np.array([r.toxic for r in rows]), np.array([r.score for r in rows])
+    assert len(rows) > 500 and 20 < y.sum() < len(y) / 2
+    rank = np.argsort(np.argsort(score))
+    auc = (rank[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (len(y) - y.sum()))
+    assert auc > 0.88 and np.mean([r.predicted == r.toxic for r in rows]) > 1 - y.mean() + 0.02
+
+
 # ---------------------------------------------------------------- language model
 
 
@@ -327,6 +342,75 @@ def test_items_with_other_names_at_sentence_starts_or_of_other_length_are_found(
     assert got == {(0, 1), (1, 1), (2, 1), (4, 2)}
 
 
+def brute_template(text):
+    """[(class, value)] of the collapsed template, by the documented rules."""
+    out = []
+    for m in regex.finditer(r"[\p{L}\p{M}]+|\d+(?:[.,]\d+)*", text):
+        t, low = m.group(), m.group().lower()
+        kind = "number" if t[0].isdigit() or low in decontaminate.NUMBER_WORDS else "unit" if low in decontaminate.UNITS else None
+        if kind is None and low in decontaminate.UNITS_AFTER_NUMBER and out and out[-1][0] == "number":
+            kind = "unit"
+        if kind is None and t[0] != low[0] and low not in decontaminate.OPENERS:
+            kind = "name"
+        out.append((kind or "=" + low, low))
+    runs = []
+    for kind, value in out:
+        if runs and kind[0] != "=" and runs[-1][0] == kind:
+            runs[-1] = kind, f"{runs[-1][1]} {value}"
+        else:
+            runs.append((kind, value))
+    return runs
+
+
+def brute_holds(text, item, p):
+    """None, or whether all slots are equal, on the best of the single alignments."""
+    a, b = brute_template(item), brute_template(text)
+    size = min(p.window, len(a))
+    rich = [i for i in range(len(a) - size + 1) if sum(k[0] == "=" for k, _ in a[i : i + size]) >= min(p.min_literal, size)]
+    found = None
+    for shift in range(-len(a), len(b)):
+        at = lambda i: b[i + shift] if 0 <= i + shift < len(b) else (None, None)  # noqa: B023, E731
+        hit = [i for i in rich if all(a[i + j][0] == at(i + j)[0] for j in range(size))]
+        if len(hit) < p.min_cover * len(rich):
+            continue
+        covered = {i + j for i in hit for j in range(size)}
+        if any(a[i][0] != at(i)[0] for i in covered):
+            continue
+        slots = [(a[i][0], a[i][1], at(i)[1]) for i in range(len(a)) if a[i][0][0] != "=" and a[i][0] == at(i)[0]]
+        if len(set(slots)) == len({x[:2] for x in slots}) == len({(x[0], x[2]) for x in slots}):
+            found = bool(found) or all(v == w for _, v, w in slots)
+    return found
+
+
+def test_templates_against_brute_force(spark, make_docs):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 3)))
+    name = lambda: word().capitalize()
+    items, docs = [], []
+    for k in range(25):
+        names, numbers, unit = [name() for _ in range(3)], [str(rng.randint(2, 99)) for _ in range(3)], rng.choice(["miles", "hours", "Kilometer", "euros"])
+        item = ["if"]
+        for _ in range(rng.randint(10, 22)):
+            kind = rng.random()
+            item += [rng.choice(names)] if kind < 0.15 else [rng.choice(numbers), unit] if kind < 0.3 else [word(), word()]
+        items.append((k, " ".join([*item, "then"])))
+        to = dict(zip(names + numbers, [name() for _ in names] + [str(rng.randint(100, 999)) for _ in numbers], strict=True))
+        spread = dict(to, **{names[1]: to[names[0]], numbers[1]: to[numbers[0]]})  # two values become one
+        again = [to.get(x, x) for x in item]
+        slots = [i for i, x in enumerate(item) if x in to]
+        odd = list(again)
+        if slots:
+            odd[rng.choice(slots)] = name() if item[slots[0]] in names else "5000"
+        cut = rng.randint(len(item) // 4, len(item))
+        for body in (item, again, [spread.get(x, x) for x in item], odd, item[:cut], again[len(item) - cut :], rng.sample(item, len(item))):
+            docs.append(" ".join([*(word() for _ in range(rng.randint(1, 9))), *body, "then", *(word() for _ in range(rng.randint(0, 9)))]))
+    p = decontaminate.TemplateParams()
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.find_contaminated(make_docs(docs), spark.createDataFrame(items, "item_id bigint, text string"), p).collect()}
+    want = {(d, k): v for d, text in enumerate(docs) for k, item in items if (v := brute_holds(text, item, p)) is not None}
+    assert got == want
+    assert set(want.values()) == {True, False} and len(want) < len(docs)
+
+
 def test_all_benchmark_passages_of_the_sample_are_found(spark):
     base = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/benchmark.parquet")
