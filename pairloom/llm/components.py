@@ -15,10 +15,11 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component_id) of every id in ``links`` (a, b): component_id is the smallest id reachable.
 
-    Each step sends every neighbour of a node to the smallest one; minima are combined on the map side
-    and joined back by plain equi-joins, so a node with a third of all links is no single task. Every
-    round is written to the shared folder; the number of rounds grows with the logarithm of a
-    component's size.
+    Each step sends every neighbour of a node to the smallest one; minima are combined on the map side. They
+    are joined back by a plain equi-join on the node: a hub's links are one key there, whose rows AQE splits
+    over tasks against the hub's single minimum. After the first round a component's links lead to few
+    nodes. Every round is written to the shared folder; the number of rounds grows with the logarithm of a
+    component's size. Links of an id with itself and repeated links change nothing; an empty table gives no rows.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     path = scratch.write(edges, "edges")
