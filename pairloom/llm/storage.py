@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,8 +38,23 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_folders: list[tuple[SparkSession, str]] = []
+
+
+def _clear() -> None:
+    """At the driver's end its scratch folders go, if the session still runs: results that are read lazily
+    need them until then."""
+    for spark, base in _folders:
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Py4JError, OSError):  # the JVM may have ended first
+                remove(spark, base)
+
+
+atexit.register(_clear)
+
+
 class Scratch:
-    """Written tables of one run under the shared folder.
+    """Written tables of one run under the shared folder, which are removed at the driver's end.
 
     ``keep`` writes a table and reads it back, so that what follows neither recomputes it nor
     depends on shuffle files of an executor that may be lost. ``drop`` removes a table that no
@@ -46,6 +64,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _folders.append((spark, self.base))
         self.count = 0
         self.kept: list[tuple[DataFrame, str]] = []
 
