@@ -33,17 +33,16 @@ LAST_ID = 2**63 - 1
 @dataclass(frozen=True)
 class SuffixParams:
     """length: bytes of a match. lead: bytes that order sampled suffixes. batches, batch_bytes: the least
-    number of insertions into the index, and the bytes of text of one. block: windows that a task
-    gathers before it sends them. share: contexts of one suffix whose windows are matched together;
-    those of a suffix with more are dealt out by their hashes. bucket: windows matched in one task, about."""
+    number of insertions into the index, and the bytes of text of one. share: contexts of one suffix that are
+    compared in one task; of a suffix with more, each task passes on what it holds once. bucket: windows
+    compared in one task, about."""
 
     length: int = 200
     lead: int = 24
-    batches: int = 4
+    batches: int = 3
     batch_bytes: int = 1 << 38
-    block: int = 2_000_000
-    share: int = 5000
-    bucket: int = 2_000_000
+    share: int = 20_000
+    bucket: int = 1_000_000
 
 
 # ---------------------------------------------------------------- sampling
@@ -104,7 +103,7 @@ def occurrences(texts: DataFrame, p: SuffixParams) -> DataFrame:
             for piece in tk.slices(batch.column("text")):
                 doc, first, last, place, span = sample(piece, p)
                 begin = piece.offsets[doc] + place
-                lead = np.ascontiguousarray(piece.data[begin[:, None] + np.arange(p.lead)])
+                lead = np.lib.stride_tricks.sliding_window_view(piece.data, p.lead)[begin] if len(begin) else np.empty((0, p.lead), np.uint8)
                 doc = doc + piece.first
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[doc]), pa.array(content[doc]), *(pa.array(x.astype(np.int32)) for x in (first, last, place - first)), _binaries(lead), pa.array(span)],
@@ -245,80 +244,73 @@ def _runs(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return owner[head], place[head], place[tail] if len(head) else place[:0]
 
 
-class _Windows:
-    """Windows of the contexts that a task has read since it last wrote. A window is told by a hash of its
-    bytes and its suffix's key."""
-
-    def __init__(self, p: SuffixParams, buckets: int):
-        self.p, self.buckets = p, buckets
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
-
-    def add(self, id_: int, content: int, data: np.ndarray, rows: dict[str, np.ndarray]) -> None:
-        """Contexts of one text, whose bytes are ``data``: first, last, at, key, n, width of each."""
-        first, count = rows["first"].astype(np.int64), (rows["last"] - rows["first"] + 1).astype(np.int64)
-        owner = np.repeat(np.arange(len(first)), count)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        start = first[owner] + place
-        key = tk.mix(rows["key"].astype(np.int64).view(U64))[owner]
-        hashes = tk.mix(tk.PrefixHash(data).raw(start, start + self.p.length) ^ key)
-        # equal windows have the same distance to the suffix: a context's windows are dealt in a few stretches
-        stretch = (rows["at"][owner].astype(np.int64) - place + self.p.length) // 32
-        split = hashes % (rows["width"][owner] // self.p.share + 1).astype(U64)
-        bucket = (tk.mix(key + stretch.astype(U64) * U64(0x9E3779B97F4A7C15) + split * U64(0xC2B2AE3D27D4EB4F)) % U64(self.buckets)).astype(np.int64)
-        whole = np.full(len(first), 1, np.int64)
-        self.parts.append((whole * id_, whole * content, first, rows["n"].astype(np.int64), count, place, hashes, bucket))
-        self.size += len(owner)
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.size:
-            return
-        id_, content, first, n, count, place, hashes, bucket = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.size = [], 0
-        owner = np.repeat(np.arange(len(id_)), count)
-        wanted = (n == 1)[owner]
-        order = np.argsort(hashes)
-        s = hashes[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]])
-        alone = new & np.append(new[1:], True)
-        # windows that the block holds twice are known by now; one of them stands for them from here on
-        again = np.zeros(len(hashes), bool)
-        again[order[~alone]] = True
-        at = np.flatnonzero(again & wanted)
-        who, a, b = _runs(owner[at], place[at])
-        yield self._batch(id=id_[who], content=content[who], first=first[who] + a, last=first[who] + b, bucket=np.arange(len(who)) % self.buckets)
-        known = order[new & ~(alone & wanted[order])]
-        open_ = np.flatnonzero(~again & wanted)
-        known = known[np.argsort(bucket[known], kind="stable")]
-        open_ = open_[np.argsort(bucket[open_], kind="stable")]
-        edge = np.arange(self.buckets + 1)
-        known_at, open_at = np.searchsorted(bucket[known], edge), np.searchsorted(bucket[open_], edge)
-        rows: dict[str, list] = {k: [] for k in ("bucket", "known", *_BLOBS)}
-        for i in np.flatnonzero(np.diff(known_at) + np.diff(open_at)).tolist():
-            mine = open_[open_at[i] : open_at[i + 1]]
-            who, number = np.unique(owner[mine], return_counts=True)
-            blobs = (hashes[known[known_at[i] : known_at[i + 1]]], id_[who], content[who], first[who].astype(np.int32), number.astype(np.int32), place[mine].astype(np.uint16), hashes[mine])
-            rows["bucket"].append(i)
-            for k, v in zip(("known", *_BLOBS), blobs, strict=True):
-                rows[k].append(v.tobytes())
-            if len(rows["bucket"]) == 16:
-                yield self._batch(**rows)
-                rows = {k: [] for k in rows}
-        if rows["bucket"]:
-            yield self._batch(**rows)
-
-    @staticmethod
-    def _batch(**columns) -> pa.RecordBatch:
-        count = len(columns["bucket"])
-        out = []
-        for name, kind in (x.split() for x in SENT.split(", ")):
-            type_ = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind]
-            out.append((name, pa.array(columns[name], type_) if name in columns else pa.nulls(count, type_)))
-        return pa.RecordBatch.from_arrays([x for _, x in out], [k for k, _ in out])
+def _windows(size: np.ndarray, data: np.ndarray, key: np.ndarray, p: SuffixParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of contexts that lie end to end in ``data``: its context, its place there, and a hash of
+    its bytes and its suffix's key."""
+    count = size - p.length + 1
+    owner = np.repeat(np.arange(len(size)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(np.cumsum(size) - size, count) + place
+    return owner, place, tk.mix(tk.PrefixHash(data).raw(at, at + p.length) ^ tk.mix(key.astype(np.int64).view(U64))[owner])
+
+
+def _compare(table: pa.Table, p: SuffixParams, buckets: int) -> pa.Table:
+    """Compare the contexts (id, content, first, at, key, n, width, bytes) of one bucket: runs of windows that
+    different contexts of a suffix share, for contexts that occur once (the others are removed whole). Where
+    a suffix's contexts are dealt to several buckets, one of equal windows is sent on: as ``known`` if it is
+    held twice, or else with its place."""
+    id_, content, first, at, key, n, width = (table.column(k).to_numpy().astype(np.int64) for k in ("id", "content", "first", "at", "key", "n", "width"))
+    data, offsets = tk.utf8_buffers(table.column("bytes"))
+    owner, place, hashes = _windows(np.diff(offsets), data, key, p)
+    wanted = (n == 1)[owner]
+    order = np.argsort(hashes)
+    s = hashes[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    alone = new & np.append(new[1:], True)
+    again = np.zeros(len(hashes), bool)
+    again[order[~alone]] = True
+    hit = np.flatnonzero(again & wanted)
+    who, a, b = _runs(owner[hit], place[hit])
+    out = [_sent(id=id_[who], content=content[who], first=first[who] + a, last=first[who] + b, bucket=np.arange(len(who)) % buckets)]
+    several = (width > p.share)[owner]
+    known = order[new & ~(alone & wanted[order])]
+    known = known[several[known]]
+    open_ = np.flatnonzero(~again & wanted & several)
+    # equal windows have the same distance to the suffix: a context's windows are dealt in a few stretches
+    def bucket(x: np.ndarray) -> np.ndarray:
+        of = owner[x]
+        stretch = ((at[of] - place[x] + p.length) // 32).astype(U64)
+        split = hashes[x] % (width[of] // p.share + 1).astype(U64)
+        return (tk.mix(key[of].view(U64) + stretch * U64(0x9E3779B97F4A7C15) + split * U64(0xC2B2AE3D27D4EB4F)) % U64(buckets)).astype(np.int64)
+
+    known_bucket, open_bucket = bucket(known), bucket(open_)
+    known_order, open_order = np.argsort(known_bucket, kind="stable"), np.argsort(open_bucket, kind="stable")
+    known, open_ = known[known_order], open_[open_order]
+    names = np.union1d(known_bucket, open_bucket)
+    known_at, open_at = (np.searchsorted(np.sort(x), np.append(names, buckets)) for x in (known_bucket, open_bucket))
+    rows: dict[str, list] = {k: [] for k in ("bucket", "known", *_BLOBS)}
+    for i, name in enumerate(names.tolist()):
+        mine = open_[open_at[i] : open_at[i + 1]]
+        who, number = np.unique(owner[mine], return_counts=True)
+        blobs = (hashes[known[known_at[i] : known_at[i + 1]]], id_[who], content[who], first[who].astype(np.int32), number.astype(np.int32), place[mine].astype(np.uint16), hashes[mine])
+        rows["bucket"].append(name)
+        for k, v in zip(("known", *_BLOBS), blobs, strict=True):
+            rows[k].append(v.tobytes())
+    out.append(_sent(**rows))
+    return pa.Table.from_batches(out)
+
+
+def _sent(**columns) -> pa.RecordBatch:
+    count = len(columns["bucket"])
+    out = []
+    for name, kind in (x.split() for x in SENT.split(", ")):
+        type_ = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind]
+        out.append((name, pa.array(columns[name], type_) if name in columns else pa.nulls(count, type_)))
+    return pa.RecordBatch.from_arrays([x for _, x in out], [k for k, _ in out])
 
 
 def _match(table: pa.Table) -> pa.Table:
-    """Runs of windows that different blocks share, and the runs that blocks have found."""
+    """Runs of windows that different buckets hold, and the runs that were found in one."""
     columns = [x.split()[0] for x in RUN.split(", ")]
     is_run = pa.compute.is_valid(table.column("id"))
     found = table.filter(is_run).select(columns)
@@ -353,24 +345,14 @@ def matches(texts: DataFrame, cand: DataFrame, p: SuffixParams, scratch: Scratch
     scratch.settle()
     total = wanted.agg(F.sum("windows")).first()[0] or 0
     buckets = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), total // p.bucket + 1)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Windows(p, buckets)
-        for batch in batches:
-            data, offsets = tk.utf8_buffers(batch.column("text"))
-            ids, contents, rows = batch.column("id").to_pylist(), batch.column("content").to_pylist(), batch.column("rows")
-            edge = rows.offsets.to_numpy() - rows.offsets[0].as_py()
-            flat = rows.flatten()
-            values = {k: flat.field(k).to_numpy() for k in fields}
-            for i in range(batch.num_rows):
-                # windows of a long text come in parts, too
-                for at in range(edge[i], edge[i + 1], 2000):
-                    block.add(ids[i], contents[i], data[offsets[i] : offsets[i + 1]], {k: v[at : min(at + 2000, edge[i + 1])] for k, v in values.items()})
-                    if block.size >= p.block:
-                        yield from block.flush()
-        yield from block.flush()
-
-    sent = texts.join(wanted.drop("windows").hint("merge"), ["id", "content"]).select("id", "content", "text", "rows").mapInArrow(send, SENT)
+    dealt = F.pmod(F.xxhash64("id", "content", "first"), F.floor(F.col("width") / p.share) + 1)
+    contexts = (
+        texts.join(wanted.drop("windows").hint("merge"), ["id", "content"])
+        .select("id", "content", F.col("text").cast("binary").alias("raw"), F.explode("rows").alias("x"))
+        .select("id", "content", "x.*", F.expr(f"substring(raw, x.first + 1, x.last - x.first + {p.length})").alias("bytes"))
+        .withColumn("bucket", F.pmod(F.xxhash64("key", dealt), F.lit(buckets)))
+    )
+    sent = contexts.groupBy("bucket").applyInArrow(lambda table: _compare(table, p, buckets), SENT)
     return whole.unionByName(sent.groupBy("bucket").applyInArrow(_match, RUN))
 
 
@@ -396,10 +378,10 @@ def dedup_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataF
     table gives no rows.
 
     What is shuffled are sampled suffixes, about one for 90 bytes. Counts are combined on the map side, so a
-    suffix that a third of the texts hold in one context is a few rows; in many contexts, each task sends
-    of equal windows one, and the windows are dealt out in stretches, and by their hashes where a suffix has
-    more than ``share`` contexts. Contexts and windows are compared by 64-bit hashes. Long texts are
-    taken whole; a doc_id must be of an integer type.
+    suffix that a third of the texts hold in one context is a few rows; in many contexts, they are
+    dealt out by ``share`` to tasks, each of which passes on of equal windows one, in stretches and by their
+    hashes. Contexts and windows are compared by 64-bit hashes. Long texts are taken whole; a doc_id must be
+    of an integer type.
     """
     p = params
     spark = docs.sparkSession

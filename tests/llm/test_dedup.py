@@ -134,7 +134,7 @@ def cut(docs, params):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
 
 
-@pytest.mark.parametrize("params", [suffix_index.SuffixParams(length=20, lead=6, batches=3), suffix_index.SuffixParams(length=24, lead=24, batches=1, share=1), suffix_index.SuffixParams(length=20, lead=5, batches=5, share=2, block=1, bucket=100)])
+@pytest.mark.parametrize("params", [suffix_index.SuffixParams(length=20, lead=6, batches=3), suffix_index.SuffixParams(length=24, lead=24, batches=1, share=1), suffix_index.SuffixParams(length=20, lead=5, batches=5, share=2, bucket=100), suffix_index.SuffixParams(length=20, lead=5, batches=2, batch_bytes=400)])
 def test_bytes_against_brute_force(make_docs, params):
     rng = np.random.default_rng(3)
     word = lambda n: "".join(rng.choice(list("abé日 "), n))
