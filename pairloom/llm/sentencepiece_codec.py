@@ -196,32 +196,28 @@ class Codec:
         out = self.whole.decode_batch(ids, skip_special_tokens=False)
         return [x[1:] if self.spec.dummy_prefix and x.startswith(" ") else x for x in out]
 
-    def encode_segments(self, raw: bytes, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the space-led segments raw[first[i]:first[i+1]], end to end, and their count in each.
+    def encode_segments(self, raw: bytes, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the space-led segments raw[first[i]:first[i+1]], end to end, their count in each, and whether
+        the SentencePiece library gives the same.
 
-        Segments are joined to texts of about JOINED bytes, which the backend encodes in one call; ids are
+        Segments are joined to texts of about JOINED bytes, which both libraries encode in one call; ids are
         dealt back to segments by the byte lengths of their pieces."""
         cuts = np.unique(np.concatenate([np.searchsorted(first, np.arange(0, len(raw), JOINED)), [len(first) - 1]]))
         texts = [raw[first[a] : first[b]].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         ids = np.array([x for e in self.segment.encode_batch_fast(texts, add_special_tokens=False) for x in e.ids], np.int32)
+        same = np.array([x for one in self.reference.encode([t[1:] for t in texts], num_threads=1) for x in one], np.int32)
         ends = np.cumsum(self.piece_size[ids])
         upto = np.searchsorted(ends, first, side="right")
-        if (self.piece_size[ids] == 0).any() or len(ends) == 0 or ends[-1] != len(raw) or (ends[upto[1:] - 1] != first[1:]).any():
-            # unknown pieces have no length: one segment at a time
-            segments = [raw[a:b].decode("utf-8", "replace") for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            each = [x.ids for x in self.segment.encode_batch_fast(segments, add_special_tokens=False)]
-            return np.array([x for one in each for x in one], np.int32), np.fromiter(map(len, each), np.int64, len(each))
-        return ids, np.diff(upto)
-
-    def check(self, texts: list[str], ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each text's ids decode to it with the backend's decoder (to what the SentencePiece library
-        decodes, where the model normalises texts), and whether that library gives the same ids."""
-        same = self.reference.encode(texts, num_threads=1)
-        plain = not self.spec.charsmap and not self.spec.squeeze_spaces
-        # an id of a literal marker in a text decodes to a space in both libraries
-        want = [t if plain and MARK not in t else self.reference.decode(x) for t, x in zip(texts, same, strict=True)]
-        pairs = lambda xs, ys: np.array([x == y for x, y in zip(xs, ys, strict=True)], bool)
-        return pairs(self.decode(ids), want), pairs(ids, same)
+        whole = (self.piece_size[ids] > 0).all() and len(ends) > 0 and ends[-1] == len(raw) and (ends[upto[1:] - 1] == first[1:]).all()
+        if whole and len(same) == len(ids):
+            odd = np.concatenate([[0], np.cumsum(same != ids)])
+            return ids, np.diff(upto), odd[upto[1:]] == odd[upto[:-1]]
+        # unknown pieces have no length, and ids that differ can't be dealt out: one segment at a time
+        segments = [raw[a:b].decode("utf-8", "replace") for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        each = [x.ids for x in self.segment.encode_batch_fast(segments, add_special_tokens=False)]
+        # a lone space is an empty text to the library, which has no ids
+        same = [a if s == " " else b for a, b, s in zip(each, self.reference.encode([s[1:] for s in segments], num_threads=1), segments, strict=True)]
+        return np.array([x for one in each for x in one], np.int32), np.fromiter(map(len, each), np.int64, len(each)), np.array([a == b for a, b in zip(each, same, strict=True)], bool)
 
 
 _codecs: dict[tuple[str, int], Codec] = {}
@@ -236,26 +232,39 @@ def codec(model: bytes, threads: int = 2) -> Codec:
 
 
 class SegmentCache:
-    """Ids of segments already met by this worker, by hash; emptied when it is full."""
+    """Ids of segments already met by this worker, by hash, and whether both libraries agree on them; emptied when
+    it is full. About 50 bytes a segment."""
 
-    def __init__(self, limit: int = 800_000):
+    def __init__(self, limit: int = 1_000_000):
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat = np.empty(0, np.int32)
-        self.size = np.empty(0, np.int64)
-
-    def add(self, hashes: list[int], ids: np.ndarray, size: np.ndarray) -> None:
-        n = len(self.size)
-        self.flat = np.concatenate([self.flat, ids])
+        self.hash, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted by hash
+        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.parity = np.empty(0, np.int32), np.empty(0, bool)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash, -1 for new ones."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return np.where(self.hash[at] == hashes, self.row[at], -1)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, size: np.ndarray, parity: np.ndarray) -> None:
+        """New segments; ``hashes`` are sorted."""
+        where = np.searchsorted(self.hash, hashes)
+        self.row = np.insert(self.row, where, len(self.size) + np.arange(len(size)))
+        self.hash = np.insert(self.hash, where, hashes)
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.place.update(zip(hashes, range(n, n + len(size)), strict=True))
+        self.flat = np.concatenate([self.flat, ids])
+        self.parity = np.concatenate([self.parity, parity])
 
 
-def _encode_split(piece: tk.Slice, c: Codec) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts of a slice and their count, from the ids of the distinct segments."""
+def _encode_split(piece: tk.Slice, c: Codec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts of a slice, their count, and whether both libraries agree on all of a text's segments;
+    each distinct segment is encoded once."""
     empty = np.diff(piece.offsets) == 0
     data = np.insert(piece.data, piece.offsets[:-1][~empty], 0x20)  # the dummy prefix
     offsets = piece.offsets + np.concatenate([[0], np.cumsum(~empty)])
@@ -266,38 +275,39 @@ def _encode_split(piece: tk.Slice, c: Codec) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(lead)
     end = np.append(start[1:], len(data))
     hashes, head, back = np.unique(tk.mix(tk.PrefixHash(data).raw(start, end) + (end - start).astype(np.uint64)), return_index=True, return_inverse=True)
-    keys = hashes.tolist()
-    if len(c.cache.place) + len(keys) > c.cache.limit:
+    if len(c.cache.hash) + len(hashes) > c.cache.limit:
         c.cache.clear()
-    new = [i for i, h in enumerate(keys) if h not in c.cache.place]
-    if new:
+    new = np.flatnonzero(c.cache.find(hashes) < 0)
+    if len(new):
         at, size = start[head[new]], (end - start)[head[new]]
         border = np.concatenate([[0], np.cumsum(size)])
         raw = data[np.repeat(at - border[:-1], size) + np.arange(border[-1])].tobytes()
-        c.cache.add([keys[i] for i in new], *c.encode_segments(raw, border))
-    at = np.cumsum(c.cache.size) - c.cache.size
-    where = np.fromiter((c.cache.place[h] for h in keys), np.int64, len(keys))[back] if keys else np.empty(0, np.int64)
+        c.cache.add(hashes[new], *c.encode_segments(raw, border))
+    where = c.cache.find(hashes)[back]
     count = c.cache.size[where]
-    out = c.cache.flat[np.repeat(at[where] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-    return out, tk.sums_by(count, np.searchsorted(start, offsets))
+    out = c.cache.flat[np.repeat(c.cache.at[where] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    first = np.searchsorted(start, offsets)
+    return out, tk.sums_by(count, first), tk.sums_by((~c.cache.parity[where]).astype(np.int64), first) == 0
 
 
 def encode_column(texts: pa.Array, c: Codec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts end to end, their count in each text, round trip and parity, both checked on each
-    whole text."""
+    """Ids of all texts end to end, their count in each text, round trip and parity. The backend decodes every
+    whole text's ids."""
     parts: list[tuple] = [(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool))]
+    pairs = lambda xs, ys: np.array([x == y for x, y in zip(xs, ys, strict=True)], bool)
     for piece in tk.slices(texts, 2 << 20):
         raw = piece.data.tobytes()
         edges = piece.offsets.tolist()
         plain = [raw[a:b].decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:], strict=True)]
         if c.spec.splittable and raw.find(MARK_BYTES) < 0:
-            ids, count = _encode_split(piece, c)
+            ids, count, parity = _encode_split(piece, c)
             flat, ends = ids.tolist(), np.cumsum(count).tolist()
-            lists = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            lists, want = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], plain
         else:
-            lists = c.encode(plain)
-            ids, count = np.array([x for one in lists for x in one], np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
-        parts.append((ids, count, *c.check(plain, lists)))
+            lists, same = c.encode(plain), c.reference.encode(plain, num_threads=1)
+            ids, count, parity = np.array([x for one in lists for x in one], np.int32), np.fromiter(map(len, lists), np.int64, len(lists)), pairs(lists, same)
+            want = [c.reference.decode(x) for x in same]  # a normalised text, and a marker is a space
+        parts.append((ids, count, pairs(c.decode(lists), want), parity))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -315,8 +325,9 @@ def encode_texts(docs: DataFrame, model_path: str, keep: list[str], threads: int
     The driver reads the model and broadcasts its bytes (a vocabulary file of fixed size); each
     Python worker builds the backend once. A null or empty text has no ids. ``round_trip``: the backend
     decodes the ids to the text (where the model normalises texts, to what the SentencePiece library
-    decodes). ``parity``: the SentencePiece library gives the same ids for the whole text. Rows are encoded
-    one by one, repeats too, texts of any length whole; an empty table gives no rows.
+    decodes). ``parity``: the SentencePiece library gives the same ids: for each of the text's segments, where no
+    piece of the model crosses a space, else for the whole text. Rows are encoded one by one, repeats too,
+    texts of any length whole; an empty table gives no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_model(spark, model_path))
