@@ -205,7 +205,8 @@ def document_windows(docs: DataFrame, kinds: list[tuple[int, bool]]) -> DataFram
     base = docs.select("doc_id", "content", raw_tokens(F.col("text")).alias("raw")).where(F.size("raw") > 0)
     exact = [n for n, e in kinds if e]
     template = [n for n, e in kinds if not e]
-    base = base.select("doc_id", "content", pieces(collapsed(marked_classes(F.col("raw")))).alias("short"), (F.transform("raw", F.lower) if exact else F.array().cast("array<string>")).alias("plain"))
+    base = base.select("doc_id", "content", collapsed(marked_classes(F.col("raw"))).alias("joined"), (F.transform("raw", F.lower) if exact else F.array().cast("array<string>")).alias("plain"))
+    base = base.select("doc_id", "content", F.split("joined", " ").alias("short"), "plain")
     base, by_template = with_window_hashes(base, "short", template, False)
     base, by_tokens = with_window_hashes(base, "plain", exact, True) if exact else (base, [])
     names = dict(zip([(n, False) for n in template] + [(n, True) for n in exact], by_template + by_tokens, strict=True))
