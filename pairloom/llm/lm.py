@@ -335,7 +335,8 @@ def train_levels(cells: DataFrame, slot_class: np.ndarray, params: LMParams) ->
             total += _dense(batch, len(total))
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in fit_both(total)], ["classes", "slots"])
 
-    got = cells.coalesce(1).mapInArrow(run, "classes binary, slots binary").first()
+    # counts are added up before they meet in one task, which reads a row for each cell
+    got = cells.repartition(1).mapInArrow(run, "classes binary, slots binary").first()
     if got is None:
         return fit_both(np.zeros(n**3 + n * slots))
     return np.frombuffer(got.classes, np.float32).reshape(n, n, n), np.frombuffer(got.slots, np.float32).reshape(n, slots)
