@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Scratch
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -112,6 +114,8 @@ def host_reputation(outcomes: DataFrame, prior: Prior = Prior()) -> DataFrame:
 
     Returns (host, n, bad_n, mean, lower): ``lower`` = mean - z * sd of the host's beta posterior.
     """
+    # each level is read for its moments and again for its means: written, so that plans don't double
+    scratch = Scratch(outcomes.sparkSession, "reputation")
     hosts = (
         outcomes.where("host IS NOT NULL AND bad IS NOT NULL").groupBy("host")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("bad").cast("bigint").alias("bad_n"))
@@ -120,12 +124,13 @@ def host_reputation(outcomes: DataFrame, prior: Prior = Prior()) -> DataFrame:
     )
     add = lambda frame, *keys: frame.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad_n").alias("bad_n"))
     below = lambda frame, key: frame.select(key, F.col("mean").alias("expected"))
-    domains = add(hosts, "suffix", "domain")
-    suffixes = add(domains, "suffix")
+    hosts = scratch.keep(hosts, "hosts")
+    domains = scratch.keep(add(hosts, "suffix", "domain"), "domains")
+    suffixes = scratch.keep(add(domains, "suffix"), "suffixes")
     total = suffixes.agg(((F.sum("bad_n") + 1.0) / (F.sum("n") + 2.0)).alias("expected"))
-    suffixes = shrink(suffixes.join(F.broadcast(total)), prior)  # one row
-    domains = shrink(domains.join(below(suffixes, "suffix"), "suffix"), prior)
-    hosts = shrink(hosts.join(below(domains, "domain"), "domain"), prior)
+    suffixes = scratch.keep(shrink(scratch.keep(suffixes.join(F.broadcast(total)), "suffixes"), prior), "suffix-means")  # one row
+    domains = scratch.keep(shrink(scratch.keep(domains.join(below(suffixes, "suffix"), "suffix"), "domains"), prior), "domain-means")
+    hosts = shrink(scratch.keep(hosts.join(below(domains, "domain"), "domain"), "hosts"), prior)
     mean, size = F.col("mean"), F.col("n") + F.col("strength")
     return hosts.select("host", "n", "bad_n", "mean", (mean - prior.z * F.sqrt(mean * (1 - mean) / (size + 1))).alias("lower"))
 
