@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -308,8 +309,8 @@ class _Block:
 
 def _match_bucket(table: pa.Table) -> pa.Table:
     """Candidates among all blocks' signatures of one bucket, and the candidates that blocks have found."""
-    is_blob = pa.compute.equal(table.column("kind"), BLOB)
-    out = [table.filter(pa.compute.invert(is_blob)).select(["kind", "a", "b", "band", "t", "n"])]
+    is_blob = pc.equal(table.column("kind"), BLOB)
+    out = [table.filter(pc.invert(is_blob)).select(["kind", "a", "b", "band", "t", "n"])]
     table = table.filter(is_blob)
     if not table.num_rows:
         return out[0]
@@ -437,7 +438,7 @@ def verify(pairs: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
         for batch in batches:
             ga, gb = batch.column("ga"), batch.column("gb")
             va, vb = ga.flatten().to_numpy(), gb.flatten().to_numpy()
-            na, nb = (np.asarray(pa.compute.list_value_length(x)) for x in (ga, gb))
+            na, nb = (np.asarray(pc.list_value_length(x)) for x in (ga, gb))
             row = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
             value = np.concatenate([va, vb])
             order = by_group(row, value)
@@ -476,18 +477,21 @@ def search(rest: DataFrame, full: DataFrame, label: DataFrame, texts: DataFrame,
     can. Sets are joined on such shingles, with that condition on the places, and the pairs verified."""
     sets = sets_of(texts.join(full.hint("merge"), "id", "left_semi"), p).join(label, "id", "left")
     sets = scratch.keep(sets.select("id", "grams", F.coalesce("component_id", "id").alias("component")), "full")
+    scratch.settle()
     n, percent = F.size("grams"), F.lit(p.percent)
     each = sets.select("id", "component", n.alias("n"), F.explode("grams").alias("gram"))
-    count = each.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    count = each.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # a shingle of one set alone comes before all others and is nobody's common one: it is left out, and its place counted
     prefix = (
         each.join(count, "gram").groupBy("id", "component", "n")
         .agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("grams"))
-        .withColumn("grams", F.slice("grams", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1))
-        .select("id", "component", "n", F.posexplode(F.transform("grams", lambda x, i: F.struct(x["c"].alias("c"), x["gram"].alias("gram"), F.get("grams", i - 1)["gram"].alias("before")))).alias("place", "x"))
-        .where("x.c > 1")
-        .select("id", "component", "n", "place", "x.gram", "x.before")
+        .withColumn("alone", F.col("n") - F.size("grams"))
+        .withColumn("grams", F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - F.col("alone"))))
+        .select("id", "component", "n", "alone", F.posexplode(F.transform("grams", lambda x, i: F.struct(x["gram"].alias("gram"), F.get("grams", i - 1)["gram"].alias("before")))).alias("at", "x"))
+        .select("id", "component", "n", (F.col("alone") + F.col("at")).alias("place"), "x.gram", "x.before")
     )
     prefix = scratch.keep(prefix, "prefix")
+    scratch.settle()
     side = lambda x: (F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("before").alias(f"b{x}"))
     left = prefix.join(rest, "id", "left_semi").select("gram", *side("x"))
     right = prefix.select(F.col("gram").alias("same"), *side("y"))
@@ -496,7 +500,9 @@ def search(rest: DataFrame, full: DataFrame, label: DataFrame, texts: DataFrame,
     may &= F.coalesce(F.col("bx") != F.col("by"), F.lit(True))  # else the one before is common, too
     pairs = left.join(right, (F.col("gram") == F.col("same")) & (F.col("cx") != F.col("cy")) & may)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return scratch.keep(verify(pairs, sets.select("id", "grams"), p), "searched")
+    found = scratch.keep(verify(pairs, sets.select("id", "grams"), p), "searched")
+    scratch.forget(prefix, sets)
+    return found
 
 
 def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
@@ -537,30 +543,44 @@ def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
     several = classes.where("rep < last").drop("last")
     copies = scratch.keep(sets.join(several, ["n", "one", "two"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "copies")
     by_size = classes.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()  # some hundred rows at most
+    scratch.forget(classes)
+    scratch.settle()
     found = candidates(texts, [(r.n, r.k) for r in by_size], p, scratch)
     scratch.settle()
     stars = scratch.keep(_to_representatives(found.where(F.col("kind") != ENTRY).select("kind", "a", "b").distinct(), copies), "stars")
     full = found.where(F.col("kind") == ENTRY).groupBy("a", "band").agg(F.sum("n").alias("n"), F.min("t").alias("t")).where("n >= t").select("a").distinct()
     full = scratch.keep(_representative(full, copies, "a").select(F.col("a").alias("id")).distinct(), "full")
+    scratch.forget(found)
     pairs = scratch.keep(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     maps = sizes.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id"), "n", "bits")
+    scratch.settle()
     likely = scratch.keep(possible(pairs, maps, p).distinct(), "likely")
+    scratch.settle()
     wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     grams = scratch.keep(sets_of(texts.join(wanted.hint("merge"), "id", "left_semi"), p), "sets")
     scratch.settle()
     # first one pair for each set; then only pairs whose ends aren't in one component by then
     nearest = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     one = scratch.keep(verify(nearest, grams, p), "nearest")
+    scratch.settle()
     label = components(copies.unionByName(one), scratch)
     apart = scratch.keep(_apart(likely, label), "apart")
     scratch.settle()
-    links = copies.unionByName(one).unionByName(scratch.keep(verify(apart, grams, p), "links"))
-    label = scratch.keep(components(links, scratch), "labels")
+    rest_links = scratch.keep(verify(apart, grams, p), "links")
+    scratch.forget(grams, likely, apart)
+    scratch.settle()
+    # what is linked by now stays so as links to its smallest id, which take few rounds
+    label = components(_star(label).unionByName(rest_links), scratch)
     # a pair is settled when its ends are in one component
     rest = scratch.keep(unresolved(stars, full, _apart(pairs, label)), "unresolved")
+    scratch.forget(stars, pairs, rest_links)
     scratch.settle()
     if not rest.isEmpty():
-        label = components(links.unionByName(search(rest, full, label, texts, p, scratch)), scratch)
+        searched = search(rest, full, label, texts, p, scratch)
+        scratch.settle()
+        label = components(_star(label).unionByName(searched), scratch)
+        scratch.forget(searched)
+    scratch.forget(copies, one, rest, full)
     return (
         sizes.withColumn("id", F.col("doc_id").cast("bigint"))
         .join(label, "id", "left")
@@ -568,6 +588,11 @@ def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
     )
 
 
+def _star(label: DataFrame) -> DataFrame:
+    """Links (a, b) of each id to its component's smallest one."""
+    return label.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+
+
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs (a, b) whose ends have different components; an id without a label is its own."""
     for end in ("a", "b"):

@@ -1,11 +1,12 @@
 import hashlib
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from pairloom.llm import components, partenum, sentence_spans, suffix_index
+from pairloom.llm import components, partenum, sentence_spans, storage, suffix_index
 from pairloom.llm import textkit as tk
 from pairloom.llm.storage import Scratch
 
@@ -105,6 +106,18 @@ def test_join_odd_rows(odd_docs, no_docs):
     assert partenum.join_documents(no_docs).collect() == []
 
 
+def test_join_leaves_only_tables_that_are_read(spark, make_docs):
+    texts = near_copies(1, 4, 6)
+    rows = partenum.join_documents(make_docs(texts))
+    base = Path([base for _, base in storage._folders if "/jaccard-" in base][-1].removeprefix("file:"))
+    left = {x.name.split("-", 1)[1] for x in base.iterdir()}
+    assert left <= {"sizes", "edges"} and {r.doc_id: (r.n_shingles, r.component_id) for r in rows.collect()} == brute_components(list(enumerate(texts)))
+
+
+def test_matching_imports_what_it_calls():
+    assert partenum.pc.__name__ == "pyarrow.compute"  # not a submodule of pyarrow that somebody else has imported
+
+
 def test_component_labels(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)] + [(200, 200 + i) for i in range(1, 30)]
     got = {r.id: r.component_id for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "t")).collect()}
